@@ -3,9 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
-from .common import table
+from . import exact, mixing, packing, quality, simhash, tokens
+from .common import shared_dir, table
+
+
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """The place of a tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = shared_dir(spark, "tokens")
+    tokens.write(table(spark, sf_dir, "documents"), url, vocabulary(), 2)
+    return tokens.checksums(spark, url).withColumnRenamed("key", "doc_id")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,7 +31,35 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), 0)
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = exact.groups(table(spark, sf_dir, "documents"))
+    return g.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = simhash.groups(table(spark, sf_dir, "documents"))
+    return g.select(F.col("id").alias("doc_id"), simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op2_mixing": op2_mixing,
     "op4_quality": op4_quality,
+    "op6_packing": op6_packing,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op10_simhash": op10_simhash,
+}
+
+#: Where SQL can say the same.
+SQL: dict[str, str] = {
+    "op2_mixing": mixing.SQL,
+    "op8_exact_dedup": r"""
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
+FROM d WINDOW g AS (PARTITION BY text_sha256)
+""",
 }
-SQL: dict[str, str] = {}
