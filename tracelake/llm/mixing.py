@@ -7,8 +7,8 @@ Within a source each document has the same expected number of copies, target / s
 Documents of a source are put in order, expected copies are summed along it from a random offset,
 and a document is taken once for every whole number that its step crosses.
 
-The order goes by size class (powers of two), then by a hash block, then by id, so that taken words
-follow the target closely. A document's place is the count of all earlier blocks, a running sum
+The order goes by size class (eight to each power of two), then by a hash block, then by id, so that
+taken words follow the target closely. A document's place is the count of all earlier blocks, a running sum
 over block counts, plus its place in its own block; a source with any share of the rows is spread
 over thousands of blocks.
 
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from .common import cut, fresh, words
 
 WEIGHTS, TOTAL, MOST, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 7
-BLOCKS, BLOCK_ROWS = 1024, 65_536
+BLOCKS, BLOCK_ROWS = 32, 1 << 22
+#: Size class: the number's length in bits, then the three bits after its first.
+CLASS = "length(bin(size)) * 8 + shiftright(size, greatest(length(bin(size)) - 4, 0)) % 8"
 
 
 def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None) -> DataFrame:
@@ -61,7 +63,7 @@ def sample(d: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: float = MO
     blocks = F.greatest(F.lit(BLOCKS), F.ceil(F.col("rows") / BLOCK_ROWS))
     t = t.select(F.col("source").alias("s"), "place", "source_size", "target", blocks.alias("blocks"))
     d = d.join(t, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    d = d.withColumn("class", F.length(F.bin("size"))).withColumn("block", F.pmod(digits(F.coalesce(F.col("doc_id"), F.lit(0)).cast("string")), F.col("blocks")))
+    d = d.withColumn("class", F.expr(CLASS)).withColumn("block", F.pmod(digits(F.coalesce(F.col("doc_id"), F.lit(0)).cast("string")), F.col("blocks")))
     group = ["place", "class", "block"]
     before = Window.partitionBy("place").orderBy("class", "block").rowsBetween(Window.unboundedPreceding, -1)
     base = d.groupBy(group).agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
@@ -99,7 +101,7 @@ c AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEE
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - capped) / open AS own FROM c),
 t AS (SELECT *, least(cap, coalesce(max(CASE WHEN own * weight <= cap THEN own END) OVER () * weight, cap)) AS target,
   greatest({BLOCKS}, ceil(sum(n) OVER () / {BLOCK_ROWS}.0))::BIGINT AS blocks FROM l),
-j AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.place, length(bin(d.size)) AS class,
+j AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.place, length(bin(d.size)) * 8 + (d.size >> greatest(length(bin(d.size)) - 4, 0)) % 8 AS class,
   ('0x' || substr(md5(d.doc_id::VARCHAR), 1, 8))::BIGINT % t.blocks AS block FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 r AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY class, block, doc_id) AS e,
   CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, packing, quality, simhash, tokens
+from . import exact, mixing, packing, quality, simhash, tokens, urls, warc
 from .common import shared_dir, table
 
 
@@ -31,10 +31,21 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), 0)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = shared_dir(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), url)
+    back = warc.read(spark, url)
+    return back.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = exact.groups(table(spark, sf_dir, "documents"))
     return g.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -49,7 +60,9 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_mixing": op2_mixing,
     "op4_quality": op4_quality,
+    "op5_urls": op5_urls,
     "op6_packing": op6_packing,
+    "op7_warc": op7_warc,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_simhash": op10_simhash,
 }
@@ -57,6 +70,7 @@ QUERIES = {
 #: Where SQL can say the same.
 SQL: dict[str, str] = {
     "op2_mixing": mixing.SQL,
+    "op5_urls": urls.SQL,
     "op8_exact_dedup": r"""
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
