@@ -27,7 +27,7 @@ BUCKET_BITS, LENGTHS = 20, (3, 4, 5)
 #: Labelled rows of each class that the classifier is fitted on, at most.
 SAMPLE = 4_000
 #: Least chi-square of a kept bucket, and how many are kept at most.
-TELLING, KEPT = 50.0, 16_384
+TELLING, KEPT = 20.0, 16_384
 PENALTY, ROUNDS = 1e-6, 1000
 TOXIC = 0.7
 PIECE = 1 << 21
