@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, packing, quality, simhash, tokens, toxicity, urls, warc
+from . import exact, mixing, packing, quality, simhash, substrings, tokens, toxicity, urls, warc
 from .common import shared_dir, table
 
 
@@ -58,6 +58,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = simhash.groups(table(spark, sf_dir, "documents"))
     return g.select(F.col("id").alias("doc_id"), simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
@@ -72,6 +76,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_warc": op7_warc,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_suffix_array": op9_suffix_array,
     "op10_simhash": op10_simhash,
 }
 
