@@ -117,7 +117,7 @@ def pack(docs: DataFrame, path: str, end: int, context: int = CONTEXT, key: str
     final = np.array([end], "<u4").tobytes()
 
     def of(batches):
-        enc, shelf = Encoder(path), Shelf()
+        enc, shelf = Encoder.of(path), Shelf()
         base = TaskContext.get().partitionId() << 40
         sequences, steps, filled, rows = 0, 0, {}, []
 

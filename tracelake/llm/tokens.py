@@ -17,6 +17,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_right
 from itertools import chain
 from urllib.parse import urlparse
@@ -32,48 +33,84 @@ from .common import partitions
 NO_KEY = np.iinfo(np.int64).min
 
 
+#: Fixed value: how byte-level BPE files of this kind cut a text before merging.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it is visible, else the next one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in seen)}
+
+
 class Encoder:
     """Little-endian unsigned 32-bit ids of a text, by a byte-level BPE file of the tokenizers library.
 
-    A pre-token of such a tokenizer never reaches over a blank that stands before a visible
-    character, so a text can be cut there and each piece be encoded by itself. Pieces recur, and
-    short ones are remembered, up to `most` of them. Texts with other blanks are encoded whole.
+    Such a tokenizer first cuts a text into words, none of which reaches over a blank that stands
+    before a visible character, and then merges each word by itself. Words recur: texts are cut at
+    those blanks, the library's model merges each new word, and up to `most` words are remembered
+    for as long as the process lives. Texts with other blanks, and tokenizers of other kinds, are
+    encoded whole.
     """
 
     ODD = re.compile(r" (?:\s|\Z)")
+    _own: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         pre = json.loads(self.tok.to_str()).get("pre_tokenizer") or {}
         self.cuts = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and self.tok.normalizer is None
+        self.cut = regex.compile(CUT).findall
+        self.letters = byte_letters()
+        self.merge = self.tok.model.tokenize
         self.most = most
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # by what follows a blank
+        self.inner: dict[str, bytes] = {}  # by words without a blank
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """This process's encoder for a file."""
+        if path not in cls._own:
+            cls._own[path] = cls(path)
+        return cls._own[path]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.merge(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def _words(self, text: str) -> bytes:
+        out = []
+        for w in self.cut(text):
+            blank = w[0] == " "
+            memo, k = (self.known, w[1:]) if blank and len(w) > 1 else (self.inner, w)
+            ids = memo.get(k)
+            if ids is None:
+                ids = self.word(w)
+                if len(w) <= 64:
+                    memo[k] = ids
+            out.append(ids)
+        return b"".join(out)
+
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
         if not self.cuts or self.ODD.search(text):
             return self.whole(text)
+        if len(self.known) + len(self.inner) > self.most:
+            self.known.clear()
+            self.inner.clear()
         first, *rest = text.split(" ")
         known = self.known
-        missing = [p for p in set(rest) if p not in known]
-        extra = {}
-        if missing:
-            if len(known) + len(missing) > self.most:
-                known.clear()
-                missing = list(set(rest))
-            for p, e in zip(missing, self.tok.encode_batch([" " + p for p in missing], add_special_tokens=False), strict=True):
-                (known if len(p) <= 64 else extra)[p] = np.array(e.ids, "<u4").tobytes()
-        if extra:
-            return self.whole(first) + b"".join([extra.get(p) or known[p] for p in rest])
-        return (self.whole(first) if first else b"") + b"".join([known[p] for p in rest])
+        for p in set(rest).difference(known):
+            known[p] = self.word(" " + p) if p.isalpha() else self._words(" " + p)
+        return self._words(first) + b"".join([known[p] for p in rest])
 
 
 def encoded(docs: DataFrame, path: str, end: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -81,7 +118,7 @@ def encoded(docs: DataFrame, path: str, end: int, key: str = "doc_id", text: str
     last = np.array([end], "<u4").tobytes()
 
     def of(batches):
-        enc = Encoder(path)
+        enc = Encoder.of(path)
         for b in batches:
             ids = [enc.ids(t or "") + last for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["key", "ids"])
