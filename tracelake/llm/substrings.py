@@ -39,9 +39,9 @@ from .tokens import store
 
 LENGTH, GRAM = 200, 32
 #: Bytes handled at once; places in a piece take PLACE bits.
-PIECE, PLACE = 4 << 20, 24
-#: Different segments of an anchor that one shard takes, bytes of a shard on average, and the widths of narrower runs.
-MANY, SHARD, WIDTHS = 256, 2 << 20, (48, 12, 3, 1)
+PIECE, PLACE = 1 << 20, 24
+#: Different segments of an anchor that one shard takes, bytes that are sorted at once, and the widths of narrower runs.
+MANY, SHARD, WIDTHS = 256, 1 << 20, (48, 12, 3, 1)
 
 _P = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _TABLE = np.random.default_rng(11).integers(1, 2**63, (2, 256), dtype=np.uint64)
@@ -214,15 +214,23 @@ SPAN = "pid int, row long, start long, end long"
 
 
 def _shard(batches):
-    """Repeated windows among all pieces of a partition, as spans of those that stand for one place."""
-    where, parts = [], []
+    """Repeated windows among the pieces of a partition, as spans of those that stand for one place. Pieces come in order of their anchors; a text ends between two anchors, once it has SHARD bytes."""
+    where, parts, size, last = [], [], 0, None
     for b in batches:
-        for m, pid, row, start, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for h, m, pid, row, start, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if size >= SHARD and h != last:
+                yield from _sorted(where, parts)
+                where, parts, size = [], [], 0
             where.append((m, pid, row, start, len(data)))
-            parts.append(np.r_[np.frombuffer(data, np.uint8).astype(np.int16) + 1, 0])
-    if not parts:
-        return
-    hit = repeats(np.concatenate(parts), LENGTH)
+            parts.append(data)
+            size += len(data)
+            last = h
+    if parts:
+        yield from _sorted(where, parts)
+
+
+def _sorted(where, parts):
+    hit = repeats(np.concatenate([np.r_[np.frombuffer(p, np.uint8).astype(np.int16) + 1, 0] for p in parts]).astype(np.int16), LENGTH)
     at, out = 0, []
     for m, pid, row, start, n in where:
         if m == 1 and len(p := np.flatnonzero(hit[at : at + n])):
@@ -267,8 +275,8 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         shards = shards.unionByName(f)
     shards = cut(shards, "shards")
     size = shards.agg(F.sum(F.length("data"))).first()[0] or 0
-    n = max(partitions(spark), size // SHARD)
-    dealt = shards.repartition(int(n), "hash").select("m", "pid", "row", "start", "data")
+    n = max(partitions(spark), size // (32 * SHARD))
+    dealt = shards.repartition(int(n), "hash").sortWithinPartitions("hash").select("hash", "m", "pid", "row", "start", "data")
     found.append(dealt.mapInArrow(_shard, SPAN))
     out = found[0]
     for f in found[1:]:
