@@ -156,14 +156,14 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
-    """For each row: id, row, fp, component_id (the smallest id of its component), links of the component's row not listed."""
+    """For each row: id, row, fp, root (a fingerprint that names its component), component_id (the component's smallest id)."""
     d = cut(fingerprints(docs, key, text, row), "fingerprints")
     fps = cut(d.groupBy("fp").agg(F.min("id").alias("least")), "fps")
     root = components(links(fps.select("fp"))).withColumnRenamed("node", "fp")
     rooted = fps.join(root, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted, "roots")
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return d.join(rooted.join(best, "root").select("fp", "component_id"), "fp")
+    return d.join(rooted.join(best, "root").select("fp", "root", "component_id"), "fp")
 
 
 def hexadecimal(fp):
@@ -176,5 +176,5 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     (row,) = fresh(docs, "_row")
     keyed = docs.withColumn(row, F.monotonically_increasing_id())
     g = groups(keyed, key, text, row).where(F.col("id").eqNullSafe(F.col("component_id")))
-    stay = g.groupBy("component_id").agg(F.min("row").alias(row)).select(row)
+    stay = g.groupBy("root").agg(F.min("row").alias(row)).select(row)
     return keyed.join(stay, row, "left_semi").drop(row).select(docs.columns)

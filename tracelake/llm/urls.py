@@ -29,7 +29,8 @@ SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Highest rate of bad pages that a host's lower bound may reach, and the bound's distance from the mean in deviations.
 LIMIT, DEVIATIONS = 0.3, 1.645
-LEAST, MOST = 1e-4, 0.99
+#: Bounds of the within-level correlation: a prior counts for 49 labelled pages at most, and for a hundredth of one at least.
+LEAST, MOST = 0.02, 0.99
 
 
 def parsed(pages: DataFrame, url: str = "url") -> DataFrame:
