@@ -133,6 +133,22 @@ def lookup(m: Column, *names: str) -> Column:
     return first_set(*(F.try_element_at(m, plain_key(F.lit(n))) for n in names))
 
 
+def event_xml(c: Column) -> Column:
+    """Event XML as a map by normalised name: named Data elements, unnamed ones as Data1, Data2, ..., and the leaves of UserData; of equal names the first counts."""
+    plain = lambda v: reduce(lambda x, r: F.replace(x, F.lit(r[0]), F.lit(r[1])), (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")), v)
+    data = F.regexp_extract_all(text(c), F.lit(r"<Data(?:\s+Name=[\"'][^\"']*[\"'])?\s*(?:/>|>[^<]*</Data>)"), F.lit(0))
+    name = lambda x: F.regexp_extract(x, r"Name=[\"']([^\"']*)[\"']", 1)
+    value = lambda x: F.trim(plain(F.regexp_extract(x, r">([^<]*)</", 1)))
+    pair = lambda k, v: F.struct(plain_key(k).alias("k"), v.alias("v"))
+    named = F.transform(F.filter(data, lambda x: name(x) != ""), lambda x: pair(name(x), value(x)))
+    bare = F.transform(F.filter(data, lambda x: name(x) == ""), lambda x, i: pair(F.concat(F.lit("Data"), (i + 1).cast("string")), value(x)))
+    user = F.regexp_extract(text(c), r"(?s)<UserData[^>]*>(.*)</UserData>", 1)
+    leaves = F.transform(F.regexp_extract_all(user, F.lit(r"<([A-Za-z][\w.]*)(?:\s[^>]*)?>[^<]+</\1>"), F.lit(0)), lambda x: pair(F.regexp_extract(x, r"^<([A-Za-z][\w.]*)", 1), value(x)))
+    every = F.concat(named, bare, leaves)
+    keys = F.transform(every, lambda e: e["k"])
+    return F.map_from_entries(F.filter(every, lambda e, i: F.array_position(keys, e["k"]) == i + 1))
+
+
 def flatten(m: Column, most: int = 40, value: int = 300, total: int = 4000) -> Column:
     """Map to `k=v | k=v`, within limits."""
     parts = F.transform(F.slice(F.map_entries(m), 1, most), lambda e: F.concat(e["key"], F.lit("="), truncate(F.replace(single_line(e["value"]), F.lit("|"), F.lit("/")), value)))

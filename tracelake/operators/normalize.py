@@ -33,7 +33,7 @@ SOURCES = ("Process", "LogonSession", "NetworkResource", "ServerConnection", "St
 
 def refs(*pairs: tuple[str, Column]) -> Column:
     """References of values that are not blank, trimmed."""
-    each = F.array(*(F.struct(F.lit(t).alias("type"), F.trim(X.text(v)).alias("value")) for t, v in pairs))
+    each = F.array(*(F.struct(F.lit(t).alias("type"), F.trim(X.text(v)).alias("value")) for t, v in pairs)).cast("array<struct<type:string,value:string>>")
     return F.filter(each, lambda r: F.length(r["value"]) > 0)
 
 
