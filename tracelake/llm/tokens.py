@@ -56,7 +56,7 @@ class Encoder:
     ODD = re.compile(r" (?:\s|\Z)")
     _own: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -113,17 +113,24 @@ class Encoder:
         return self._words(first) + b"".join([known[p] for p in rest])
 
 
-def encoded(docs: DataFrame, path: str, end: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids): 32-bit ids of each text, with the end id."""
+def encoded(docs: DataFrame, path: str, end: int, key: str = "doc_id", text: str = "text", edges: list[int] | None = None, width: str = "<u4") -> DataFrame:
+    """(part, key, ids): ids of each text, with the end id, as integers of a width; part: the place of the key among the edges."""
     last = np.array([end], "<u4").tobytes()
 
+    def one(enc, t):
+        ids = enc.ids(t or "") + last
+        return ids if width == "<u4" else np.frombuffer(ids, "<u4").astype(width).tobytes()
+
     def of(batches):
         enc = Encoder.of(path)
         for b in batches:
-            ids = [enc.ids(t or "") + last for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["key", "ids"])
+            for i in range(0, b.num_rows, 1000):
+                c = b.slice(i, 1000)
+                part = [bisect_right(edges or [], k) if k is not None else 0 for k in c.column(0).to_pylist()]
+                ids = [one(enc, t.as_py()) for t in c.column(1)]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), c.column(0), pa.array(ids, pa.binary())], ["part", "key", "ids"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(of, "key long, ids binary")
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(of, "part int, key long, ids binary")
 
 
 def store(url: str):
@@ -157,12 +164,6 @@ def write(docs: DataFrame, url: str, path: str, end: int, key: str = "doc_id", t
     width = "<u2" if vocabulary <= 1 << 16 else "<u4"
     edges = bounds(docs.select(F.col(key).cast("long").alias("key")), n)
 
-    def part(batches):
-        for b in batches:
-            at = [bisect_right(edges, k) if k is not None else 0 for k in b.column(0).to_pylist()]
-            ids = [np.frombuffer(i.as_py(), "<u4").astype(width).tobytes() for i in b.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), b.column(0), pa.array(ids, pa.binary())], ["part", "key", "ids"])
-
     def save(batches):
         keys, counts = [], []
         first = next((b for b in batches if b.num_rows), None)
@@ -183,7 +184,7 @@ def write(docs: DataFrame, url: str, path: str, end: int, key: str = "doc_id", t
         put(url, f"{name}.docs", lambda out: out.write(np.array(keys, "<i8").tobytes()))
         yield pa.RecordBatch.from_pydict({"part": pa.array([at], pa.int32()), "docs": pa.array([len(keys)], pa.int64()), "tokens": pa.array([sum(counts)], pa.int64())})
 
-    dealt = encoded(docs, path, end, key, text).mapInArrow(part, "part int, key long, ids binary")
+    dealt = encoded(docs, path, end, key, text, edges, width)
     dealt = dealt.repartitionById(n, F.col("part")).sortWithinPartitions(F.col("key").asc_nulls_first())
     done = dealt.mapInArrow(save, "part int, docs long, tokens long").collect()  # a row for each partition
     totals = sorted((r.asDict() for r in done), key=lambda r: r["part"])
