@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 
-FIELD = r'(?:^|,)(?:"((?:[^"]|"")*)"|([^,]*))'
+FIELD = r',(?:"((?:[^"]|"")*)"|([^,]*))'
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -34,8 +34,8 @@ def host_folder(file: Column) -> Column:
 
 
 def fields(line: Column) -> Column:
-    """RFC 4180 fields of a trimmed line."""
-    found = F.regexp_extract_all(F.trim(line), F.lit(FIELD), F.lit(0))
+    """RFC 4180 fields of a trimmed line. A comma is put before it, so that an empty first field is a match of its own."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), F.trim(line)), F.lit(FIELD), F.lit(0))
     bare = F.transform(found, lambda x: F.regexp_replace(x, "^,", ""))
     return F.transform(bare, lambda x: F.when(x.startswith('"'), F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(F.trim(x)))
 
