@@ -26,7 +26,19 @@ PATHS = (
     (r"""[A-Za-z]:(?:/[^/:*?"<>|\r\n]+)+""", "[path_redacted]"),
     (r"""(?i)/(?:home|Users)/[^/:\s"]+(?:/[^/:\s"]+)*""", "[path_redacted]"),
 )
-LONGEST_REDACTED = 100_000
+# The same with the same matches, in time linear in the text and without recursion by path segment: possessive where
+# nothing is given back, and an address tried once for each run of its characters.
+SEARCHED_LITERALS = (
+    *LITERALS[:2],
+    (r"(?:\G|(?<![A-Za-z0-9._%+\-]))((?:\B[A-Za-z0-9._%+\-])*+)\b[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", "$1[email]"),
+)
+SEARCHED_PATHS = (
+    PATHS[0],
+    (r"""\\\\[^\\/:?\s"<>|]++(?:\\[^\\/:?\s"<>|]++)++""", "[path_redacted]"),
+    (r"""[A-Za-z]:(?:\\[^\\/:*?"<>|\r\n]++)++""", "[path_redacted]"),
+    (r"""[A-Za-z]:(?:/[^/:*?"<>|\r\n]++)++""", "[path_redacted]"),
+    (r"""(?i)/(?:home|Users)/[^/:\s"]++(?:/[^/:\s"]++)*+""", "[path_redacted]"),
+)
 
 
 def text(c: Column) -> Column:
@@ -284,9 +296,8 @@ def suspicious_arguments(c: Column) -> Column:
 
 
 def redact(c: Column, paths: bool = False) -> Column:
-    """Network literals masked, and paths too; a value too long to be searched is masked as a whole."""
-    out = reduce(lambda x, r: F.regexp_replace(x, r[0], F.lit(r[1])), LITERALS + (PATHS if paths else ()), text(c))
-    return F.when(F.length(c) > LONGEST_REDACTED, "[redacted]").otherwise(out)
+    """Network literals masked, and paths too, in values of any length."""
+    return reduce(lambda x, r: F.regexp_replace(x, r[0], F.lit(r[1])), SEARCHED_LITERALS + (SEARCHED_PATHS if paths else ()), text(c))
 
 
 def mask_principal(c: Column) -> Column:
