@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions import expr as X
 
@@ -72,9 +75,42 @@ def manifest(files: DataFrame) -> DataFrame:
 
 
 def digest(manifest: DataFrame) -> DataFrame:
-    """SHA-256 over `path TAB hash NEWLINE` lines, paths in case-ignoring order. A host's lines meet in one row: 100 bytes a file."""
-    lines = F.array_sort(F.collect_list(F.struct(F.lower("rel").alias("k"), "rel", F.concat("rel", F.lit("\t"), "sha256", F.lit("\n")).alias("line"))))
-    return manifest.groupBy("host").agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["line"]), ""), 256).alias("digest"), F.count("*").alias("files"))
+    """SHA-256 over `path TAB hash NEWLINE` lines, paths in case-ignoring order.
+
+    One task hashes a host's lines, as each block of a hash needs the one before. Spark sorts them, spilling
+    what memory does not hold, and they are hashed batch by batch.
+    """
+    line = F.concat("rel", F.lit("\t"), "sha256", F.lit("\n")).alias("line")
+    lines = manifest.repartition("host").sortWithinPartitions("host", F.lower("rel"), "rel", "sha256").select("host", line)
+    return lines.mapInArrow(_hashed, StructType([lines.schema["host"], StructField("digest", StringType()), StructField("files", LongType(), False)]))
+
+
+def _hashed(batches):
+    """(host, line) in order of host -> host, digest and number of its lines; null lines count as empty."""
+    import hashlib
+
+    import pyarrow as pa
+
+    host, state, files, kind = None, None, 0, None
+    for b in batches:
+        done, kind = [], b.schema.field("host").type
+        for h, g in groupby(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), key=lambda x: x[0]):
+            if state is None or h != host:
+                if state is not None:
+                    done.append((host, state.hexdigest(), files))
+                host, state, files = h, hashlib.sha256(), 0
+            lines = [x[1] for x in g]
+            state.update("".join(x for x in lines if x is not None).encode())
+            files += len(lines)
+        if done:
+            yield _named(pa, done, kind)
+    if state is not None:
+        yield _named(pa, [(host, state.hexdigest(), files)], kind)
+
+
+def _named(pa, rows, kind):
+    host, digest, files = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(host, kind), pa.array(digest, pa.string()), pa.array(files, pa.int64())], ["host", "digest", "files"])
 
 
 def redacted(df: DataFrame, profile: str = "Basic", text: tuple[str, ...] = (), principals: tuple[str, ...] = (), paths: tuple[str, ...] = (), lists: tuple[str, ...] = ()) -> DataFrame:
