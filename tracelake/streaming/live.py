@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,3 +33,16 @@ def live_shared(entities: DataFrame, minutes: int, late: str = "1 hour", least:
         raise ValueError("bucket size must divide an hour")
     w = entities.withWatermark("time", late).groupBy(F.window("time", f"{minutes} minutes").alias("w"), "entity_key").agg(F.size(F.collect_set(F.lower("host"))).alias("hosts"), F.count("*").alias("facts"))
     return w.where(F.col("hosts") >= least).select(F.col("w.start").alias("bucket"), F.col("w.end").alias("bucket_end"), "entity_key", "hosts", "facts")
+
+
+def completed(rows: DataFrame, name: str) -> DataFrame:
+    """The whole result of an aggregated stream once it has read all there is, written with its checkpoint and state to a new folder below spark.checkpoint.dir; each batch replaces what the one before wrote."""
+    spark = rows.sparkSession
+    folder = f"{spark.conf.get('spark.checkpoint.dir', 'file:///tmp/tracelake-checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    spark.createDataFrame([], rows.schema).write.parquet(f"{folder}/result")  # stays if there is no batch
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result")
+
+    rows.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/result")
