@@ -185,14 +185,14 @@ def decoded(rows: DataFrame, names: DataFrame) -> DataFrame:
     return rows.join(one, F.col("id") == F.col("_id"), "left").withColumn("name", F.coalesce(F.nullif(F.trim("_name"), F.lit("")), F.col("id").cast("string"))).drop("_id", "_name")
 
 
-def user_of_path(paths: DataFrame, roots: DataFrame, cut: int = 64) -> DataFrame:
+def user_of_path(paths: DataFrame, roots: DataFrame) -> DataFrame:
     """Paths (path) -> user of the longest profile root (root, user) that is a prefix, else the segment after `\\Users\\`.
 
     Roots end at a separator, so each path's prefixes that end at one are looked up by equality; no pair of path and root is tried.
     """
     p = F.lower("path")
     ends = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length("path"), F.lit(1))), lambda i: i), lambda i: F.substring(p, i, 1).isin("\\", "/") | (i == F.length("path")))
-    pre = paths.select("path").distinct().select("path", F.explode(F.slice(ends, 1, cut)).alias("i")).select("path", F.rtrim(F.substring(p, F.lit(1), F.col("i"))).alias("k"))
+    pre = paths.select("path").distinct().select("path", F.explode(ends).alias("i")).select("path", F.rtrim(F.substring(p, F.lit(1), F.col("i"))).alias("k"))
     pre = pre.withColumn("k", F.regexp_replace("k", r"[\\/]+$", ""))
     r = roots.select(F.regexp_replace(F.lower("root"), r"[\\/]+$", "").alias("k"), "user").groupBy("k").agg(F.min("user").alias("user"))
     best = pre.join(r, "k").groupBy("path").agg(F.max_by("user", F.length("k")).alias("u"))
