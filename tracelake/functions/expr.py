@@ -41,6 +41,11 @@ SEARCHED_PATHS = (
 )
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once a row however often body names it; a plain column used within a lambda may be inlined there."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -127,13 +132,20 @@ def placeholder(c: Column) -> Column:
     return F.when(s.isin(*PLACEHOLDERS), "").otherwise(s)
 
 
+def first_of_each(entries: Column) -> Column:
+    """A map of structs (k, v); of equal keys the first counts."""
+
+    def kept(e):
+        return let(F.transform(e, lambda x: x["k"]), lambda keys: F.filter(e, lambda x, i: F.array_position(keys, x["k"]) == i + 1))
+
+    return F.map_from_entries(let(entries, kept))
+
+
 def pairs(c: Column) -> Column:
     """`k=v | k=v` as a map by normalised key; of equal keys the first counts."""
     items = F.filter(F.split(text(c), r" \| "), lambda x: F.instr(x, "=") > 1)
-    named = F.transform(items, lambda x: F.struct(plain_key(F.substring_index(x, "=", 1)).alias("k"), F.trim(F.regexp_replace(x, r"^[^=]*=", "")).alias("v")))
-    keys = F.transform(named, lambda x: x["k"])
-    first = F.filter(named, lambda x, i: F.array_position(keys, x["k"]) == i + 1)
-    return F.map_from_entries(first)
+    value = lambda x: F.trim(F.substring(x, F.instr(x, "=") + 1, F.length(x)))
+    return first_of_each(F.transform(items, lambda x: F.struct(plain_key(F.substring_index(x, "=", 1)).alias("k"), value(x).alias("v"))))
 
 
 def plain_key(c: Column | str) -> Column:
@@ -156,9 +168,7 @@ def event_xml(c: Column) -> Column:
     bare = F.transform(F.filter(data, lambda x: name(x) == ""), lambda x, i: pair(F.concat(F.lit("Data"), (i + 1).cast("string")), value(x)))
     user = F.regexp_extract(text(c), r"(?s)<UserData[^>]*>(.*)</UserData>", 1)
     leaves = F.transform(F.regexp_extract_all(user, F.lit(r"<([A-Za-z][\w.]*)(?:\s[^>]*)?>[^<]+</\1>"), F.lit(0)), lambda x: pair(F.regexp_extract(x, r"^<([A-Za-z][\w.]*)", 1), value(x)))
-    every = F.concat(named, bare, leaves)
-    keys = F.transform(every, lambda e: e["k"])
-    return F.map_from_entries(F.filter(every, lambda e, i: F.array_position(keys, e["k"]) == i + 1))
+    return first_of_each(F.concat(named, bare, leaves))
 
 
 def flatten(m: Column, most: int = 40, value: int = 300, total: int = 4000) -> Column:

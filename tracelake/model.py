@@ -65,12 +65,29 @@ def host_of(host: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(host), F.lit("")), F.lit("host"))
 
 
+def exploded(facts: DataFrame) -> DataFrame:
+    """facts (with entity_refs and ref_keys) by distinct reference, the first of equal keys: entity_type, value_display, entity_key are added.
+
+    The keys are columns of the fact below the explode, so they are worked out once a fact.
+    """
+    e = facts.select("*", F.posexplode("entity_refs").alias("_pos", "_ref"))
+    key = F.get("ref_keys", F.col("_pos"))
+    e = e.where(F.array_position("ref_keys", key) == F.col("_pos") + 1)
+    added = {"entity_type": F.col("_ref.type"), "value_display": F.trim("_ref.value"), "entity_key": key}
+    return e.withColumns(added).drop("_pos", "_ref")
+
+
+ROW = ("case_id", "host", "fact_ord", "fact_id", "time", "source", "action", "time_confidence")
+
+
 def fact_entities(facts: DataFrame) -> DataFrame:
-    """One row for each distinct entity key of a fact, with the first spelling in the fact."""
-    refs = facts.select("case_id", host_of(F.col("host")).alias("host"), "fact_ord", "fact_id", "time", "source", "action", "time_confidence", F.posexplode("entity_refs").alias("pos", "ref"))
-    keyed = refs.select("*", F.col("ref.type").alias("entity_type"), F.trim("ref.value").alias("value_display"), entity_key(F.col("ref.type"), F.col("ref.value")).alias("entity_key")).where("entity_key IS NOT NULL")
-    one = keyed.groupBy("case_id", "fact_ord", "entity_key").agg(
-        *(F.first(c).alias(c) for c in ("host", "fact_id", "time", "source", "action", "time_confidence")),
-        F.min_by(F.struct("entity_type", "value_display"), "pos").alias("e"),
-    )
-    return one.select("case_id", "host", "fact_ord", "fact_id", "time", "source", "action", "time_confidence", "e.entity_type", "e.value_display", F.lower("e.value_display").alias("value_norm"), "entity_key")
+    """One row for each distinct entity key of a fact, with the first spelling in the fact.
+
+    Repeats are dropped within the fact's own array, so nothing is shuffled and two facts are never taken
+    for one. entity_refs and ref_keys stay, so what a fact also names needs no join; Spark drops them where
+    nobody asks for them.
+    """
+    keys = F.transform("entity_refs", lambda r: entity_key(r["type"], r["value"])).alias("ref_keys")
+    f = facts.withColumn("host", host_of(F.col("host"))).select(*ROW, "entity_refs", keys)
+    e = exploded(f).withColumn("value_norm", F.lower("value_display"))
+    return e.select(*ROW, "entity_type", "value_display", "value_norm", "entity_key", "entity_refs", "ref_keys")

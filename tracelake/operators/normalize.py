@@ -6,7 +6,7 @@ sources.tables gives them, and returns columns of FACTS except fact_ord, which u
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +31,23 @@ STATES = ("complete", "partial", "failed", "skipped", "missing")
 SOURCES = ("Process", "LogonSession", "NetworkResource", "ServerConnection", "StoredCredential", "KerberosTicketCache", "Prefetch", "MemoryAcquisition", "MemoryAnalysis", "Autorun", "Service", "ActivityTimeline", "BAM", "BITS", "JumpList", "WmiPersistence", "Amcache", "ShimCache", "SRUMNetwork", "SRUMApp", "MFT", "ScheduledTask", "USN", "ShellBags", "EventLog")
 
 
+def zoned(make):
+    """A normaliser whose rows may have a column `zone`, the host's time zone (E10); without one it is UTC."""
+
+    @wraps(make)
+    def with_zone(rows: DataFrame, *more, **named) -> DataFrame:
+        if "zone" not in rows.columns:
+            rows = rows.withColumn("zone", F.lit("UTC"))
+        return make(rows, *more, **named)
+
+    return with_zone
+
+
+def clock(c: Column) -> Column:
+    """A time in the host's zone, unless it says its own."""
+    return X.parse_time(c, F.coalesce(F.nullif(F.trim("zone"), F.lit("")), F.lit("UTC")))
+
+
 def refs(*pairs: tuple[str, Column]) -> Column:
     """References of values that are not blank, trimmed."""
     each = F.array(*(F.struct(F.lit(t).alias("type"), F.trim(X.text(v)).alias("value")) for t, v in pairs)).cast("array<struct<type:string,value:string>>")
@@ -74,15 +91,17 @@ def no_time(t: Column, note: str, also: Column | None = None) -> Column:
     return F.when(~X.usable(t) & X.blank(own), note).otherwise(own)
 
 
+@zoned
 def process(r: DataFrame) -> DataFrame:
-    path, cmd, sha, t = get("Path"), get("CommandLine"), get("SHA256"), X.parse_time(get("StartTime"))
+    path, cmd, sha, t = get("Path"), get("CommandLine"), get("SHA256"), clock(get("StartTime"))
     note = F.when(X.blank(path) & ~X.blank(cmd), "No executable path in this row; linked by command line, hash and user.").when(~X.usable(t), "No usable start time in this row.").otherwise("")
     e = refs(("Path", path), ("Hash", F.when(~sha.startswith("[") & (F.length(sha) >= 10), sha)), ("User", get("User")), ("CommandLine", cmd))
     return fact(r, "Process", "Executed", e, "Structured", t, ("EventTime", "UnknownTime"), ("High", "Low"), F.when(cmd == "", F.concat(get("Name"), F.lit(" "), path)).otherwise(cmd), note, suffix=get("PID"), order=0)
 
 
+@zoned
 def logon_session(r: DataFrame) -> DataFrame:
-    start, seen = X.parse_time(get("StartTime")), X.parse_time(get("ObservedAtUtc"))
+    start, seen = clock(get("StartTime")), clock(get("ObservedAtUtc"))
     t = F.when(X.usable(start), start).otherwise(seen)
     note = F.when(~X.usable(t), "No usable start or observation time in this row.").when(~X.usable(start), "Observation time stands in for the start time.").otherwise("")
     e = refs(("User", get("User")), ("Sid", get("Sid")), ("LogonType", get("LogonType")), ("AuthenticationPackage", get("AuthenticationPackage")), ("LogonProcess", get("LogonProcessName")))
@@ -91,23 +110,26 @@ def logon_session(r: DataFrame) -> DataFrame:
     return fact(r, "LogonSession", mapped(get("LogonType"), LOGON_ACTIONS, "LogonSessionObserved"), e, "Structured", t, k, (F.when(X.usable(start), "High").otherwise("Medium"), F.lit("Low")), d, note, order=1)
 
 
+@zoned
 def network_resource(r: DataFrame) -> DataFrame:
-    t, remote = X.parse_time(get("ObservedAtUtc")), get("RemoteName")
+    t, remote = clock(get("ObservedAtUtc")), get("RemoteName")
     e = nonblank(F.concat(refs(("User", get("UserName")), ("RemoteName", remote), ("Path", remote), ("Path", get("LocalName"))), X.remote_refs(remote)))
     d = listed(("LocalName", get("LocalName")), ("State", get("ConnectionState")), ("Provider", get("ProviderName")), ("Persistent", get("Persistent")), ("DisplayType", get("DisplayType")), ("Comment", get("Comment")))
     return fact(r, "NetworkResource", "NetworkResourceConnectionObserved", e, "Structured", t, None, ("Medium", "Low"), d, no_time(t, "No observation time in this row."), order=2)
 
 
+@zoned
 def server_connection(r: DataFrame) -> DataFrame:
-    t, peer = X.parse_time(get("ObservedAtUtc")), F.regexp_replace(get("ComputerName"), r"^\\+", "")
+    t, peer = clock(get("ObservedAtUtc")), F.regexp_replace(get("ComputerName"), r"^\\+", "")
     e = refs(("User", get("UserName")), ("ShareName", get("ShareName")), ("RemoteName", peer), ("RemoteIP", F.when(X.is_ipv4(peer), peer)), ("Workstation", F.when(~X.is_ipv4(peer), peer)))
     d = listed(("ConnectionId", get("ConnectionId")), ("ActiveTimeSec", get("ActiveTimeSec")), ("IdleTimeSec", get("IdleTimeSec")), ("NumberOfFiles", get("NumberOfFiles")))
     return fact(r, "ServerConnection", "ServerShareConnectionObserved", e, "Structured", t, None, ("Medium", "Low"), d, no_time(t, "No observation time in this row."), order=3)
 
 
+@zoned
 def stored_credential(b: DataFrame) -> DataFrame:
     """b: sources.tables.credentials()."""
-    t, target = X.parse_time(F.col("observed")), get("target")
+    t, target = clock(F.col("observed")), get("target")
     bare = F.regexp_replace(target, r"(?i)^(?:domain|legacygeneric|windowslive|microsoftaccount):(?:target|user)=", "")
     server = F.regexp_extract(F.regexp_replace(bare, r"(?i)^[a-z]+/", ""), r"^\\{0,2}([^\\/:\s]+)", 1)
     is_server = target.rlike(r"(?i)^domain:|termsrv/|^\\\\")
@@ -115,10 +137,11 @@ def stored_credential(b: DataFrame) -> DataFrame:
     return fact(b.withColumn("i", F.col("block")), "StoredCredential", "StoredCredentialObserved", e, "RawArtifactDerived", t, None, ("Medium", "Low"), listed(("Type", get("type"))), no_time(t, "No observation time in this list."), order=4)
 
 
+@zoned
 def kerberos_ticket(b: DataFrame) -> DataFrame:
     """b: sources.tables.kerberos()."""
-    start = X.parse_time(F.regexp_replace(get("start time"), r"\s*\(local\)$", ""))
-    seen, server, kdc = X.parse_time(F.col("observed")), get("server"), get("kdc called")
+    start = clock(F.regexp_replace(get("start time"), r"\s*\(local\)$", ""))
+    seen, server, kdc = clock(F.col("observed")), get("server"), get("kdc called")
     t = F.when(X.usable(start), start).otherwise(seen)
     target = X.service_host(server)
     peer = lambda c: (("RemoteIP", F.when(X.is_ipv4(c), c)), ("Workstation", F.when(~X.is_ipv4(c), c)))
@@ -141,10 +164,11 @@ def prefetch(r: DataFrame) -> DataFrame:
     return fact(x, "Prefetch", "Executed", F.concat(refs(("FileName", F.col("executable"))), files), "Structured", F.col("run.t"), ("MetadataTime", "UnknownTime"), ("High", "Low"), d, X.text(F.col("note")), F.col("run.k") < 0, suffix, 6)
 
 
+@zoned
 def memory(r: DataFrame, analysis: bool = False) -> DataFrame:
     """r: a sidecar of acquisition or analysis: a summary fact, then one for each output."""
     name = "MemoryAnalysis" if analysis else "MemoryAcquisition"
-    end, start = X.parse_time(F.col("EndedAt")), X.parse_time(F.col("StartedAt"))
+    end, start = clock(F.col("EndedAt")), clock(F.col("StartedAt"))
     t = F.when(X.usable(end), end).otherwise(start)
     r = r.withColumn("file", F.lit(f"{name}.json")).withColumn("i", F.lit(0).cast("long"))
     state = mapped(F.lower("Status"), {s: name + s.capitalize() for s in STATES}, name + "Observed")
@@ -177,30 +201,34 @@ def service(r: DataFrame) -> DataFrame:
     return fact(r.where(~(X.blank(name) & X.blank(path))), "Service", "ServiceConfigurationObserved", e, "Structured", details=d, order=10)
 
 
+@zoned
 def activity(r: DataFrame) -> DataFrame:
-    t, source = X.parse_time(get("Time")), F.when(X.blank(get("Source")), "ActivityTimeline").otherwise(get("Source"))
+    t, source = clock(get("Time")), F.when(X.blank(get("Source")), "ActivityTimeline").otherwise(get("Source"))
     from .enrich import time_confidence, time_kind
 
     return fact(r, source, F.when(get("Action") == "", "Activity").otherwise(get("Action")), refs(("Path", get("Path")), ("User", get("User"))), "Synthesized", t, (time_kind(source, F.lit(True)), F.lit("UnknownTime")), (time_confidence(source, F.lit(True)), F.lit("Low")), get("Details"), no_time(t, "No usable time in this row."), order=11)
 
 
+@zoned
 def bam_dam(r: DataFrame) -> DataFrame:
-    t = X.parse_time(get("LastExecutionTime"))
+    t = clock(get("LastExecutionTime"))
     source = F.when(F.upper(F.trim(get("Source"))) == "DAM", "DAM").otherwise("BAM")
     e = refs(("Path", get("Path")), ("User", get("User")), ("RegistryKey", get("RegistryPath")))
     return fact(r, source, "Executed", e, "RegistryValue", t, ("MetadataTime", "MetadataTime"), ("Medium", "Medium"), X.first_set(get("Details"), get("ValueName")), no_time(t, "No usable execution time in this row."), order=12)
 
 
+@zoned
 def bits(r: DataFrame) -> DataFrame:
-    changed, made, remote = X.parse_time(get("ModificationTime")), X.parse_time(get("CreationTime")), get("RemoteName")
+    changed, made, remote = clock(get("ModificationTime")), clock(get("CreationTime")), get("RemoteName")
     t = F.when(X.usable(changed), changed).otherwise(made)
     each = F.flatten(F.transform(F.split(remote, ";"), lambda s: X.remote_refs(s)))
     e = nonblank(F.concat(refs(("BitsJob", get("DisplayName")), ("User", get("OwnerAccount")), ("RemoteName", remote)), each, refs(("Path", get("LocalName")))))
     return fact(r, "BITS", X.first_set(get("JobState"), F.lit("JobObserved")), e, "Structured", t, None, ("Medium", "Low"), X.first_set(get("Description"), remote), no_time(t, "No usable time in this row."), order=13)
 
 
+@zoned
 def jump_list(r: DataFrame) -> DataFrame:
-    t, path = X.parse_time(get("Time")), get("Path")
+    t, path = clock(get("Time")), get("Path")
     empty = X.blank(path) & X.blank(get("AppId")) & X.blank(get("User")) & X.blank(get("Source")) & X.blank(get("Details"))
     e = nonblank(F.concat(refs(("Path", path)), X.remote_refs(F.when(path.startswith("\\\\"), path)), refs(("User", get("User")), ("AppId", get("AppId")))))
     return fact(r.where(~empty), "JumpList", "JumpListDestinationObserved", e, "Structured", t, ("EventTime", "UnknownTime"), ("Medium", "Low"), F.concat_ws("; ", F.nullif(get("Source"), F.lit("")), F.nullif(get("Details"), F.lit(""))), no_time(t, "No usable time in this row."), order=14)
@@ -213,9 +241,10 @@ def wmi(r: DataFrame) -> DataFrame:
     return fact(r, "WmiPersistence", action, e, "Structured", details=get("Details"), order=15)
 
 
+@zoned
 def amcache_programs(r: DataFrame) -> DataFrame:
     """Rows with nothing but a note give one fact for each distinct note of a file."""
-    t, note = X.parse_time(get("InstallDate")), get("ParserNote")
+    t, note = clock(get("InstallDate")), get("ParserNote")
     names = ("ProgramName", "Publisher", "ProductName", "ProgramId")
     empty = reduce(lambda a, b: a & b, [X.blank(get(n)) for n in names])
     e = refs(("Publisher", get("Publisher")), ("ProductName", get("ProductName")), ("ProgramName", get("ProgramName")), ("ProgramId", get("ProgramId")))
@@ -225,8 +254,9 @@ def amcache_programs(r: DataFrame) -> DataFrame:
     return has.unionByName(fact(notes, "Amcache", "ParseNoteObserved", refs(), "RawArtifactDerived", details=note, note=note, suffix=F.concat(F.lit("note_"), F.col("i").cast("string")), order=16))
 
 
+@zoned
 def amcache_files(r: DataFrame) -> DataFrame:
-    done, seen, note = X.parse_time(get("ExecutedTime")), X.parse_time(get("FirstObservedTime")), get("ParserNote")
+    done, seen, note = clock(get("ExecutedTime")), clock(get("FirstObservedTime")), get("ParserNote")
     one = lambda cond, a, t: F.when(cond, F.struct(F.lit(a).alias("a"), t.alias("t")))
     none = F.lit(None).cast("timestamp")
     each = F.array_compact(F.array(one(X.usable(done), "Executed", done), one(X.usable(seen), "FirstObserved", seen), one(~X.usable(done) & ~X.usable(seen), "FirstObserved", none)))
@@ -238,14 +268,16 @@ def amcache_files(r: DataFrame) -> DataFrame:
     return fact(x, "Amcache", F.col("x.a"), e, "RegistryValue", F.col("x.t"), ("MetadataTime", "UnknownTime"), ("Medium", "Low"), d, full, suffix=F.concat(F.lit("file_"), F.col("x.a"), F.lit("_"), F.col("i").cast("string")), order=16)
 
 
+@zoned
 def shimcache(r: DataFrame) -> DataFrame:
-    t, note = X.parse_time(get("LastModifiedTime")), get("ParserNote")
+    t, note = clock(get("LastModifiedTime")), get("ParserNote")
     r = r.where(~(X.blank(get("Path")) & X.blank(get("FileName"))))
     return fact(r, "ShimCache", "ExecutedCandidate", refs(("Path", get("Path")), ("FileName", get("FileName"))), "RawArtifactDerived", t, ("MetadataTime", "UnknownTime"), ("Low", "Low"), F.concat(F.lit("ValueName="), get("ValueName"), F.lit("; DataHashPrefix="), get("DataHashPrefix")), note, ~X.usable(t) | ~X.blank(note), order=17)
 
 
+@zoned
 def srum(r: DataFrame, app: bool = False) -> DataFrame:
-    t, note = X.parse_time(get("Timestamp")), get("ParserNote")
+    t, note = clock(get("Timestamp")), get("ParserNote")
     e = [("AppId", get("AppId")), ("Path", get("Path")), ("User", get("User"))]
     r = r.where(~(X.blank(get("AppId")) & X.blank(get("Path")) & X.blank(get("User"))))
     how = ("EventTime", "UnknownTime"), ("Medium", "Low")
@@ -272,9 +304,10 @@ def scheduled_task(a: DataFrame) -> DataFrame:
     return fact(a, "ScheduledTask", "Scheduled", refs(("Path", F.col("command")), ("TaskName", F.col("uri")), ("User", F.col("run_as"))), "StructuredXml", details=X.truncate(F.col("arguments"), 300), note=note, order=21)
 
 
+@zoned
 def usn(r: DataFrame) -> DataFrame:
     """r: sources.tables.table_after_preamble()."""
-    t = X.parse_time(get("time stamp", "timestamp", "time"))
+    t = clock(get("time stamp", "timestamp", "time"))
     path, name, reason = get("full path", "path"), get("file name", "filename"), get("reason")
     ref, parent = get("file id", "file reference number", "file ref#"), get("parent file id", "parent file reference number", "parent file ref#")
     e = refs(("Path", path), ("FileName", name), ("UsnReason", reason), ("FileReference", ref))
@@ -283,8 +316,9 @@ def usn(r: DataFrame) -> DataFrame:
     return fact(r.where(~(X.blank(name) & X.blank(path))), "USN", X.usn_action(reason), e, "MetadataDerived", t, ("EventTime", "UnknownTime"), ("High", "Low"), d, note, order=22)
 
 
+@zoned
 def shell_bags(r: DataFrame) -> DataFrame:
-    t, note = X.parse_time(get("LastWriteTime")), get("ParserNote")
+    t, note = clock(get("LastWriteTime")), get("ParserNote")
     d = listed(("BagPath", get("BagPath")), ("RegistryKey", get("RegistryKey")), ("ValueName", get("ValueName")), ("MruSlot", get("MruSlot")), ("SourceFile", get("SourceFile")))
     return fact(r, "ShellBags", "FolderBrowsed", refs(("Path", get("DecodedPath")), ("User", get("User")), ("Sid", get("Sid"))), "Structured", t, ("ObservedTime", "ObservedTime"), ("Low", "Low"), d, no_time(t, "No usable last-write time in this row.", note), ~X.usable(t) | ~X.blank(note), order=23)
 
@@ -300,17 +334,25 @@ def event_action(event_id: Column, provider: Column, data: Column) -> Column:
     return mapped(e, EVENT_ACTIONS, family)
 
 
+@zoned
 def event_log(r: DataFrame) -> DataFrame:
     """r: sources.tables.event_logs(). A blank time keeps the fact and its references."""
-    x = r.withColumn("d", X.pairs(get("EventData"))).withColumns({"eid": F.trim(get("EventId")), "message": get("Message")})
-    d, eid = F.col("d"), F.col("eid")
-    v = lambda *names: X.placeholder(X.lookup(d, *names))
+    # Each value is cleaned once, in the map: blank ones go, placeholders become ''. A lookup is then a plain coalesce.
+    clean = lambda k, v: X.let(X.single_line(v), lambda s: F.when(s.isin(*X.PLACEHOLDERS), "").otherwise(s))
+    x = r.withColumns({"raw": X.pairs(get("EventData")), "eid": F.trim(get("EventId")), "message": get("Message")})
+    x = x.withColumn("raw", F.map_filter("raw", lambda k, v: v != ""))
+    x = x.withColumns({"d": F.transform_values("raw", clean), "path": X.path_in(F.col("message"))})
+    wanted = {"share_local": ("ShareLocalPath",), "relative": ("RelativeTargetName",), "user": ("User", "UserName"), "param1": ("Param1",), "param3": ("Param3",)}
+    raw, eid, path = F.col("raw"), F.col("eid"), F.col("path")
+    v = lambda *names: F.coalesce(*(F.try_element_at("d", X.plain_key(F.lit(n))) for n in names), F.lit(""))
+    x = x.withColumns({k: v(*n) for k, n in wanted.items()})
     at = lambda ids, c: F.when(eid.isin(*ids), c).otherwise("")
-    who = lambda side: X.account(X.lookup(d, f"{side}DomainName"), X.lookup(d, f"{side}UserName", *(("TargetUser",) if side == "Target" else ())))
-    local, rel = F.regexp_replace(v("ShareLocalPath"), r"[\\/]+$", ""), F.regexp_replace(v("RelativeTargetName"), r"^[\\/]+", "")
-    path = X.path_in(F.col("message"))
-    rdp_user = X.first_set(v("User", "UserName"), v("Param2", "Param1"))
-    rdp_domain = F.when(X.blank(v("User", "UserName")), F.when(X.blank(v("Param1")) | (F.lower(v("Param1")) == F.lower(rdp_user)), v("Param3")).otherwise(v("Param1"))).otherwise(v("Domain", "DomainName"))
+    who = lambda side: X.account(v(f"{side}DomainName"), v(f"{side}UserName", *(("TargetUser",) if side == "Target" else ())))
+    local, rel = F.regexp_replace("share_local", r"[\\/]+$", ""), F.regexp_replace("relative", r"^[\\/]+", "")
+    own_user, param1 = F.col("user"), F.col("param1")
+    rdp_user = X.first_set(own_user, v("Param2", "Param1"))
+    from_params = F.when(X.blank(param1) | (F.lower(param1) == F.lower(rdp_user)), F.col("param3")).otherwise(param1)
+    rdp_domain = F.when(X.blank(own_user), from_params).otherwise(v("Domain", "DomainName"))
     rdp = X.first_set(X.account(rdp_domain, rdp_user), X.account_in(F.col("message")))
     general = [
         ("Provider", X.placeholder(get("ProviderName"))), ("EventId", X.placeholder(eid)), ("Level", X.placeholder(get("LevelDisplayName"))), ("Computer", X.placeholder(get("Computer"))),
@@ -332,17 +374,17 @@ def event_log(r: DataFrame) -> DataFrame:
         ("TargetUser", at(("1149",), rdp)), ("RemoteIP", at(("1149",), v("ClientAddress", "ClientIP", "IpAddress", "NASIdentifier", "SourceIp"))), ("Path", at(("4697",), v("ServiceFileName"))),
         ("User", at(("4697",), v("ServiceStartName", "AccountName"))), ("Path", at(("7045",), v("ImagePath", "ServiceFileName"))), ("User", at(("7045",), v("AccountName", "StartName"))), ("TaskName", at(("4698", "4702"), v("TaskName", "Name"))),
     ]
-    t = X.parse_time(get("TimeCreated"))
+    t = clock(get("TimeCreated"))
     has_data, has_path = ~X.blank(get("EventData")), ~X.blank(path)
     base = F.when(~has_data & has_path, "No structured data; a path comes from the message.").when(~has_data, "No structured data; from the event's columns only.").when(has_path, "A further path comes from the message.").otherwise("")
-    more = F.when(eid.isin("4768", "4769"), F.concat(F.lit("Kerberos:"), F.nullif(v("TicketOptions", "TicketEncryptionType", "Status", "ResultCode"), F.lit("")))).when(eid == "4776", F.concat(F.lit("ValidationStatus:"), F.nullif(v("Status", "ErrorCode"), F.lit("")))).when(eid.isin("4698", "4702") & ~X.blank(X.lookup(d, "TaskContent")), "ScheduledTaskXmlPresent")
+    more = F.when(eid.isin("4768", "4769"), F.concat(F.lit("Kerberos:"), F.nullif(v("TicketOptions", "TicketEncryptionType", "Status", "ResultCode"), F.lit("")))).when(eid == "4776", F.concat(F.lit("ValidationStatus:"), F.nullif(v("Status", "ErrorCode"), F.lit("")))).when(eid.isin("4698", "4702") & ~X.blank(X.lookup(raw, "TaskContent")), "ScheduledTaskXmlPresent")
     untimed = F.when(~X.usable_event(t), "No usable time in this event.")
     note = F.concat_ws(" | ", F.nullif(base, F.lit("")), more, untimed)
     message, data = X.single_line(F.col("message")), X.single_line(get("EventData"))
     text = F.when(X.blank(data), message).when(X.blank(message), data).otherwise(F.concat(message, F.lit(" | Data: "), data))
     # References are built in a select of their own, so that generated code stays small.
     x = x.withColumns({"e1": refs(*general), "note": note, "fb": ~X.blank(base) | untimed.isNotNull()}).withColumn("e2", refs(*own))
-    out = fact(x, F.concat(F.lit("EventLog:"), F.col("label")), event_action(eid, get("ProviderName"), d), F.concat("e1", "e2"), "Structured", t, ("EventTime", "UnknownTime"), ("High", "Low"), text, F.col("note"), F.col("fb"), F.concat(F.col("label"), F.lit("_"), F.col("i").cast("string")), 24, 900)
+    out = fact(x, F.concat(F.lit("EventLog:"), F.col("label")), event_action(eid, get("ProviderName"), raw), F.concat("e1", "e2"), "Structured", t, ("EventTime", "UnknownTime"), ("High", "Low"), text, F.col("note"), F.col("fb"), F.concat(F.col("label"), F.lit("_"), F.col("i").cast("string")), 24, 900)
     out = out.withColumn("fact_id", F.regexp_replace("fact_id", "^EventLog:[^_]*_", "EventLog_"))
     return out
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from ..model import ROW, exploded
 
 LIMIT = 250
 #: Entity types that are pivoted by default.
@@ -56,17 +57,35 @@ def search_many(entities: DataFrame, seeds: DataFrame) -> DataFrame:
     return entities.join(seeds.select(F.lower("entity_key").alias("entity_key")).distinct(), "entity_key", "left_semi")
 
 
-def spelling(entities: DataFrame, *by: str) -> DataFrame:
-    """Each host's first spelling of an entity; of those the longest, a tie going to the earlier host."""
-    host = entities.groupBy("host", *by).agg(F.min_by("value_display", F.struct("case_id", "fact_ord")).alias("v"), F.min("case_id").alias("c"))
-    return host.groupBy(*by).agg(F.min_by("v", F.struct((-F.length("v")).alias("n"), F.col("c"), F.col("host"))).alias("display"))
+def grouped(df: DataFrame, *by: str) -> DataFrame:
+    """What is said of an entity in each group `by`, counted up before anything else is asked.
 
-
-def gathered(df: DataFrame, *by: str) -> DataFrame:
-    return df.groupBy(*by).agg(
-        F.count_distinct(F.lower("host")).alias("hosts"), F.count("*").alias("facts"), F.array_sort(F.collect_set("host")).alias("host_list"), F.array_sort(F.collect_set("source")).alias("sources"),
-        F.min(F.when(X.usable(F.col("time")), F.col("time"))).alias("first_seen"), F.max(F.when(X.usable(F.col("time")), F.col("time"))).alias("last_seen"),
+    The first step takes plain counts and least and greatest numbers of each host, case, source, action and
+    spelling, which tasks add up before they shuffle; so a very common entity comes to few rows. These are
+    dealt by the group once, and both later steps (each host, then all hosts) find them in place.
+    W04, display: each host's first spelling; of those the longest, a tie going to the earlier case.
+    """
+    timed = F.when(X.usable(F.col("time")), F.col("time"))
+    one = df.groupBy(*by, "host", "case_id", "source", "action", "entity_type", "value_display").agg(
+        F.count("*").alias("n"), F.min("fact_ord").alias("ord"), F.min(timed).alias("first"), F.max(timed).alias("last"),
+        F.min(F.when(F.col("time").isNotNull(), F.col("fact_ord"))).alias("ord_timed"),
+    )
+    met = F.struct("host", F.col("ord_timed").isNull(), F.coalesce("ord_timed", "ord"))
+    host = one.repartition(*by).groupBy(*by, "host").agg(
+        F.sum("n").alias("n"), F.collect_set("source").alias("sources"), F.collect_set("action").alias("actions"),
+        F.min("first").alias("first"), F.max("last").alias("last"), F.min("case_id").alias("case_id"),
+        F.min_by("value_display", F.struct("case_id", "ord")).alias("spelling"), F.min(F.struct(met, "value_display")).alias("met"),
+        F.min(F.struct("case_id", "ord", "entity_type")).alias("typed"), F.max(F.struct(F.length("value_display"), "value_display")).alias("long"),
     )
+    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    g = host.groupBy(*by).agg(
+        F.sum("n").alias("facts"), F.array_sort(F.collect_set("host")).alias("host_list"), merged("sources").alias("sources"), merged("actions").alias("actions"),
+        F.min("first").alias("first_seen"), F.max("last").alias("last_seen"),
+        F.min_by("spelling", F.struct(-F.length("spelling"), F.col("case_id"), F.col("host"))).alias("display"),
+        F.min("met").alias("met"), F.min("typed").alias("typed"), F.max("long").alias("long"),
+    )
+    hosts = F.size(F.array_distinct(F.transform("host_list", lambda h: F.lower(h))))
+    return g.withColumns({"hosts": hosts, "met": F.col("met.value_display"), "type_met": F.col("typed.entity_type"), "longest": F.col("long.value_display")}).drop("typed", "long")
 
 
 def _top(df: DataFrame, order: list[Column], most: int | None, per: tuple[str, ...] = ("entity_type",)) -> DataFrame:
@@ -75,42 +94,50 @@ def _top(df: DataFrame, order: list[Column], most: int | None, per: tuple[str, .
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*per).orderBy(*order))).where(F.col("rank") <= most)
 
 
+def _typed(g: DataFrame) -> DataFrame:
+    return g.withColumn("entity_type", F.substring_index("entity_key", ":", 1))
+
+
+SEEN = ("hosts", "facts", "host_list", "sources", "first_seen", "last_seen")
+
+
 def shared(entities: DataFrame, types=TYPES, least: int = 2, most: int | None = LIMIT) -> DataFrame:
     """Entities on several hosts, all types in one grouping, the limit taken for each type."""
     e = entities.where(F.lower("entity_type").isin(*(t.lower() for t in types)))
-    by = ("entity_key",)
-    g = gathered(e, *by).where(F.col("hosts") >= least).join(spelling(e, *by), list(by))
-    g = g.withColumn("entity_type", F.substring_index("entity_key", ":", 1))
+    g = _typed(grouped(e, "entity_key").where(F.col("hosts") >= least).select("entity_key", *SEEN, "display"))
     return _top(g, [F.desc("hosts"), F.desc("facts"), F.lower("display"), F.col("entity_key")], most)
 
 
 def temporal(entities: DataFrame, minutes: int, types=TYPES, least: int = 2, most: int | None = LIMIT) -> DataFrame:
     """As shared(), within each time bucket; usable times only."""
     e = entities.where(F.lower("entity_type").isin(*(t.lower() for t in types)) & X.usable(F.col("time"))).withColumn("bucket", X.bucket_start(F.col("time"), minutes))
-    by = ("entity_key", "bucket")
-    g = gathered(e, *by).where(F.col("hosts") >= least).join(spelling(e, *by), list(by))
-    g = g.withColumn("entity_type", F.substring_index("entity_key", ":", 1)).withColumn("bucket_end", X.bucket_end(F.col("bucket"), minutes))
+    g = _typed(grouped(e, "entity_key", "bucket").where(F.col("hosts") >= least).select("entity_key", "bucket", *SEEN, "display"))
+    g = g.withColumn("bucket_end", X.bucket_end(F.col("bucket"), minutes))
     return _top(g, [F.desc("hosts"), F.desc("facts"), F.desc("bucket"), F.lower("display"), F.col("entity_key")], most)
 
 
 def neighbours(entities: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(seed, and the other entities of each fact that names it). seeds: (entity_key)."""
+    """(seed, and the other entities of each fact that names it). seeds: (entity_key).
+
+    Each row of entities carries what else its fact names, so rows are filtered by the seeds and nothing else is joined.
+    Whether the seeds are broadcast is left to Spark, which knows their size.
+    """
     s = seeds.select(F.lower("entity_key").alias("seed")).distinct()
-    facts = entities.join(s, F.col("entity_key") == F.col("seed")).select("seed", "case_id", "fact_ord").distinct()
-    return entities.join(facts, ["case_id", "fact_ord"]).where("entity_key <> seed")
+    hit = entities.join(s, F.col("entity_key") == F.col("seed")).select("seed", *ROW, "entity_refs", "ref_keys")
+    return exploded(hit).where("entity_key <> seed").drop("entity_refs", "ref_keys")
 
 
 def related(entities: DataFrame, seed: str, most: int | None = LIMIT) -> DataFrame:
     """Entities that share facts with the seed, longest spelling."""
     n = neighbours(entities, entities.sparkSession.createDataFrame([(seed,)], "entity_key string"))
-    g = gathered(n, "entity_key").join(n.groupBy("entity_key").agg(F.max_by("value_display", F.struct(F.length("value_display"), F.col("value_display"))).alias("display")), "entity_key")
-    return _top(g.withColumn("entity_type", F.substring_index("entity_key", ":", 1)), [F.desc("hosts"), F.desc("facts"), F.col("entity_type"), F.lower("display"), F.col("entity_key")], most, ())
+    g = _typed(grouped(n, "entity_key").select("entity_key", *SEEN, F.col("longest").alias("display")))
+    return _top(g, [F.desc("hosts"), F.desc("facts"), F.col("entity_type"), F.lower("display"), F.col("entity_key")], most, ())
 
 
 def edges(entities: DataFrame, seeds: DataFrame, fan_out: int | None = LIMIT) -> DataFrame:
     """Edges from each seed with actions and the first spelling met; the fan-out is taken for each seed."""
-    n = neighbours(entities, seeds)
-    g = gathered(n, "seed", "entity_key").join(n.groupBy("seed", "entity_key").agg(F.array_sort(F.collect_set("action")).alias("actions"), F.min_by("value_display", F.struct("host", F.col("time").isNull(), F.col("fact_ord"))).alias("display"), F.min_by("entity_type", F.struct("case_id", "fact_ord")).alias("entity_type")), ["seed", "entity_key"])
+    g = grouped(neighbours(entities, seeds), "seed", "entity_key")
+    g = g.select("seed", "entity_key", *SEEN, "actions", F.col("met").alias("display"), F.col("type_met").alias("entity_type"))
     return _top(g, [F.desc("hosts"), F.desc("facts"), F.col("entity_type"), F.lower("display"), F.col("entity_key")], fan_out, ("seed",))
 
 

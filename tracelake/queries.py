@@ -38,7 +38,8 @@ def joined(c: str):
 
 # The facts and entities in SQL.
 _NATIONS = "SELECT o.*, n_name FROM orders o JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
-_PLACE = "((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey"
+_CENTS = ", ".join(f"floor({c} * 100 + 0.5)::BIGINT" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+_PLACE = f"""('0x' || left(md5(concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey, {_CENTS}, epoch(l_shipdate)::BIGINT)), 15))::BIGINT"""
 _EVENTS = "SELECT 'H' || (user_id % 5) AS host, event_id AS ord, ts AS time, 'Events' AS source, event_type AS action, user_id, json_extract_string(props, '$.k') AS k FROM events"
 _FACTS = f"""ev AS ({_EVENTS}), od AS (SELECT n_name AS host, o_orderkey AS ord, o_orderdate AS time, 'Orders' AS source, o_orderstatus AS action, o_custkey, o_orderpriority FROM ({_NATIONS})),
 li AS (SELECT n_name AS host, {_PLACE} AS ord, l_shipdate AS time, 'LineItem' AS source, l_returnflag AS action, l_partkey, l_suppkey, l_orderkey FROM lineitem JOIN ({_NATIONS}) ON l_orderkey = o_orderkey)"""

@@ -16,14 +16,19 @@ FIELD = r',(?:"((?:[^"]|"")*)"|([^,]*))'
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, host, line, value): the lines of text files, numbered from 0 within each file."""
+    """(file, host, line, value): the lines of text files, numbered from 0 within each file.
+
+    A block of a file is read by one task, so a line's place is the block's base (lines in earlier
+    blocks) and its own distance from the block's least id. Only the table of blocks, a row each, is
+    grouped and joined; both reads of the same files are split alike.
+    """
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value"
     )
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = raw.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = raw.withColumn("k", F.row_number().over(Window.partitionBy("file", "block").orderBy("id")))
-    return own.join(base, ["file", "block"]).select("file", host_folder(F.col("file")).alias("host"), (F.col("base") + F.col("k") - 1).alias("line"), "value")
+    base = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    base = base.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("least")).alias("base"))
+    return raw.join(base, ["file", "block"]).select("file", host_folder(F.col("file")).alias("host"), (F.col("base") + F.col("id")).alias("line"), "value")
 
 
 def host_folder(file: Column) -> Column:
@@ -43,10 +48,15 @@ def fields(line: Column) -> Column:
 def _by_header(body: DataFrame, heads: DataFrame) -> DataFrame:
     """Lines and their file's header names -> (file, host, i, f): i numbers data rows from 0, f maps names to values."""
     j = body.join(heads, "file").where(F.col("line") > F.col("head_line")).where(~X.blank(F.col("value")))
-    v = fields(F.col("value"))
-    named = F.transform("names", lambda n, k: F.struct(n.alias("k"), F.coalesce(F.get(F.col("v"), k), F.lit("")).alias("x")))
-    first = F.filter(named, lambda e, k: (F.array_position("names", e["k"]) == k + 1) & (e["k"] != ""))
-    return j.withColumn("v", v).select("file", "host", (F.col("line") - F.col("head_line") - 1).alias("i"), F.map_from_entries(first).alias("f"))
+
+    def named(v):
+        return F.transform("names", lambda n, k: F.struct(n.alias("k"), F.coalesce(F.get(v, k), F.lit("")).alias("v")))
+
+    def kept(e):
+        return F.filter(e, lambda x, k: (F.array_position("names", x["k"]) == k + 1) & (x["k"] != ""))
+
+    record = X.let(fields(F.col("value")), lambda v: X.let(named(v), kept))
+    return j.select("file", "host", (F.col("line") - F.col("head_line") - 1).alias("i"), F.map_from_entries(record).alias("f"))
 
 
 def table(spark: SparkSession, path: str) -> DataFrame:
@@ -115,9 +125,11 @@ def blocks(spark: SparkSession, path: str, start: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.replace("value", F.lit("\r"), F.lit("")).alias("value"))
     parts = F.filter(F.split("value", f"(?m)(?={start})"), lambda p: p.rlike(f"(?m)^{start.lstrip('^')}"))
     each = raw.select("file", host_folder(F.col("file")).alias("host"), F.regexp_extract("value", r"(?im)^\s*ObservedAtUtc:\s*(.*)$", 1).alias("observed"), F.posexplode(parts).alias("block", "value"))
-    pairs = F.transform(F.regexp_extract_all("value", F.lit(r"(?m)(?:^|>)\s*([A-Za-z][A-Za-z ().-]*?)\s*:[ \t]*(.*)$"), F.lit(0)), lambda x: F.struct(F.lower(F.trim(F.regexp_extract(x, r"([A-Za-z][A-Za-z ().-]*?)\s*:", 1))).alias("k"), F.trim(F.regexp_extract(x, r":[ \t]*(.*)$", 1)).alias("v")))
-    keys = F.transform("p", lambda e: e["k"])
-    return each.withColumn("p", pairs).select("file", "host", "observed", "block", F.map_from_entries(F.filter("p", lambda e, i: F.array_position(keys, e["k"]) == i + 1)).alias("f"))
+    line = r"(?m)(?:^|>)\s*([A-Za-z][A-Za-z ().-]*?)\s*:[ \t]*(.*)$"
+    label = lambda x: F.lower(F.trim(F.regexp_extract(x, r"([A-Za-z][A-Za-z ().-]*?)\s*:", 1)))
+    pair = lambda x: F.struct(label(x).alias("k"), F.trim(F.regexp_extract(x, r":[ \t]*(.*)$", 1)).alias("v"))
+    pairs = F.transform(F.regexp_extract_all("value", F.lit(line), F.lit(0)), pair)
+    return each.select("file", "host", "observed", "block", X.first_of_each(pairs).alias("f"))
 
 
 def kerberos(spark: SparkSession, path: str) -> DataFrame:
