@@ -1,6 +1,7 @@
 """Readers, normalisers and operators on small hand-made files and frames."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,7 +48,8 @@ def facts(spark, tmp_path_factory):
         p = root / "h1" / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(text)
-    return reports.facts_of_folder(spark, str(root)).cache()
+    reports.facts_of_folder(spark, str(root)).write.parquet(str(root / "facts"))
+    return spark.read.parquet(str(root / "facts"))
 
 
 def of(facts, source):
@@ -118,8 +120,106 @@ def test_store(spark, facts, tmp_path):
     assert (good.count(), skipped) == (1, 1)
     store.timeline_csv(spark.createDataFrame([("=1+1", "ok")], "a string, b string"), str(tmp_path / "t"))
     assert spark.read.csv(str(tmp_path / "t"), header=True).first()["a"] == "'=1+1"
-    reports.full_log(facts, tables.cases(spark.createDataFrame([("h1", "process_list.csv")], "host string, name string")), str(tmp_path / "f"))
-    assert spark.read.json(str(tmp_path / "f/facts")).count() == facts.count()
+    (one,) = facts.limit(1).collect()
+    for path in ("two", "three"):  # a store of one fact, to which another is added
+        store.save(facts.limit(1), str(tmp_path / path))
+    store.append(facts.where(F.col("fact_id") != one["fact_id"]).limit(1).withColumn("fact_ord", F.lit(one["fact_ord"])), str(tmp_path / "two"))
+    two = store.load(spark, str(tmp_path / "two"))
+    assert two.select("case_id", "fact_ord").distinct().count() == 2
+    e = model.fact_entities(two)
+    assert {r["fact_id"] for r in e.collect()} == {r["fact_id"] for r in two.where("size(entity_refs) > 0").collect()}
+    full = store.refill(store.load(spark, str(tmp_path / "three")), facts)
+    assert full.select("case_id", "fact_ord").distinct().count() == full.count() == facts.where(F.col("source") != one["source"]).count() + 1
+
+
+def required(schema, value):
+    """What a document lacks of a schema's required members: {name: schema of the members below, or None}."""
+    if isinstance(schema, list):
+        return [x for v in value for x in required(schema[0], v)]
+    return [k for k in schema if k not in value or value[k] is None] + [x for k, s in schema.items() if s and k in value for x in required(s, value[k])]
+
+
+HEAD = dict.fromkeys(("export_schema", "generated_at", "tool_name", "tool_version"))
+HOSTS = [dict.fromkeys(("host", "case_id", "fact_count"))]
+
+
+def test_documents(spark, facts, tmp_path):
+    read = lambda name: json.loads((tmp_path / name).read_text())
+    other = facts.union(facts.withColumns({"host": F.lit("h2"), "case_id": F.lit("h2")}))
+    reports.correlate(other, str(tmp_path / "c.json"))
+    c = read("c.json")
+    row = [dict.fromkeys(("entity_type", "value", "fact_count", "host_count", "hosts"))]
+    assert not required(HEAD | {"host_count": None, "hosts": HOSTS, "shared_entities": row, "temporal_correlations": row}, c)
+    assert c["export_schema"] == "correlation_v1" and c["host_count"] == 2 == len(c["hosts"])
+    assert len(c["shared_entities"]) == pivot.shared(model.fact_entities(other)).count() > 5 and c["temporal_correlations"]
+    reports.draw(other, "User:kim", str(tmp_path / "g.json"))
+    g = read("g.json")
+    nodes, edges = [dict.fromkeys(("type", "value", "depth"))], [dict.fromkeys(("from_type", "from_value", "to_type", "to_value", "depth"))]
+    assert not required(HEAD | dict.fromkeys(("seed_type", "seed_value", "max_depth", "host_count", "node_count", "edge_count")) | {"nodes": nodes, "edges": edges}, g)
+    assert g["export_schema"] == "graph_v1" and (g["node_count"], g["edge_count"]) == (len(g["nodes"]), len(g["edges"])) and g["edge_count"] > 5
+    assert g["nodes"][0]["value"] == "kim" and g["nodes"][0]["depth"] == 0
+    reports.draw(other, "User:nobody", str(tmp_path / "none.json"))
+    assert read("none.json")["edges"] == [] and len(read("none.json")["nodes"]) == 1
+    manifest = spark.createDataFrame([("h1", "process_list.csv", 5, "ab")], "host string, rel string, size long, sha256 string")
+    reports.analyse(other, str(tmp_path / "s"), evidence=manifest)
+    docs = [json.loads(line) for p in (tmp_path / "s").glob("_by=*/part-*") for line in p.read_text().splitlines()]
+    assert {d["host"] for d in docs} == {"h1", "h2"} and all(not required(HEAD | dict.fromkeys(("host", "fact_count")), d) for d in docs)
+    (one,) = [d for d in docs if d["host"] == "h1"]
+    assert one["fact_count"] == facts.count() and one["export_schema"] == "summary_v3" and one["evidence"][0]["sha256"] == "ab" and one["evidence_digest"]
+    assert sum(one["fact_source_counts"].values()) == facts.count() and len(one["fact_samples"]) == min(100, facts.count())
+    assert {r["id"] for r in one["guided_hunt"]["rule_matches"]} >= {"GH-RDP-001", "GH-SMB-001"} and all(h["title"] and h["suggested_tags"] for h in one["guided_hunt"]["hypothesis_templates"])
+    cases = tables.cases(spark.createDataFrame([("h1", "process_list.csv"), ("h9", "x.bin")], "host string, name string"))
+    reports.full_log(facts, cases, str(tmp_path / "f.json"))
+    f = read("f.json")
+    assert f["export_schema"] == "full_log_v3" and len(f["facts"]) == f["fact_count"] == facts.count() and f["host_count"] == 2
+    assert f["load_warnings"] == [{"warning": "h9: no readable evidence"}] and f["facts"][0]["Time"].startswith("/Date(") and f["parser_notes"]
+
+
+def test_event_texts(spark):
+    rows = [
+        ("4688", "P", "", "NewProcessName=C:\\A.exe | CommandLine=A.exe  -x"), ("4624", "P", "m", "TargetUserName=Kim | LogonType=3 | IpAddress=10.0.0.1"), ("4698", "P", "", "TaskName=\\T | SubjectUserName=jo"),
+        ("7045", "P", "", "ServiceName=svc | ImagePath=C:\\s.exe"), ("4104", "P", "", "ScriptBlockText=Get-X"), ("5140", "P", "Msg\ntwo", "ShareName=C$ | IpAddress=1.2.3.4"), ("9", "Prov", "", ""), ("", "", "", "a=b"),
+    ]
+    d = spark.createDataFrame(rows, "id string, p string, m string, d string")
+    got = [(r[0], r[1]) for r in d.select(timeline.event_indicator(F.col("id"), F.col("p"), F.col("m"), F.col("d")), timeline.sample_text(F.col("id"), F.col("m"), F.col("d"))).collect()]
+    assert got == [
+        ("event:4688:a.exe  -x", "C:\\A.exe | A.exe  -x"), ("event:4624:user=kim type=3 ip=10.0.0.1", "User=Kim Type=3 IP=10.0.0.1"), ("event:4698:jo", "\\T | jo"), ("event:7045:c:\\s.exe", "svc | C:\\s.exe"),
+        ("event:4104:get-x", "Get-X"), ("event:5140:msg\ntwo", "Share=C$ IP=1.2.3.4"), ("event:9:prov", ""), ("event:unknown:a=b", "a=b"),
+    ]
+    assert list(timeline.HIGHLIGHTS)[:3] == ["4624", "4625", "4648"] and len(timeline.HIGHLIGHTS) == 22 and {"4719", "4722", "4725", "1149"} <= set(timeline.HIGHLIGHTS)
+
+
+def test_evidence_line(spark, facts):
+    r = facts.where("source = 'ServerConnection'").orderBy("fact_ord").select(hunt.evidence_line()).first()[0]
+    assert r == "2025-01-02T03:04:05.0000000Z | ServerConnection/ServerShareConnectionObserved | user=kim | remote=10.0.0.7 | share=ADMIN$ | detail=ConnectionId=3; ActiveTimeSec=1; IdleTimeSec=2; NumberOfFiles=4"
+    untimed = facts.where("source = 'Autorun' OR source = 'Service'").select(hunt.evidence_line()).first()[0]
+    assert untimed.startswith("(time unavailable) | Service/")
+
+
+def test_credential_facts_are_those_of_the_pairs(facts):
+    pairs = hunt.credential_pairs(facts).collect()
+    want = {(p["case_id"], p[k]) for p in pairs for k in ("credential", "remote")}
+    assert {(r["case_id"], r["fact_ord"]) for r in hunt.credential_facts(facts).collect()} == want != set()
+
+
+def test_zones(spark, tmp_path):
+    (tmp_path / "far").mkdir()
+    (tmp_path / "far" / "process_list.csv").write_text("PID,Name,Path,StartTime\n1,a,C:\\a.exe,2025-01-02 03:04:05\n2,b,C:\\b.exe,2025-01-02T03:04:05Z\n")
+    zones = spark.createDataFrame([("far", "Asia/Taipei")], "host string, zone string")
+    times = [r["time"] for r in reports.facts_of_folder(spark, str(tmp_path), zones).orderBy("fact_ord").collect()]
+    assert times == [dt.datetime(2025, 1, 1, 19, 4, 5), dt.datetime(2025, 1, 2, 3, 4, 5)]
+
+
+def test_line_numbers_over_many_blocks(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"f{k}.txt").write_text("".join(f"{i} {'x' * (i % 37)}\n" for i in range(900 * k + 5)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        rows = tables.lines(spark, f"{tmp_path}/*.txt").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == 5 + 905 + 1805 and all(int(r["value"].split()[0]) == r["line"] for r in rows)
 
 
 def test_files(spark, tmp_path):

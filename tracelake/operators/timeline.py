@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 
 # Event ids that are highlighted, in order.
-HIGHLIGHTS = {"4624": "Logon", "4625": "Failed logon", "4634": "Logoff", "4648": "Explicit credentials", "4672": "Special privileges", "4688": "Process created", "4697": "Service installed", "4698": "Task created", "4702": "Task updated", "4720": "Account created", "4726": "Account deleted", "4728": "Global group member added", "4732": "Local group member added", "4768": "Ticket-granting ticket", "4769": "Service ticket", "4776": "Credential validation", "5140": "Share accessed", "5145": "Share access checked", "7045": "Service installed (system)", "1102": "Log cleared", "1116": "Threat detected", "4104": "Script block"}
+HIGHLIGHTS = {
+    "4624": "Logon Success", "4625": "Logon Failure", "4648": "Explicit Credential Use", "4672": "Special Privileges", "4688": "Process Creation",
+    "4697": "Service Installed (Security)", "4698": "Scheduled Task Created", "4702": "Scheduled Task Updated", "4768": "Kerberos TGT",
+    "4769": "Kerberos Service Ticket", "4776": "NTLM Validation", "7045": "Service Installed (System)", "1102": "Log Cleared", "4719": "Audit Policy Changed",
+    "4720": "User Created", "4722": "User Enabled", "4725": "User Disabled", "4732": "User Added to Local Group", "4104": "PowerShell ScriptBlock",
+    "5140": "SMB Share Access", "5145": "SMB Share Object Access", "1149": "RDP Auth Success",
+}
 
 
 def of_facts(facts: DataFrame) -> DataFrame:
@@ -85,20 +91,40 @@ def indicators(events: DataFrame, minutes: int = 5, least: int = 2, most: int |
     return g.limit(most) if most else g
 
 
-def event_indicator(event_id: Column, data: Column) -> Column:
-    """F20"""
-    v = lambda *n: X.lookup(data, *n)
-    return X.indicator(
-        F.when(event_id.isin("4688"), X.first_set(v("CommandLine", "ProcessCommandLine"), v("NewProcessName"))).when(event_id.isin("4697", "7045"), X.first_set(v("ServiceFileName", "ImagePath"), v("ServiceName")))
-        .when(event_id.isin("4698", "4702"), v("TaskName")).when(event_id.isin("4624", "4625", "4648", "4672"), v("TargetUserName", "SubjectUserName")).when(event_id.isin("5140", "5145"), v("ShareName"))
-        .when(event_id.isin("4768", "4769"), v("ServiceName", "TargetUserName")).otherwise(""),
-        F.lit(""),
-    )
-
-
-def sample_text(event_id: Column, user: Column, message: Column) -> Column:
-    """F21"""
-    return X.truncate(F.concat_ws(" | ", F.concat(F.lit("EventId="), event_id), F.when(~X.blank(user), F.concat(F.lit("User="), user)), F.nullif(X.single_line(message), F.lit(""))), 300)
+def _events_own(event_id: Column, data: Column, pair, texts: dict[str, tuple[tuple[str, ...], tuple[str, ...]]], fields: dict[tuple[str, ...], dict[str, tuple[str, ...]]]) -> Column:
+    """What an event's own data say of it, else ''. texts: by id the names of its two values, which `pair` puts together; fields: by ids the labelled ones."""
+    v = lambda names: X.lookup(data, *names) if names else F.lit("")
+    c = F.when(F.lit(False), "")
+    for i, (a, b) in texts.items():
+        c = c.when(event_id == i, pair(v(a), v(b)))
+    for ids, parts in fields.items():
+        said = [F.when(~X.blank(v(n)), F.concat(F.lit(f"{label}="), X.single_line(v(n)))) for label, n in parts.items()]
+        c = c.when(event_id.isin(*ids), pair(F.lit(""), F.concat_ws(" ", *said)))
+    return F.coalesce(c, F.lit(""))
+
+
+# By event id the names of the data that stand for it.
+PROGRAM, COMMAND = ("NewProcessName", "ProcessName", "Image"), ("CommandLine", "ProcessCommandLine")
+BY_ID = {"4688": (PROGRAM, COMMAND), "4698": (("TaskName", "Task"), ("SubjectUserName", "User")), "7045": (("ServiceName",), ("ImagePath", "ServiceFileName"))}
+LOGONS = {"User": ("TargetUserName", "SubjectUserName"), "Type": ("LogonType",), "IP": ("IpAddress", "ClientAddress", "SourceAddress", "RemoteAddress")}
+SHARES = {"Share": ("ShareName",), "IP": ("IpAddress", "ClientAddress", "SourceAddress")}
+
+
+def event_indicator(event_id: Column, provider: Column, message: Column, event_data: Column) -> Column:
+    """`event:<id>` and what its data say, else its message, else all its data, else its provider; lower case, 120 characters at most."""
+    i = F.when(X.blank(event_id), "unknown").otherwise(F.trim(event_id))
+    short = lambda a, b: X.indicator(b, a)
+    own = _events_own(i, X.pairs(event_data), short, {**BY_ID, "4104": ((), ("ScriptBlockText",))}, {("4624", "4625"): LOGONS})
+    said = X.first_set(own, X.indicator(F.when(X.blank(message), X.text(event_data)).otherwise(message), X.text(provider)))
+    return F.concat(F.lit("event:"), i, F.when(said != "", F.concat(F.lit(":"), said)).otherwise(""))
+
+
+def sample_text(event_id: Column, message: Column, event_data: Column) -> Column:
+    """an event's sample: what its data say by event id, else its message in one line, else its first data."""
+    data, i = X.pairs(event_data), F.trim(X.text(event_id))
+    joined = lambda a, b: X.truncate(F.translate(F.when(X.blank(b), a).when(X.blank(a), b).otherwise(F.concat(a, F.lit(" | "), b)), "\r\n", "  "), 120)
+    own = _events_own(i, data, joined, {**BY_ID, "4104": (("ScriptBlockText",), ())}, {("4624", "4625"): LOGONS, ("5140",): SHARES})
+    return X.first_set(own, X.single_line(message), X.flatten(data, 8, 120, 240))
 
 
 def highlights(rows: DataFrame, kind: str, order: str, sample: str, labels: dict[str, str] = HIGHLIGHTS, first: int = 3) -> DataFrame:

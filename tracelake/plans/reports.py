@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import model
+from .. import __version__, model
 from ..functions import expr as X
-from ..operators import enrich, graph, hunt, normalize, pivot, quality, timeline
+from ..operators import enrich, graph, hunt, normalize, pivot, quality
 from ..sources import store, tables
 
 # Where each artifact lies below a host's folder.
@@ -19,33 +19,32 @@ FILES = {
 }
 
 
-def facts_of_folder(spark: SparkSession, root: str) -> DataFrame:
-    """The enriched facts of every host folder below root."""
-    names = {r["n"] for r in tables.listing(spark, root).select(F.lower("name").alias("n")).distinct().collect()}  # kinds of artifact, not files
-    at = lambda name: [f"{root}/*/{name}", f"{root}/*/*/{name}"]
-
-    def there(name):
-        return _existing(spark, at(name))
-
-    parts = [make(tables.table(spark, p)) for name, make in FILES.items() if name in names for p in [there(name)]]
-    if any(n.endswith("_filtered.csv") for n in names):
-        parts.append(normalize.event_log(tables.event_logs(spark, _existing(spark, at("*_filtered.csv")))))
-    if "usn_journal.csv" in names:
-        parts.append(normalize.usn(tables.table_after_preamble(spark, there("usn_journal.csv"))))
-    if "mft_preview.csv" in names:
-        parts.append(normalize.mft(tables.mft(spark, there("mft_preview.csv"))))
-    if "scheduled_tasks.xml" in names:
-        parts.append(normalize.scheduled_task(tables.task_actions(tables.tasks(spark, ",".join(there("scheduled_tasks.xml"))))))
-    if "kerberos_tickets.txt" in names:
-        parts.append(normalize.kerberos_ticket(tables.kerberos(spark, there("kerberos_tickets.txt"))))
-    if "stored_credentials.txt" in names:
-        parts.append(normalize.stored_credential(tables.credentials(spark, there("stored_credentials.txt"))))
-    for name, schema, analysis in (("memory_acquisition.json", tables.ACQUISITION, False), ("memory_analysis.json", tables.ANALYSIS, True)):
-        if name in names:
-            parts.append(normalize.memory(tables.sidecar(spark, there(name), schema), analysis))
-    cover = tables.sidecar(spark, there("collection_coverage.json"), tables.COVERAGE) if "collection_coverage.json" in names else None
+#: Names that are looked for below a host's folder besides FILES.
+OTHERS = ("usn_journal.csv", "mft_preview.csv", "scheduled_tasks.xml", "kerberos_tickets.txt", "stored_credentials.txt", "memory_acquisition.json", "memory_analysis.json", "collection_coverage.json")
+
+
+def facts_of_folder(spark: SparkSession, root: str, zones: DataFrame | None = None) -> DataFrame:
+    """The enriched facts of every host folder below root. zones: (host, zone), the hosts' time zones where they are not UTC."""
+    there = {n: p for n in (*FILES, *OTHERS, "*_filtered.csv") if (p := _existing(spark, [f"{root}/*/{n}", f"{root}/*/*/{n}"]))}
+
+    def local(rows: DataFrame) -> DataFrame:
+        return rows if zones is None else rows.join(zones.select("host", "zone"), "host", "left")
+
+    makers = {n: (lambda p: tables.table(spark, p), make) for n, make in FILES.items()} | {
+        "*_filtered.csv": (lambda p: tables.event_logs(spark, p), normalize.event_log),
+        "usn_journal.csv": (lambda p: tables.table_after_preamble(spark, p), normalize.usn),
+        "mft_preview.csv": (lambda p: tables.mft(spark, p), normalize.mft),
+        "scheduled_tasks.xml": (lambda p: tables.task_actions(tables.tasks(spark, ",".join(p))), normalize.scheduled_task),
+        "kerberos_tickets.txt": (lambda p: tables.kerberos(spark, p), normalize.kerberos_ticket),
+        "stored_credentials.txt": (lambda p: tables.credentials(spark, p), normalize.stored_credential),
+        "memory_acquisition.json": (lambda p: tables.sidecar(spark, p, tables.ACQUISITION), normalize.memory),
+        "memory_analysis.json": (lambda p: tables.sidecar(spark, p, tables.ANALYSIS), lambda r: normalize.memory(r, True)),
+    }
+    parts = [make(local(read(there[n]))) for n, (read, make) in makers.items() if n in there]
     if not parts:
         raise store.StoreError("no readable artifact")
+    name = "collection_coverage.json"
+    cover = tables.sidecar(spark, there[name], tables.COVERAGE) if name in there else None
     return enrich.with_provenance(enrich.with_time_defaults(normalize.union(parts)), cover)
 
 
@@ -59,36 +58,126 @@ def _existing(spark: SparkSession, globs: list[str]) -> list[str]:
     return out
 
 
-def summaries(facts: DataFrame, unknown: str = "(unknown)") -> DataFrame:
-    """A row for each host: counts by source and by entity type, notes, and first facts."""
-    by = lambda df, k, n: df.groupBy("case_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, n)))).alias(k + "_counts"))
-    src = facts.groupBy("case_id", F.when(X.blank(F.col("source")), unknown).otherwise(F.col("source")).alias("source")).agg(F.count("*").alias("n"))
-    typ = facts.select("case_id", F.explode("entity_refs").alias("r")).groupBy("case_id", F.col("r.type").alias("entity")).agg(F.count("*").alias("n"))
-    notes = facts.where(F.col("fallback_used") & ~X.blank(F.col("parser_note"))).groupBy("case_id").agg(F.array_sort(F.collect_set(F.concat_ws(": ", "source", "parser_note"))).alias("notes"))
-    return by(src, "source", "n").join(by(typ, "entity", "n"), "case_id", "left").join(notes, "case_id", "left")
+def heading(spark: SparkSession, schema: str, **values) -> DataFrame:
+    """One row: what every export document begins with, and these values. Counts may be one-row frames; they are cross-joined as such."""
+    first = {"generated_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'0Z'"), "export_schema": F.lit(schema), "tool_name": F.lit("tracelake"), "tool_version": F.lit(__version__)}
+    row = spark.range(1).select(*(c.alias(k) for k, c in first.items()))
+    for k, v in values.items():
+        row = row.crossJoin(v.select(F.col(v.columns[0]).alias(k))) if isinstance(v, DataFrame) else row.withColumn(k, v if isinstance(v, Column) else F.lit(v))
+    return row
 
 
-def analyse(facts: DataFrame, path: str) -> None:
-    """Writes summary_v3: summaries, hunt matches and hypotheses, first facts."""
-    m = hunt.evaluate(facts)
-    store.documents({"hosts": summaries(facts), "rule_matches": m, "hypotheses": hunt.hypotheses(m), "samples": timeline.first_samples(facts)}, {"schema": "summary_v3"}, path)
+def hosts_of(facts: DataFrame) -> DataFrame:
+    """host, case_id, fact_count of each case, in order."""
+    return facts.groupBy("host", "case_id").agg(F.count("*").alias("fact_count")).orderBy("host", "case_id")
 
 
-def correlate(facts: DataFrame, path: str, types=pivot.TYPES, minutes: int = 30) -> None:
-    """Writes correlation_v1. Shared entities are sorted over all types, temporal ones are not sorted again."""
-    e = model.fact_entities(facts)
-    s = pivot.shared(e, types).orderBy(F.desc("hosts"), F.desc("facts"), F.lower("display"), "entity_key")
-    store.documents({"shared": s, "temporal": pivot.temporal(e, minutes, types)}, {"schema": "correlation_v1"}, path)
+def _counted(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """by and `name`: a map of key k to how often it occurs. Keys are sources and types: few."""
+    n = df.groupBy(*by, "k").agg(F.count("*").alias("n"))
+    entry = F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name)
+    return (n.groupBy(*by) if by else n).agg(entry)
+
 
+def fact_document() -> Column:
+    """A fact as the full log and the samples hold it."""
+    refs = F.transform("entity_refs", lambda r: F.struct(r["type"].alias("Type"), r["value"].alias("Value")))
+    millis = F.unix_millis(X.export_time(F.coalesce("time", F.timestamp_seconds(F.lit(0)))))
+    names = {"TimeKind": "time_kind", "TimeConfidence": "time_confidence", "Source": "source", "Action": "action", "SourceFile": "source_file", "CollectionStep": "collection_step", "CollectionStatus": "collection_status"}
+    more = {"CollectionPrivilege": "collection_privilege", "ParseLevel": "parse_level", "FallbackUsed": "fallback_used", "ParserNote": "parser_note", "Details": "details", "RawRef": "raw_ref"}
+    time = F.concat(F.lit("/Date("), millis.cast("string"), F.lit(")/"))
+    return F.struct(F.col("fact_id").alias("Id"), time.alias("Time"), *(F.col(c).alias(k) for k, c in (names | more).items()), refs.alias("EntityRefs"))
 
-def draw(facts: DataFrame, seed: str, path: str, depth: int = 2) -> None:
-    """Writes graph_v1."""
-    n, g = graph.ordered(*graph.expand(model.fact_entities(facts), seed, depth))
-    store.documents({"nodes": n, "edges": g}, {"schema": "graph_v1", "seed": seed}, path)
+
+def _hunts(facts: DataFrame) -> DataFrame:
+    """case_id and guided_hunt: each case's matches and hypotheses."""
+    m = hunt.evaluate(facts)
+    names = F.create_map(*(F.lit(x) for kv in hunt.TECHNIQUES.items() for x in kv))
+    rule = F.struct(
+        F.col("rule").alias("id"), "severity", F.concat(F.col("matches").cast("string"), F.lit(" matching facts")).alias("summary"), F.col("tactic").alias("attack_tactic"),
+        F.col("technique").alias("attack_technique_id"), F.try_element_at(names, F.col("technique")).alias("attack_technique_name"),
+        F.col("evidence_ids").alias("fact_ids"), "evidence", F.col("hypothesis").alias("suggested_hypothesis_id"),
+    )
+    h = F.struct(F.col("hypothesis").alias("id"), "title", "question", "why", F.col("rules").alias("related_rule_ids"), F.col("tags").alias("suggested_tags"))
+    rules = m.groupBy("case_id").agg(F.array_sort(F.collect_list(rule)).alias("rule_matches"))
+    templates = hunt.hypotheses(m).groupBy("case_id").agg(F.array_sort(F.collect_list(h)).alias("hypothesis_templates"))
+    return rules.join(templates, "case_id").select("case_id", F.struct("rule_matches", "hypothesis_templates").alias("guided_hunt"))
+
+
+def summaries(facts: DataFrame, unknown: str = "(unknown)", most: int = 100, coverage: DataFrame | None = None, evidence: DataFrame | None = None) -> DataFrame:
+    """A summary_v3 row for each case. Samples are the first `most` facts built. evidence: (host, rel, size, sha256) of quality.manifest; coverage: sidecars of tables.COVERAGE."""
+    source = F.when(X.blank(F.col("source")), unknown).otherwise(F.col("source"))
+    n = facts.groupBy("case_id", "host").agg(F.count("*").alias("fact_count"))
+    src = _counted(facts.select("case_id", source.alias("k")), ["case_id"], "fact_source_counts")
+    typ = facts.select("case_id", F.explode("entity_refs").alias("r")).where(~X.blank(F.col("r.type"))).select("case_id", F.col("r.type").alias("k"))
+    notes = facts.where(F.col("fallback_used") & ~X.blank(F.col("parser_note"))).select("case_id", F.concat_ws(": ", "source", "parser_note").alias("n"))
+    notes = notes.groupBy("case_id", F.lower("n").alias("k")).agg(F.min("n").alias("n")).groupBy("case_id").agg(F.array_sort(F.collect_list("n")).alias("parser_notes"))
+    first = facts.withColumn("k", F.row_number().over(Window.partitionBy("case_id").orderBy("fact_ord"))).where(F.col("k") <= most)
+    samples = first.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", fact_document().alias("f")))), lambda x: x["f"]).alias("fact_samples"))
+    out = n.join(src, "case_id").join(samples, "case_id")
+    for more in (_counted(typ, ["case_id"], "entity_type_counts"), notes, _hunts(facts)):
+        out = out.join(more, "case_id", "left")
+    mode = F.lit("")
+    if coverage is not None:
+        c = coverage.select("host", F.struct("overall_status", "steps").alias("collection_coverage")).dropDuplicates(["host"])
+        out = out.join(c, "host", "left")
+    if evidence is not None:
+        files = evidence.groupBy("host").agg(F.array_sort(F.collect_list(F.struct(F.col("rel").alias("relpath"), F.col("size").alias("size_bytes"), "sha256"))).alias("evidence"))
+        out = out.join(files, "host", "left").join(quality.digest(evidence).select("host", F.col("digest").alias("evidence_digest")), "host", "left")
+    head = heading(facts.sparkSession, "summary_v3", analysis_mode="facts_only", collection_mode_profile=mode)
+    texts = F.array().cast("array<string>")
+    out = out.withColumns({"parser_notes": F.coalesce("parser_notes", texts), "load_warnings": texts, "artifacts_count": F.size("fact_source_counts"), "mft_count": F.coalesce(F.try_element_at("fact_source_counts", F.lit("MFT")), F.lit(0))})
+    return head.crossJoin(out)
+
+
+def analyse(facts: DataFrame, path: str, **more) -> None:
+    """Writes a summary_v3 document for each case, in a folder for each host."""
+    store.rows_as_documents(summaries(facts, **more), "host", path)
+
+
+def _shown(row: DataFrame, **more) -> DataFrame:
+    value = {"entity_type": F.col("entity_type"), "value": F.col("display"), "fact_count": F.col("facts"), "host_count": F.col("hosts"), "hosts": F.col("host_list"), "sources": F.col("sources")}
+    return row.select(*(c.alias(k) for k, c in (value | more).items()))
 
 
-def full_log(facts: DataFrame, cases: DataFrame, path: str) -> None:
-    """Writes full_log_v3: facts with safe times, host summaries, warnings."""
-    safe = facts.withColumn("time", F.date_format(X.export_time(F.coalesce("time", F.timestamp_seconds(F.lit(0)))), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    w = cases.select("host", F.posexplode("load_warnings").alias("place", "warning"))
-    store.documents({"facts": safe, "hosts": pivot.host_summaries(facts, cases), "warnings": quality.warnings(w)}, {"schema": "full_log_v3"}, path)
+def correlate(facts: DataFrame, path: str, types=pivot.TYPES, minutes: int = 30) -> None:
+    """Writes correlation_v1. Shared entities are sorted over all types, temporal ones are not sorted again."""
+    e, hosts = model.fact_entities(facts), hosts_of(facts)
+    s = pivot.shared(e, types).orderBy(F.desc("hosts"), F.desc("facts"), F.lower("display"), "entity_key")
+    t = pivot.temporal(e, minutes, types).orderBy("entity_type", "rank")
+    head = heading(facts.sparkSession, "correlation_v1", host_count=hosts.agg(F.count("*")), ready_hosts=hosts.where("fact_count > 0").agg(F.count("*")), bucket_minutes=minutes, entity_types=F.array(*map(F.lit, types)))
+    spans = {"first_seen": X.iso(F.col("first_seen")), "last_seen": X.iso(F.col("last_seen"))}
+    store.document(head, {"hosts": hosts, "shared_entities": _shown(s, **spans), "temporal_correlations": _shown(t, bucket_start=X.iso(F.col("bucket")), bucket_end=X.iso(F.col("bucket_end")))}, path)
+
+
+def draw(facts: DataFrame, seed: str, path: str, depth: int = 2, fan_out: int = graph.FAN_OUT) -> None:
+    """Writes graph_v1."""
+    kind, _, value = seed.partition(":")
+    hosts = hosts_of(facts)
+    n, g = graph.ordered(*graph.expand(model.fact_entities(facts), seed, depth, fan_out))
+    head = heading(
+        facts.sparkSession, "graph_v1", seed_type=kind, seed_value=value, max_depth=depth, per_hop_fanout=fan_out,
+        host_count=hosts.agg(F.count("*")), node_count=n.agg(F.count("*")), edge_count=g.agg(F.count("*")),
+    )
+    nodes = n.select(F.col("entity_type").alias("type"), F.col("display").alias("value"), "depth", F.col("hosts").alias("host_count"), F.col("host_list").alias("hosts"))
+    split, to = model.split_key(F.col("seed")), (F.col("entity_type"), F.col("display"))
+    edges = g.select(
+        split[0].alias("from_type"), split[1].alias("from_value"), to[0].alias("to_type"), to[1].alias("to_value"), F.col("facts").alias("fact_count"), F.col("hosts").alias("host_count"),
+        F.col("host_list").alias("hosts"), "sources", "actions", X.iso(F.col("first_seen")).alias("first_seen"), X.iso(F.col("last_seen")).alias("last_seen"), "depth",
+    )
+    store.document(head, {"hosts": hosts, "nodes": nodes, "edges": edges}, path)
+
+
+def full_log(facts: DataFrame, cases: DataFrame, path: str, unknown: str = "Unknown") -> None:
+    """Writes full_log_v3: facts in build order with safe times, host summaries, notes and warnings."""
+    source = F.when(X.blank(F.col("source")), unknown).otherwise(F.col("source"))
+    types = facts.select(F.explode("entity_refs").alias("r")).where(~X.blank(F.col("r.type"))).select(F.col("r.type").alias("k"))
+    head = heading(
+        facts.sparkSession, "full_log_v3", analysis_mode="facts_only", host_count=cases.agg(F.count("*")), fact_count=facts.agg(F.count("*")),
+        fact_source_counts=_counted(facts.select(source.alias("k")), [], "m"), entity_type_counts=_counted(types, [], "m"),
+    )
+    warnings = quality.warnings(cases.select("host", F.posexplode("load_warnings").alias("place", "warning"))).orderBy("host", "place").select("warning")
+    notes = quality.fallback_notes(facts).orderBy("note")
+    hosts = pivot.host_summaries(facts, cases).orderBy("host").select("host", "case_id", F.col("facts").alias("fact_count"), F.col("by_source").alias("fact_source_counts"), "load_warnings")
+    own = facts.orderBy("case_id", "fact_ord").select(fact_document().alias("f")).select("f.*")
+    store.document(head, {"load_warnings": warnings, "parser_notes": notes, "hosts": hosts, "facts": own}, path)

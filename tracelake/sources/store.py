@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -14,10 +17,21 @@ class StoreError(ValueError):
     """A store that cannot be loaded."""
 
 
+def _keyed(facts: DataFrame) -> DataFrame:
+    first = F.get("entity_refs", F.lit(0))
+    return facts.withColumns({"primary_key": entity_key(first["type"], first["value"]), "schema_version": F.coalesce("schema_version", F.lit(SCHEMA_VERSION))})
+
+
 def save(facts: DataFrame, path: str) -> None:
     """Replaces the store, a folder for each host, with each fact's first entity key."""
-    first = F.get("entity_refs", F.lit(0))
-    facts.withColumn("primary_key", entity_key(first["type"], first["value"])).withColumn("schema_version", F.coalesce("schema_version", F.lit(SCHEMA_VERSION))).write.mode("overwrite").partitionBy("host").parquet(path)
+    _keyed(facts).write.mode("overwrite").partitionBy("host").parquet(path)
+
+
+def after(facts: DataFrame, store: DataFrame) -> DataFrame:
+    """facts with places behind those that a store already uses for their case, in the same order."""
+    used = store.groupBy(F.col("case_id").alias("_case")).agg((F.max("fact_ord") + 1).alias("_next"))
+    moved = facts.join(used, F.col("case_id").eqNullSafe(F.col("_case")), "left").withColumn("fact_ord", F.col("fact_ord") + F.coalesce("_next", F.lit(0)))
+    return moved.select(facts.columns)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -44,14 +58,14 @@ def load_json(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
 
 
 def append(facts: DataFrame, path: str) -> None:
-    """Adds facts to a store; readers see whole files only."""
-    first = F.get("entity_refs", F.lit(0))
-    facts.withColumn("primary_key", entity_key(first["type"], first["value"])).write.mode("append").partitionBy("host").parquet(path)
+    """Adds facts to a store, behind those of their case; readers see whole files only. One writer at a time."""
+    have = facts.sparkSession.read.parquet(path)
+    _keyed(after(facts, have)).write.mode("append").partitionBy("host").parquet(path)
 
 
 def refill(store: DataFrame, fresh: DataFrame) -> DataFrame:
-    """The store with facts of those rebuilt sources that it has none of."""
-    return store.unionByName(missing_sources(store, fresh))
+    """The store with facts of those rebuilt sources that it has none of, behind what it has."""
+    return store.unionByName(after(missing_sources(store, fresh), store))
 
 
 def missing_sources(store: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -59,12 +73,53 @@ def missing_sources(store: DataFrame, fresh: DataFrame) -> DataFrame:
     return fresh.join(have, (fresh["host"] == have["host"]) & (F.lower(fresh["source"]) == have["s"]), "left_anti")
 
 
-def documents(frames: dict[str, DataFrame], head: dict[str, str], path: str) -> None:
-    """One JSON folder: `head` as a document of its own, each frame as JSON lines."""
-    spark = next(iter(frames.values())).sparkSession
-    spark.range(1).select(*(F.lit(v).alias(k) for k, v in head.items())).coalesce(1).write.mode("overwrite").json(f"{path}/head")
-    for name, df in frames.items():
-        df.write.mode("overwrite").json(f"{path}/{name}")
+def document(head: DataFrame, arrays: dict[str, DataFrame], path: str) -> None:
+    """One JSON document, the file `path`: the one row of head as members, and each frame, in its order, as an array.
+
+    Elements are sorted and turned to text by Spark; the one task that a single file needs passes them on one by one.
+    """
+    spark = head.sparkSession
+    keep = {"ignoreNullFields": "false"}
+    parts = [head.select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("place"), F.to_json(F.struct("*"), keep).alias("text"))]
+    for i, df in enumerate(arrays.values()):
+        parts.append(df.select(F.lit(i + 1).alias("part"), F.monotonically_increasing_id().alias("place"), F.to_json(F.struct(*df.columns), keep).alias("text")))
+    names = list(arrays)
+
+    def joined(batches):
+        part, out = 0, []
+        for b in batches:
+            for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if p == 0:
+                    out.append(t[:-1])
+                    continue
+                out.append(",\n" + t if p == part else _between(names, part, p) + t)
+                part = p
+            yield pa.RecordBatch.from_pydict({"value": pa.array(["".join(out)] if out else [], pa.string())})
+            out = []
+        yield pa.RecordBatch.from_pydict({"value": [_between(names, part, len(names) + 1)]})
+
+    rows = reduce(DataFrame.unionByName, parts).repartition(1).sortWithinPartitions("part", "place").select("part", "text")
+    folder = f"{path.rstrip('/')}.parts"
+    rows.mapInArrow(joined, "value string").write.mode("overwrite").option("lineSep", "\n").text(folder)
+    to = spark._jvm.org.apache.hadoop.fs.Path
+    system = to(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    (made,) = [f.getPath() for f in system.globStatus(to(f"{folder}/part-*"))]
+    system.delete(to(path), True)
+    system.rename(made, to(path))
+    system.delete(to(folder), True)
+
+
+def _between(names: list[str], part: int, to: int) -> str:
+    """What stands between an element of one array and one of a later array, arrays without elements included; to: one more than the last for the end."""
+    opened = [f',"{n}":[' for n in names[part : min(to, len(names))]]
+    text = ("]" if part else "") + "]".join(opened)
+    return text + ("]}" if opened else "}") if to > len(names) else text
+
+
+def rows_as_documents(rows: DataFrame, by: str, path: str) -> None:
+    """A JSON document for each row, in a folder for each value of `by`."""
+    text = F.to_json(F.struct(*[c for c in rows.columns]), {"ignoreNullFields": "false"})
+    rows.select(F.col(by).alias("_by"), text.alias("value")).write.mode("overwrite").partitionBy("_by").text(path)
 
 
 def timeline_csv(events: DataFrame, path: str) -> None:

@@ -10,15 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..session import checkpoint_dir
 from ..sources import store
 
 
 def append_facts(spark: SparkSession, folder: str, schema: StructType, to_facts: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, **options: str) -> StreamingQuery:
-    """Files that arrive are normalised and appended; a batch that runs again replaces what it had written, so each fact is stored once."""
+    """Files that arrive are normalised and appended; a batch that runs again replaces what it had written, so each fact is stored once.
+
+    Places within a case are unique over all batches: each batch has a range of its own, 2 ** 40 places from its number on.
+    """
     arriving = spark.readStream.schema(schema).options(**options).format(options.pop("format", "parquet")).load(folder)
 
     def add(batch: DataFrame, number: int) -> None:
-        to_facts(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        facts = to_facts(batch)
+        facts.withColumn("fact_ord", F.col("fact_ord") + F.lit(number << 40)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return arriving.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -35,14 +40,18 @@ def live_shared(entities: DataFrame, minutes: int, late: str = "1 hour", least:
     return w.where(F.col("hosts") >= least).select(F.col("w.start").alias("bucket"), F.col("w.end").alias("bucket_end"), "entity_key", "hosts", "facts")
 
 
-def completed(rows: DataFrame, name: str) -> DataFrame:
-    """The whole result of an aggregated stream once it has read all there is, written with its checkpoint and state to a new folder below spark.checkpoint.dir; each batch replaces what the one before wrote."""
+def completed(rows: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """What a stream gives until it has read all there is, written with its checkpoint and state to a new folder below spark.checkpoint.dir.
+
+    In append mode each batch adds the windows that the watermark has closed; a batch that runs again
+    replaces its own folder. In complete mode the last batch counts.
+    """
     spark = rows.sparkSession
-    folder = f"{spark.conf.get('spark.checkpoint.dir', 'file:///tmp/tracelake-checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    spark.createDataFrame([], rows.schema).write.parquet(f"{folder}/result")  # stays if there is no batch
+    folder = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    spark.createDataFrame([], rows.schema).write.parquet(f"{folder}/result/batch=-1")  # stays if there is no batch
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/result")
+        batch.write.mode("overwrite").parquet(f"{folder}/result/batch={number if mode == 'append' else 0}")
 
-    rows.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{folder}/result")
