@@ -1,6 +1,7 @@
 """Corpus operators against plain Python on small tables with nulls, ties, repeats, odd texts and clashing columns."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -70,11 +71,38 @@ def test_tokens(spark, docs, empty, rows):
 
 
 def test_encoder_cuts_where_the_tokenizer_does():
-    e, r = tokens.Encoder(vocabulary(), most=50), random.Random(1)
-    parts = ["a", "Z", "é", " ", "  ", "\n", "\t", "1", "'s", "...", "<|endoftext|>", "日本", "🙂", "\u00a0", "\u3000", "\r\n", "\x1c", "ʰ", "can't", "²"]
-    for _ in range(3000):
-        s = "".join(r.choice(parts) for _ in range(r.randrange(0, 25)))
-        assert e.ids(s) == e.whole(s)
+    from tokenizers import Tokenizer
+
+    e, r, tok = tokens.Encoder(vocabulary(), most=50), random.Random(1), Tokenizer.from_file(vocabulary())
+    want = lambda t: np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    parts = ["a", "Z", "é", " ", "  ", "\n", "\t", "1", "'s", "...", "日本", "🙂", "\u00a0", "\u3000", "\r\n", "\x1c", "ʰ", "can't", "²", "<|", "|>"]
+    for k in range(3000):
+        s = "".join(r.choice([*parts, *e.added] if k % 3 == 0 else parts) for _ in range(r.randrange(0, 25)))
+        assert e.ids(s) == want(s)
+    assert e.added and e.ids(f"a {e.added[0]} b") == want(f"a {e.added[0]} b") != want("a  b")
+    for k in range(3):
+        long = f"x{k} " + "word" * 250_000 + " y z" * 1000
+        assert e.ids(long) == want(long)
+    assert all(len(w) <= e.LONG for w in (*e.known, *e.inner)) and len(e.known) <= 50 + 25
+
+
+def test_token_width(spark, docs):
+    url = shared_dir(spark, "tokens")
+    (one, *_) = tokens.write(docs, url, vocabulary(), 70_000)
+    assert one["width"] == "<u4" and {r["ids"][-4:] for r in tokens.read(spark, url).collect()} == {np.array([70_000], "<u4").tobytes()}
+    with pytest.raises(ValueError):
+        tokens.narrowed(np.array([1, 65_536], "<u4").tobytes(), "<u2")
+
+
+def test_tokens_of_one_key_are_split(spark):
+    d = cut(spark.range(4000).select(F.lit(7).alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 2000).cast("string")).alias("text")))
+    url = shared_dir(spark, "tokens")
+    parts = tokens.write(d, url, vocabulary(), 2, n=8)
+    assert len(parts) == 8 and max(p["docs"] for p in parts) < 1500
+    again = shared_dir(spark, "tokens")
+    tokens.write(cut(d.repartition(5)), again, vocabulary(), 2, n=3)
+    all_ids = lambda u: [bytes(r["ids"]) for r in tokens.read(spark, u).orderBy("start").collect()]
+    assert all_ids(url) == all_ids(again)
 
 
 def test_mixing(spark, docs, empty, rows):
@@ -171,6 +199,69 @@ def test_packing(docs, empty, rows):
     assert packing.pack(empty, vocabulary(), 0).count() == 0
 
 
+def test_packing_evens_step_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "HELD", 16)
+    r = random.Random(3)
+    d = cut(spark.createDataFrame([(i, "a " * r.randrange(1, 150)) for i in range(700)], "doc_id long, text string").repartition(5))
+    got = packing.pack(d, vocabulary(), 0, 64, step=512).collect()
+    seqs = {(x["sequence_id"], x["tier"], x["step_group"]) for x in got}
+    assert len({s[0] for s in seqs}) == len(seqs)
+    size = Counter((t, g) for _, t, g in seqs)
+    for t in {t for t, _ in size}:
+        n = [v for (u, _), v in size.items() if u == t]
+        assert max(n) - min(n) <= 1 and max(n) * t <= 512 and len(n) == -(-sum(n) * t // 512)
+    whole = Counter()
+    for x in got:
+        whole[x["doc_id"]] += x["length"]
+    assert len(whole) == 700 and all(whole[x["doc_id"]] == x["doc_tokens"] for x in got)
+
+
+def others_archive():
+    """Records as another tool may write them: info, request, HTTP with and without length, a block that is not HTTP."""
+
+    def rec(kind, block, ctype, **more):
+        lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x:{kind}>", *(f"{k.replace('_', '-')}: {v}" for k, v in more.items()), f"Content-Type: {ctype}", f"Content-Length: {len(block)}"]
+        return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    body = b"<p>" + bytes(range(256)) * 900
+    return [
+        rec("warcinfo", b"software: x\r\n", "application/warc-fields"), rec("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "application/http; msgtype=request", WARC_Target_URI="http://a/"),
+        rec("response", b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n" + body, "application/http; msgtype=response", WARC_Target_URI="http://a/", WARC_Payload_Digest="sha1:" + warc.digest_of(body)),
+        rec("resource", b"\x1f\x8b\x08 not gzip", "image/x"), rec("response", b"HTTP/1.1 204 No\r\n\r\n", "application/http;msgtype=response", WARC_Target_URI="http://b/"),
+    ], body
+
+
+@pytest.mark.parametrize("form", ["members", "one member", "plain"])
+def test_warc_of_others(spark, tmp_path, form):
+    records, body = others_archive()
+    data = {"members": b"".join(gzip.compress(r) for r in records), "one member": gzip.compress(b"".join(records)), "plain": b"".join(records)}[form]
+    name = "a.warc" if form == "plain" else "a.warc.gz"
+    (tmp_path / name).write_bytes(data)
+    (tmp_path / ("b" + name)).write_bytes(data)
+    warc.register(spark)
+    for split in (64 << 20, 97):
+        got = spark.read.format("warc").option("split", split).option("payload", "true").option("verify", "true").load(f"file://{tmp_path}").collect()
+        assert len(got) == 10 and Counter(r["record_type"] for r in got) == {"response": 4, "warcinfo": 2, "request": 2, "resource": 2}
+        assert {bytes(r["payload"]) for r in got if r["record_type"] == "response"} == {body, b""} and {r["payload_bytes"] for r in got if r["record_type"] == "resource"} == {12}
+        few = spark.read.format("warc").option("split", split).load(f"file://{tmp_path}").where("target_uri = 'http://a/' AND record_type = 'response'").collect()
+        assert [r["payload_bytes"] for r in few] == [len(body)] * 2 and all(r["payload"] is None for r in few)
+
+
+def test_warc_refuses_what_is_none(spark, tmp_path):
+    warc.register(spark)
+    for name, data in (("x.warc.gz", gzip.compress(b"no archive")), ("y.warc", b"no archive\r\n\r\n"), ("z.warc", others_archive()[0][2][:400])):
+        (tmp_path / name[0]).mkdir()
+        (tmp_path / name[0] / name).write_bytes(data)
+        with pytest.raises(Exception, match="WARC record|ends within"):
+            spark.read.format("warc").load(f"file://{tmp_path}/{name[0]}").count()
+
+
+def test_warc_member_beyond_the_field(monkeypatch):
+    monkeypatch.setattr(warc, "MOST", 50)
+    m = warc.member(b"WARC/1.1 " + b"x" * 200)
+    assert not m.startswith(warc.HEAD) and gzip.decompress(m) == b"WARC/1.1 " + b"x" * 200
+
+
 def test_warc(spark):
     pages = [(1, "http://a/", "xx"), (2, None, "xx"), (3, "u\r\nv", None), (4, "b", ""), (5, "c", "yy" * 50_000), (5, "c", "yy" * 50_000), (None, "z", "xx"), (9, "é", "ünï")]
     x = cut(spark.createDataFrame([(*p, "k") for p in pages], "page_id long, url string, html string, record_type string").repartition(3))
@@ -219,27 +310,90 @@ def test_cuckoo_index(spark):
             live[d] = k
         assert (index.find(d) or [None, None])[1] == live.get(d)
     assert {x[0]: x[1] for x in index.live()} == live and index.resizes > 3
-    row = lambda op, t: (op, bytearray(t), 1, 1, 1)
-    one = exact.update(spark.createDataFrame([row(0, b"a" * 8), row(0, b"b" * 8), row(0, b"a" * 8)], exact.CHANGE))
-    two = exact.update(spark.createDataFrame([row(1, b"a" * 8), row(0, b"c" * 8)], exact.CHANGE), cut(one))
-    assert {(bytes(x["digest"]), x["n"]) for x in two.collect()} == {(b"b" * 8, 1), (b"c" * 8, 1)}
+
+
+def test_index_counts_live_rows(spark):
+    row = lambda op, t, i, r, n=1, seq=0: (op, bytearray(t * 8), i, r, n, seq)
+    made = lambda rows: spark.createDataFrame(rows, exact.CHANGE + ", seq long")
+    state = lambda df: {(bytes(x["digest"])[:1], x["id"], x["row"], x["n"]) for x in df.collect()}
+    one = cut(exact.update(made([row(0, b"a", 5, 1), row(0, b"a", 9, 2), row(0, b"a", 7, 3), row(0, b"b", 1, 4)])))
+    assert state(one) == {(b"a", 9, 2, 3), (b"b", 1, 4, 1)}
+    two = cut(exact.update(made([row(1, b"a", 5, 1), row(1, b"b", 1, 4), row(0, b"c", 2, 5)]), one))
+    assert state(two) == {(b"a", 9, 2, 2), (b"c", 2, 5, 1)}
+    live = spark.createDataFrame([(bytearray(b"a" * 8), 7, 3), (bytearray(b"c" * 8), 2, 5)], "digest binary, id long, row long")
+    assert state(exact.update(made([row(1, b"a", 9, 2)]), two, live=live)) == {(b"a", 7, 3, 1), (b"c", 2, 5, 1)}
+    assert state(exact.update(made([row(1, b"a", 9, 2)]), two)) == {(b"a", None, exact.OPEN, 1), (b"c", 2, 5, 1)}
+    again = [row(1, b"c", 2, 5, seq=1), row(0, b"c", 8, 6, seq=2), row(1, b"c", 8, 6, seq=3), row(0, b"c", 3, 7, seq=4)]
+    assert (b"c", 3, 7, 1) in state(exact.update(made(again), two))
+    with pytest.raises(Exception, match="deleted"):
+        exact.update(made([row(1, b"z", 1, 1)]), two).collect()
+
+
+def test_contents_are_compared(spark, docs):
+    keyed = docs.withColumn("at", F.monotonically_increasing_id())
+    g = exact.groups(keyed, row="at")
+    assert exact.verified(keyed, g.where("group_size > 1"), "text", "at") == g.where("group_size > 1").select("digest").distinct().count()
+    with pytest.raises(Exception, match="two texts share the digest"):
+        exact.verified(keyed, g.withColumn("digest", F.lit(bytearray(b"same"))), "text", "at")
+
+
+def by_hand(t, h):
+    """Places of windows of h characters without a 0 that start twice or more."""
+    where = defaultdict(list)
+    for i in range(len(t) - h + 1):
+        if 0 not in (w := tuple(t[i : i + h].tolist())):
+            where[w].append(i)
+    want = np.zeros(len(t), bool)
+    want[[i for v in where.values() if len(v) > 1 for i in v]] = True
+    return want
 
 
 def test_suffixes():
-    rng = np.random.default_rng(3)
-    held = suffixes.HELD
-    for k in range(250):
-        suffixes.HELD = (held, 7, 3)[k % 3]
-        h, a = int(rng.integers(1, 9)), int(rng.integers(1, 5))
-        t = np.concatenate([np.r_[rng.integers(1, a + 1, int(rng.integers(0, 40))), 0] for _ in range(int(rng.integers(1, 6)))])
-        where = defaultdict(list)
-        for i in range(len(t) - h + 1):
-            if 0 not in (w := tuple(t[i : i + h].tolist())):
-                where[w].append(i)
-        want = np.zeros(len(t), bool)
-        want[[i for v in where.values() if len(v) > 1 for i in v]] = True
-        assert (suffixes.repeats(t, h) == want).all()
-    suffixes.HELD = held
+    rng, deepest = np.random.default_rng(3), 0
+    for k in range(400):
+        h, a = int(rng.integers(1, 9)), int(rng.integers(1, 6))
+        t = np.concatenate([np.r_[rng.integers(1, a + 1, int(rng.integers(0, 60))), 0] for _ in range(int(rng.integers(1, 6)))])
+        t = np.tile(t, int(rng.integers(1, 4))) if k % 3 == 0 else t[: len(t) - k % 2]
+        room = suffixes.Room(tuples=(4, 8, 16, 64, 1 << 18)[k % 5], small=(0, 20, 5, 0, 30)[k % 5])
+        assert (suffixes.repeats(t, h, room=room) == by_hand(t, h)).all()
+        deepest = max(deepest, room.depth)
+    assert deepest >= 4
+    assert suffixes.repeats(np.empty(0, np.int64), 3).tolist() == [] and suffixes.repeats(np.array([1]), 1).tolist() == [False]
+
+
+@pytest.mark.parametrize("tuples", [4, 8, 1 << 18])
+def test_suffix_order_and_common_prefixes(tuples, tmp_path):
+    rng = np.random.default_rng(tuples)
+    for k in range(200):
+        (tmp_path / str(k)).mkdir()
+        a = int(rng.integers(1, 5))
+        t = np.r_[rng.integers(1, a + 1, int(rng.integers(1, 40))), 0].astype(np.int32)
+        got = []
+        suffixes.sort(t, a + 1, suffixes.Room(str(tmp_path / str(k)), tuples, 0), 1000, lambda c, p, s, _: got.extend(zip(p.tolist(), s.tolist(), strict=True)))  # noqa: B023
+        order = sorted(range(len(t) - 1), key=lambda i: t[i:].tolist(), reverse=True)  # noqa: B023
+        same = lambda i, j: next(k for k in range(len(t)) if t[i + k] != t[j + k])  # noqa: B023, E731
+        assert got == [(i, same(i, order[j - 1]) if j else 0) for j, i in enumerate(order)]
+
+
+def test_a_shard_far_larger_than_its_room():
+    """300,000 characters with room for 2,000 tuples: levels of recursion, tuples on disk, and few in memory."""
+    rng = np.random.default_rng(8)
+    base = [rng.integers(1, 27, 400) for _ in range(300)]
+    parts = []
+    while sum(map(len, parts)) < 300_000:
+        b = base[int(rng.integers(300))]
+        at = int(rng.integers(0, 150))
+        parts.append(np.r_[b[at : at + int(rng.integers(150, 250))], 0])
+    t = np.concatenate(parts)
+    room = suffixes.Room(tuples=2000, small=2000)
+    got = suffixes.repeats(t, 120, room=room)
+    assert room.depth >= 3 and room.spilled > 200_000 and room.most <= 3 * 2000
+    code, want = {}, np.zeros(len(t), bool)
+    for i in range(len(t) - 119):
+        if (t[i : i + 120] != 0).all():
+            code.setdefault(t[i : i + 120].astype(np.uint8).tobytes(), []).append(i)
+    want[[i for v in code.values() if len(v) > 1 for i in v]] = True
+    assert (got == want).all() and want.any()
 
 
 def spans_by_hand(rows):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,12 +30,15 @@ def let(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors see: below spark.checkpoint.dir, or below a local folder where that is unset (tests)."""
+    """A new folder that the driver and all executors see, below spark.checkpoint.dir.
+
+    Only a local session, whose driver and tasks are one machine, may leave that unset (tests); a cluster may not.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "tracelake-shared")
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(base)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), f"tracelake-{spark.sparkContext.applicationId}")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -4,14 +4,21 @@ Texts are equal when they are identical after lower-casing A-Z. Each row's norma
 a SHA-256 digest; digests are dealt to index partitions, each of which keeps a cuckoo filter. A
 filter slot holds a short fingerprint and the place of the stored record it stands for, so that a
 hit is verified against that record's whole digest at once; an insertion that finds no room doubles
-the filter and fills it anew from the stored digests. The index takes insertions and deletions.
+the filter and fills it anew from the stored digests. Then `verified` holds the contents of all rows
+that share a digest against each other, byte by byte, in buckets of bounded share.
+
+The index takes insertions and deletions of live rows: a record counts the rows that share its
+digest, a deletion takes one off, and the record goes with the last of them. When the row that stays
+is deleted, its successor is looked up among the live rows.
 
 Copies are counted up within each batch before they are dealt, so a group of copies with a third of
-all rows sends one row a batch. Texts are not shuffled to find copies, only digests.
+all rows sends one row a batch. To find copies only digests are shuffled, to verify them the texts of
+rows that have one.
 
 Cases: a null text counts as empty, and all empty texts form one group; of rows with equal text and
-equal largest doc_id exactly one stays; null doc_ids count as smaller than any other; an empty table
-gives an empty result; extra columns pass through `dedup` untouched.
+equal largest doc_id exactly one stays; null doc_ids count as smaller than any other; very long texts
+are digested and compared whole; an empty table gives an empty result; extra columns pass through
+`dedup` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -120,6 +127,8 @@ def _newer(a: tuple, b: tuple) -> bool:
 
 CHANGE = "op int, digest binary, id long, row long, n long"
 ENTRY = "digest binary, id long, row long, n long"
+#: The row of a record whose kept row was deleted, until a live one takes its place.
+OPEN = -1
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,15 +136,20 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     index = CuckooIndex()
     for batch in batches:
         for op, digest, i, row, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if op == DELETE:
-                index.delete(digest)
-                continue
             have = index.find(digest)
-            if have is None:
+            if op == DELETE:
+                if have is None or n > have[3]:
+                    raise ValueError(f"{n} rows deleted of {have[3] if have else 0} with digest {digest.hex()}")
+                have[3] -= n
+                if not have[3]:
+                    index.delete(digest)
+                elif (i, row) == (have[1], have[2]):
+                    have[1], have[2] = None, OPEN
+            elif have is None:
                 index.insert([digest, i, row, n])
             else:
                 have[3] += n
-                if _newer((i, row), (have[1], have[2])):
+                if have[2] != OPEN and _newer((i, row), (have[1], have[2])):
                     have[1], have[2] = i, row
     out: list[list] = []
     for r in index.live():
@@ -151,16 +165,27 @@ def _batch(rows: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["digest", "id", "row", "n"])
 
 
-def update(changes: DataFrame, index: DataFrame | None = None, n: int | None = None) -> DataFrame:
-    """The index (ENTRY) after the changes (CHANGE), with those of `index` inserted first.
+def update(changes: DataFrame, index: DataFrame | None = None, n: int | None = None, live: DataFrame | None = None) -> DataFrame:
+    """The index (ENTRY) after the changes (CHANGE, with a long `seq` if their order matters), with those of `index` inserted first.
 
-    Within a call, deletions come after insertions. Rows are dealt by digest, so each partition
-    holds all of a digest; pre-aggregate insertions (`combined`) before.
+    Changes come in order of seq; of one seq, insertions first. Rows are dealt by digest, so each
+    partition holds all of a digest; pre-aggregate insertions (`combined`) before. Deleting more rows
+    than are live is an error. live: (digest, id, row) of all rows that are live after the changes, from
+    which a record whose kept row was deleted gets the largest left; without it such a record's row is OPEN.
     """
+    if "seq" not in changes.columns:
+        changes = changes.withColumn("seq", F.lit(0).cast("long"))
     if index is not None:
-        changes = index.select(F.lit(INSERT).alias("op"), *ENTRY_COLUMNS).unionByName(changes)
-    dealt = changes.select("op", *ENTRY_COLUMNS).repartition(n or partitions(changes.sparkSession), "digest").sortWithinPartitions("op")
-    return dealt.mapInArrow(_apply, ENTRY)
+        changes = index.select(F.lit(INSERT).alias("op"), *ENTRY_COLUMNS, F.lit(-(1 << 63)).cast("long").alias("seq")).unionByName(changes)
+    dealt = changes.select("op", *ENTRY_COLUMNS, "seq").repartition(n or partitions(changes.sparkSession), "digest").sortWithinPartitions("seq", "op")
+    out = dealt.select("op", *ENTRY_COLUMNS).mapInArrow(_apply, ENTRY)
+    if live is None:
+        return out
+    out = cut(out, "index")
+    open_ = out.where(F.col("row") == OPEN).select("digest", "n")
+    order = F.struct(F.col("id").isNotNull(), "id", "row")
+    found = live.join(open_.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.max(F.struct(order.alias("o"), "id", "row")).alias("k"))
+    return out.where(F.col("row") != OPEN).unionByName(open_.join(found, "digest").select("digest", "k.id", "k.row", "n"))
 
 
 ENTRY_COLUMNS = ("digest", "id", "row", "n")
@@ -199,12 +224,53 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", row: str |
     return docs.select(F.col(key).cast("long").alias("id"), r.alias("row"), F.col(text).alias("text")).mapInArrow(of, "id long, row long, digest binary")
 
 
+#: Buckets that the rows of one digest are dealt to, to be compared.
+SALT = 64
+
+
+def _unlike(columns: int):
+    """Of rows in order of their first columns, the last being content: heads, one for each run of equal first columns; fails if a run holds two contents."""
+
+    def of(batches):
+        last, content = None, None
+        for b in batches:
+            heads = []
+            for i, (key, data) in enumerate(zip(zip(*(c.to_pylist() for c in b.columns[:columns]), strict=True), b.column(columns), strict=True)):
+                data = (data.as_py() or "").encode().lower()
+                if key != last:
+                    last, content = key, data
+                    heads.append(i)
+                elif data != content:
+                    raise ValueError(f"two texts share the digest {key[0].hex()}")
+            yield b.take(pa.array(heads, pa.int64()))
+
+    return of
+
+
+def verified(docs: DataFrame, rows: DataFrame, text: str, row: str) -> int:
+    """Compares the contents of rows (digest, row) of docs that share a digest; gives the number of digests compared, fails if two contents share one.
+
+    A digest's rows are dealt to SALT buckets and compared in order, each with the one before; then the
+    buckets' first rows are. Memory is two texts, and no bucket of a hot group holds more than its share.
+    """
+    n = partitions(docs.sparkSession)
+    d = docs.select(F.col(row).alias("row"), F.col(text).alias("text")).join(rows.select("digest", "row"), "row")
+    salted = d.select("digest", F.pmod(F.xxhash64("row"), F.lit(SALT)).alias("salt"), "text").repartition(n, "digest", "salt").sortWithinPartitions("digest", "salt")
+    heads = salted.mapInArrow(_unlike(2), "digest binary, salt long, text string").select("digest", "text")
+    return heads.repartition(n, "digest").sortWithinPartitions("digest").mapInArrow(_unlike(1), "digest binary, text string").count()
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """For each row: id, row, digest, keep_id, group_size, kept."""
+    if row is None:
+        (row,) = fresh(docs, "_row")
+        docs = docs.withColumn(row, F.monotonically_increasing_id())
     d = cut(digests(docs, key, text, row), "digests")
     n = max(partitions(docs.sparkSession), d.count() // PER_PARTITION)
     index = update(combined(d), n=n).select("digest", F.col("id").alias("keep_id"), F.col("row").alias("keep_row"), F.col("n").alias("group_size"))
-    return d.join(index, "digest").withColumn("kept", F.col("row") == F.col("keep_row")).drop("keep_row")
+    out = cut(d.join(index, "digest").withColumn("kept", F.col("row") == F.col("keep_row")).drop("keep_row"), "groups")
+    verified(docs, out.where("group_size > 1"), text, row)
+    return out
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

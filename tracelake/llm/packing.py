@@ -5,15 +5,16 @@ are sequences by themselves; what is left is routed to the smallest tier that ho
 packed from long to short: a piece opens a window of its tier, and the window's gap is filled from
 shorter tiers, the largest piece that fits first; where none fits, a piece is cut and its rest goes
 back to the tier of its new length. What cannot be filled at the very end is cut into windows of
-shorter tiers, so that no sequence holds padding. Windows of one tier are gathered into step groups
-of equal token counts.
+shorter tiers, so that no sequence holds padding. Windows of one tier are then numbered through over
+all tasks, by prefix sums over each task's counts, and dealt to step groups of at most STEP tokens
+whose sizes differ by one window at most.
 
 Each task packs what it reads, a bounded number of left-over pieces at a time, so documents are
 neither shuffled nor gathered, and a source or group of copies of any size is as good as another.
 
-Cases: a null text counts as empty and still gets its end id; repeated rows are packed each by
-itself; a null doc_id is carried as null; an empty table gives an empty result; extra columns are
-ignored.
+Cases: a null text counts as empty and still gets its end id; repeated rows and equal doc_ids are
+packed each by itself; very long texts fill as many windows as they need; a null doc_id is carried as
+null; an empty table gives an empty result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,15 +24,16 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
 from .tokens import Encoder
 
 CONTEXT = 1024
 #: Left-over pieces held before they are packed, and tokens of a step group.
 HELD, STEP = 8192, 65_536
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, task int, place long"
 
 
 def tier(n: int) -> int:
@@ -112,33 +114,29 @@ def windows(shelf: Shelf, context: int, last: bool):
                 yield tier(n + 1) // 2, own
 
 
-def pack(docs: DataFrame, path: str, end: int, context: int = CONTEXT, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, end: int, context: int = CONTEXT, key: str = "doc_id", text: str = "text", step: int = STEP) -> DataFrame:
     """Pieces of all documents with their sequences. context: a power of two."""
     final = np.array([end], "<u4").tobytes()
 
     def of(batches):
         enc, shelf = Encoder.of(path), Shelf()
-        base = TaskContext.get().partitionId() << 40
-        sequences, steps, filled, rows = 0, 0, {}, []
+        task = TaskContext.get().partitionId()
+        sequences, filled, rows = 0, {}, []
 
         def put(size, window):
-            nonlocal sequences, steps
-            group, left = filled.get(size, (None, 0))
-            if left < size:
-                group, left = steps, STEP
-                steps += 1
-            filled[size] = (group, left - size)
+            nonlocal sequences
+            place = filled[size] = filled.get(size, -1) + 1
             at = 0
             for doc, start, ids, total in window:
                 n = len(ids) // 4
-                rows.append((doc, start, n, zlib.crc32(ids), total, base + sequences, at, size, base + group))
+                rows.append((doc, start, n, zlib.crc32(ids), total, (task << 40) + sequences, at, size, task, place))
                 at += n
             sequences += 1
 
         def flush(least):
             nonlocal rows
             if len(rows) > least:
-                yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int32() if n == "tier" else pa.int64()) for n, c in zip(NAMES, zip(*rows, strict=True), strict=True)})
+                yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int32() if n in ("tier", "task") else pa.int64()) for n, c in zip(NAMES, zip(*rows, strict=True), strict=True)})
                 rows = []
 
         for b in batches:
@@ -158,7 +156,19 @@ def pack(docs: DataFrame, path: str, end: int, context: int = CONTEXT, key: str
             put(*w)
         yield from flush(0)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(of, SCHEMA)
+    return stepped(cut(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(of, SCHEMA), "packed"), step)
+
+
+def stepped(packed: DataFrame, step: int = STEP) -> DataFrame:
+    """packed with step_group, even over all tasks, in place of task and place. Counts are a row for each task and tier."""
+    n = packed.groupBy("tier", "task").agg((F.max("place") + 1).alias("n"))
+    before = Window.partitionBy("tier").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum("n").over(Window.partitionBy("tier"))
+    n = n.select("tier", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), total.alias("total"))
+    groups = F.ceil(F.col("total") * F.col("tier") / step)
+    # Groups of a tier are told from those of another by the tier's own upper bits.
+    group = F.col("tier").cast("long") * (1 << 40) + F.floor((F.col("base") + F.col("place")) * groups / F.col("total"))
+    return packed.join(n, ["tier", "task"]).select(*[c for c in NAMES if c not in ("task", "place")], group.alias("step_group"))
 
 
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]

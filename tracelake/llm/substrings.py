@@ -27,6 +27,7 @@ null doc_ids are carried as null; an empty table gives an empty result; extra co
 from __future__ import annotations
 
 import hashlib
+import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, partitions, shared_dir
-from .suffixes import repeats
+from .suffixes import Room, repeats
 from .tokens import store
 
 LENGTH, GRAM = 200, 32
 #: Bytes handled at once; places in a piece take PLACE bits.
 PIECE, PLACE = 1 << 20, 24
-#: Different segments of an anchor that one shard takes, bytes that are sorted at once, and the widths of narrower runs.
-MANY, SHARD, WIDTHS = 256, 1 << 20, (48, 12, 3, 1)
+#: Different segments of an anchor that one shard takes, bytes of a shard, and the widths of narrower runs.
+MANY, SHARD, WIDTHS = 256, 4 << 20, (48, 12, 3, 1)
+#: Tuples that the sorter's queues hold in memory, and the longest text of names that it sorts there; a shard has millions.
+TUPLES, NAMES = 1 << 19, 1 << 20
 
 _P = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _TABLE = np.random.default_rng(11).integers(1, 2**63, (2, 256), dtype=np.uint64)
@@ -213,33 +216,43 @@ def _narrower(width: int):
 SPAN = "pid int, row long, start long, end long"
 
 
+WHERE = np.dtype([("all", "<i8"), ("pid", "<i4"), ("row", "<i8"), ("start", "<i8"), ("n", "<i4")])
+
+
 def _shard(batches):
-    """Repeated windows among the pieces of a partition, as spans of those that stand for one place. Pieces come in order of their anchors; a text ends between two anchors, once it has SHARD bytes."""
-    where, parts, size, last = [], [], 0, None
-    for b in batches:
-        for h, m, pid, row, start, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if size >= SHARD and h != last:
-                yield from _sorted(where, parts)
-                where, parts, size = [], [], 0
-            where.append((m, pid, row, start, len(data)))
-            parts.append(data)
-            size += len(data)
-            last = h
-    if parts:
-        yield from _sorted(where, parts)
-
-
-def _sorted(where, parts):
-    hit = repeats(np.concatenate([np.r_[np.frombuffer(p, np.uint8).astype(np.int16) + 1, 0] for p in parts]).astype(np.int16), LENGTH)
-    at, out = 0, []
-    for m, pid, row, start, n in where:
-        if m == 1 and len(p := np.flatnonzero(hit[at : at + n])):
-            gap = np.flatnonzero(np.diff(p) > LENGTH)
-            out += [(pid, row, start + int(i), start + int(j) + LENGTH) for i, j in zip(p[np.r_[0, gap + 1]], p[np.r_[gap, len(p) - 1]], strict=True)]
-        at += n + 1
-    if out:
-        cols = list(zip(*out, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["pid", "row", "start", "end"])
+    """Repeated windows among the pieces of a partition, as spans of those that stand for one place.
+
+    Pieces come in order of their anchors and go to a text on disk, which ends between two anchors, once it has SHARD bytes.
+    """
+    with tempfile.TemporaryDirectory() as folder:
+        text, where, size, last = f"{folder}/text", f"{folder}/where", 0, None
+        for b in batches:
+            for h, m, pid, row, start, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if size >= SHARD and h != last:
+                    yield from _sorted(text, where, folder)
+                    size = 0
+                with open(text, "ab" if size else "wb") as f, open(where, "ab" if size else "wb") as g:
+                    f.write(np.append(np.frombuffer(data, np.uint8).astype("<i2") + 1, 0).astype("<i2").tobytes())
+                    g.write(np.array([(m, pid, row, start, len(data))], WHERE).tobytes())
+                size += len(data)
+                last = h
+        if size:
+            yield from _sorted(text, where, folder)
+
+
+def _sorted(text: str, where: str, folder: str):
+    hit = repeats(np.memmap(text, "<i2", "r"), LENGTH, folder, Room(tuples=TUPLES, small=NAMES))
+    pieces, at = np.memmap(where, WHERE, "r"), 0
+    for i in range(0, len(pieces), 100_000):
+        out = []
+        for m, pid, row, start, n in pieces[i : i + 100_000].tolist():
+            if m == 1 and len(p := np.flatnonzero(hit[at : at + n])):
+                gap = np.flatnonzero(np.diff(p) > LENGTH)
+                out += [(pid, row, start + int(i), start + int(j) + LENGTH) for i, j in zip(p[np.r_[0, gap + 1]], p[np.r_[gap, len(p) - 1]], strict=True)]
+            at += n + 1
+        if out:
+            cols = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["pid", "row", "start", "end"])
 
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

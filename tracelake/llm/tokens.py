@@ -1,14 +1,17 @@
 """Token ids in flat binary files.
 
-Texts are encoded where they are read, dealt by ranges of their ids and sorted, and each partition
-writes three files: `ids` (the tokens of all its documents, unsigned integers one after the other),
-`offsets` (64-bit, one more than documents: where each starts in the partition) and `docs` (64-bit
-keys). Partition bases, the tokens in all partitions before, are prefix sums of the partitions'
-totals, so no task needs to see another's data. A file appears whole under its final name or not at
-all, and a task that runs again writes the same bytes. The ids are memory-mapped when read.
+Rows are dealt by ranges of (key, hash of the text, place in the scan), so neither a key nor a text that
+very many rows share goes to one task, and each partition encodes its rows in that order and writes
+three files: `ids` (the tokens of all its documents, unsigned integers one after the other), `offsets`
+(64-bit, one more than documents: where each starts in the partition) and `docs` (64-bit keys).
+Partition bases, the tokens in all partitions before, are prefix sums of the partitions' totals, so no
+task needs to see another's data. Each attempt of a task writes files of its own; the manifest, written
+last, names those that count. The ids are memory-mapped when read.
 
 Cases: a null text counts as empty and still gets its end id; null keys sort first and come back as
-null; equal keys keep all their rows; an empty table writes no partition; extra columns are ignored.
+null; equal keys keep all their rows, in order of a hash of their texts; very long texts are encoded
+whole; an id that the files' integers cannot hold is an error; an empty table writes no partition;
+extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import os
 import re
 import zlib
 from array import array
-from bisect import bisect_right
+from collections import ChainMap
 from itertools import chain
 from urllib.parse import urlparse
 
@@ -48,12 +51,13 @@ class Encoder:
 
     Such a tokenizer first cuts a text into words, none of which reaches over a blank that stands
     before a visible character, and then merges each word by itself. Words recur: texts are cut at
-    those blanks, the library's model merges each new word, and up to `most` words are remembered
-    for as long as the process lives. Texts with other blanks, and tokenizers of other kinds, are
-    encoded whole.
+    those blanks, the library's model merges each new word, and up to `most` words of at most LONG
+    characters are remembered for as long as the process lives. Texts with other blanks or with one of
+    the tokenizer's added tokens in them, and tokenizers of other kinds, are encoded by the library
+    as a whole.
     """
 
-    ODD = re.compile(r" (?:\s|\Z)")
+    ODD, LONG = re.compile(r" (?:\s|\Z)"), 64
     _own: dict[str, Encoder] = {}
 
     def __init__(self, path: str, most: int = 500_000):
@@ -62,9 +66,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         pre = json.loads(self.tok.to_str()).get("pre_tokenizer") or {}
         self.cuts = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and self.tok.normalizer is None
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.largest = max(self.tok.get_vocab(with_added_tokens=True).values(), default=0)
         self.cut = regex.compile(CUT).findall
         self.letters = byte_letters()
         self.merge = self.tok.model.tokenize
@@ -93,7 +98,7 @@ class Encoder:
             ids = memo.get(k)
             if ids is None:
                 ids = self.word(w)
-                if len(w) <= 64:
+                if len(w) <= self.LONG:
                     memo[k] = ids
             out.append(ids)
         return b"".join(out)
@@ -101,38 +106,21 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.cuts or self.ODD.search(text):
+        if not self.cuts or self.ODD.search(text) or any(t in text for t in self.added):
             return self.whole(text)
         if len(self.known) + len(self.inner) > self.most:
             self.known.clear()
             self.inner.clear()
         first, *rest = text.split(" ")
-        known = self.known
+        known, own = self.known, {}
         for p in set(rest).difference(known):
-            known[p] = self.word(" " + p) if p.isalpha() else self._words(" " + p)
+            memo = known if len(p) <= self.LONG else own
+            memo[p] = self.word(" " + p) if p.isalpha() else self._words(" " + p)
+        if own:
+            known = known | own if len(known) < len(rest) else ChainMap(own, known)
         return self._words(first) + b"".join([known[p] for p in rest])
 
 
-def encoded(docs: DataFrame, path: str, end: int, key: str = "doc_id", text: str = "text", edges: list[int] | None = None, width: str = "<u4") -> DataFrame:
-    """(part, key, ids): ids of each text, with the end id, as integers of a width; part: the place of the key among the edges."""
-    last = np.array([end], "<u4").tobytes()
-
-    def one(enc, t):
-        ids = enc.ids(t or "") + last
-        return ids if width == "<u4" else np.frombuffer(ids, "<u4").astype(width).tobytes()
-
-    def of(batches):
-        enc = Encoder.of(path)
-        for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                c = b.slice(i, 1000)
-                part = [bisect_right(edges or [], k) if k is not None else 0 for k in c.column(0).to_pylist()]
-                ids = [one(enc, t.as_py()) for t in c.column(1)]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), c.column(0), pa.array(ids, pa.binary())], ["part", "key", "ids"])
-
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(of, "part int, key long, ids binary")
-
-
 def store(url: str):
     """(file system, path) of a folder that driver and executors share."""
     from pyarrow import fs
@@ -152,41 +140,51 @@ def put(url: str, name: str, write) -> None:
     system.move(own, f"{folder}/{name}")
 
 
-def bounds(keys: DataFrame, n: int) -> list[int]:
-    """At most n - 1 keys that part all keys evenly."""
-    found = keys.select(F.percentile_approx("key", [i / n for i in range(1, n)], 10 * n).alias("b")).first()["b"] if n > 1 else None
-    return sorted(set(found or []))
+def narrowed(ids: bytes, width: str) -> bytes:
+    """ids as integers of a width, all of which it must hold."""
+    if width == "<u4":
+        return ids
+    a = np.frombuffer(ids, "<u4")
+    if len(a) and a.max() > np.iinfo(width).max:
+        raise ValueError(f"id {a.max()} does not fit {width}")
+    return a.astype(width).tobytes()
+
 
+def write(docs: DataFrame, url: str, path: str, end: int, key: str = "doc_id", text: str = "text", n: int | None = None) -> list[dict]:
+    """Writes the files; gives a manifest: part, docs, tokens and base (tokens before) of each partition, in key order.
 
-def write(docs: DataFrame, url: str, path: str, end: int, key: str = "doc_id", text: str = "text", n: int | None = None, vocabulary: int = 1 << 16) -> list[dict]:
-    """Writes the files; gives a manifest: part, docs, tokens and base (tokens before) of each partition, in key order."""
+    Ids take two bytes if all of the tokenizer's fit, else four.
+    """
     n = n or partitions(docs.sparkSession)
-    width = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    edges = bounds(docs.select(F.col(key).cast("long").alias("key")), n)
+    width = "<u2" if max(Encoder.of(path).largest, end) < 1 << 16 else "<u4"
+    last = np.array([end], "<u4").tobytes()
 
     def save(batches):
-        keys, counts = [], []
+        enc, keys, counts = Encoder.of(path), [], []
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        at = first.column(0)[0].as_py()
-        name = f"part-{at:05d}"
+        task = TaskContext.get()
+        name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}"
 
         def body(out):
             for b in chain([first], batches):
-                for _, k, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    ids = enc.ids(t.as_py() or "") + last
                     keys.append(NO_KEY if k is None else k)
-                    counts.append(len(ids) // int(width[-1]))
-                    out.write(ids)
+                    counts.append(len(ids) // 4)
+                    out.write(narrowed(ids, width))
 
         put(url, f"{name}.ids", body)
         put(url, f"{name}.offsets", lambda out: out.write(np.r_[0, np.cumsum(counts)].astype("<i8").tobytes()))
         put(url, f"{name}.docs", lambda out: out.write(np.array(keys, "<i8").tobytes()))
-        yield pa.RecordBatch.from_pydict({"part": pa.array([at], pa.int32()), "docs": pa.array([len(keys)], pa.int64()), "tokens": pa.array([sum(counts)], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int32()), "name": [name], "docs": pa.array([len(keys)], pa.int64()), "tokens": pa.array([sum(counts)], pa.int64())})
 
-    dealt = encoded(docs, path, end, key, text, edges, width)
-    dealt = dealt.repartitionById(n, F.col("part")).sortWithinPartitions(F.col("key").asc_nulls_first())
-    done = dealt.mapInArrow(save, "part int, docs long, tokens long").collect()  # a row for each partition
+    order = [F.col("key").asc_nulls_first(), F.col("hash"), F.col("row")]
+    d = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    d = d.select("key", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    dealt = d.repartitionByRange(n, *order).sortWithinPartitions(*order).select("key", "text")
+    done = dealt.mapInArrow(save, "part int, name string, docs long, tokens long").collect()  # a row for each partition
     totals = sorted((r.asDict() for r in done), key=lambda r: r["part"])
     base = 0
     for t in totals:
@@ -226,12 +224,12 @@ def _read(spark: SparkSession, url: str, of, kind, column: str) -> DataFrame:
 
     def each(batches):
         for b in batches:
-            for part, base, width in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids, offsets, keys = (mapped(url, f"part-{part:05d}.{x}", w) for x, w in (("ids", width), ("offsets", "<i8"), ("docs", "<i8")))
+            for _, name, base, width in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ids, offsets, keys = (mapped(url, f"{name}.{x}", w) for x, w in (("ids", width), ("offsets", "<i8"), ("docs", "<i8")))
                 for i in range(0, len(keys), 4096):
                     o, k = offsets[i : i + 4097], np.array(keys[i : i + 4096])
                     made = pa.array([of(ids[a:b]) for a, b in zip(o[:-1], o[1:], strict=True)], kind)
                     yield pa.RecordBatch.from_arrays([pa.array(k, mask=k == NO_KEY), pa.array(o[:-1] + base), pa.array(np.diff(o)), made], ["key", "start", "n_tokens", column.split()[0]])
 
-    listed = spark.createDataFrame([(p["part"], p["base"], p["width"]) for p in parts], "part int, base long, width string")
-    return listed.repartitionById(len(parts), F.col("part").cast("int")).mapInArrow(each, schema)
+    listed = spark.createDataFrame([(i, p["name"], p["base"], p["width"]) for i, p in enumerate(parts)], "part int, name string, base long, width string")
+    return listed.repartitionById(len(parts), F.col("part")).mapInArrow(each, schema)

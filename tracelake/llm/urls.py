@@ -3,7 +3,8 @@
 Labelled pages count as good or bad. A host's rate of bad pages is shrunk towards its registered
 domain's, that towards its suffix's, and that towards the rate of all, each by a beta-binomial
 prior whose strength is estimated from how much the rates of that level vary (method of moments).
-A host is blocked when the lower bound of its posterior rate passes a limit. Only DataFrame
+A host is blocked when the lower bound of its posterior rate,
+its mean less 1.645 of its standard deviations, passes a limit. Only DataFrame
 functions are used; three strengths and one rate are all that reaches the driver.
 
 Pages are counted up to hosts before anything is joined, so a host with very many pages sends one
@@ -22,6 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Rules as (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Suffixes of two labels. Others have one.
@@ -76,7 +79,8 @@ def strength(t: DataFrame) -> float:
 def reputation(outcomes: DataFrame, limit: float = LIMIT, deviations: float = DEVIATIONS, suffixes=SUFFIXES) -> DataFrame:
     """outcomes (host, bad: 0, 1 or null) -> host, n, bad, rate, bound, blocked."""
     hosts = levels(outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")), suffixes)
-    domains = hosts.groupBy("domain").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    hosts = cut(hosts, "hosts")  # the strengths and rates of all levels come from this one table
+    domains = cut(hosts.groupBy("domain").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
     tops = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total = tops.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     if not total["n"]:

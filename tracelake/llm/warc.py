@@ -1,12 +1,15 @@
 """WARC archives: writing with payload dedup, and a Spark data source that reads them.
 
-Each record is a gzip member of its own whose header carries the WARC skip-lengths field (`sl`:
-compressed and plain length of the member), so a reader gets from record to record without
-inflating what it does not want. The source plans partitions of bounded size within files: a reader
-starts at the first member that begins in its range. It inflates and parses a record's headers
-first, tests the pushed-down filters on record type and headers, and inflates the payload only of
-records that pass, and only if payloads are asked for (option payload) or to be checked against
-their digests (option verify).
+Each record is written as a gzip member of its own whose header carries the WARC skip-lengths field
+(`sl`: compressed and plain length of the member), so a reader gets from record to record without
+inflating what it does not want. Other archives are read too: gzip members without that field are
+inflated to find the next, but what is not wanted is not kept or decoded; plain `.warc` files are
+stepped through by their content lengths. The source plans partitions of bounded size within gzip
+files: a reader starts at the first member that begins in its range and reads as WARC, and takes all
+records of the members that begin there. Plain files are a partition each. In all of them a record's
+headers are parsed first and held against the pushed-down filters on record type and headers; its
+payload is decoded only if it passes, and only if payloads are asked for (option payload) or to be
+checked against their digests (option verify). A file without any record is an error.
 
 Of records with equal payloads of at least `least` bytes, that with the largest id is a response
 and the others are revisit records that name it. Equal payloads are found by their SHA-1 alone;
@@ -14,7 +17,9 @@ payloads are dealt once, to be joined with what they are to become.
 
 Cases: a null html is an empty payload; a null url gives a record without target; of equal largest
 ids one record stays a response; null ids count as smallest and are written as such; an empty table writes no record;
-extra columns are ignored.
+extra columns are ignored; a payload of any size is one record (a member too long for the field's 32
+bits is written without it); in archives of others, payload_bytes counts the bytes after the HTTP
+headers, or all of a block that is not HTTP.
 """
 
 from __future__ import annotations
@@ -52,11 +57,18 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+#: The same without the extra field.
+PLAIN = b"\x1f\x8b\x08\0\0\0\0\0\0\xff"
+MAGIC, MOST = b"\x1f\x8b\x08", 0xFFFFFFFF
+
+
 def member(data: bytes, level: int = 1) -> bytes:
     z = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = z.compress(data) + z.flush()
     size = len(HEAD) + 8 + len(body) + 8
-    return HEAD + struct.pack("<II", size & 0xFFFFFFFF, len(data) & 0xFFFFFFFF) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    # The trailer holds the length modulo 2 ** 32 by definition; the skip-lengths must be exact.
+    head = HEAD + struct.pack("<II", size, len(data)) if size <= MOST and len(data) <= MOST else PLAIN
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
 def record(page_id, url: str | None, payload: bytes, refers_to=None, revisit: bool = False) -> bytes:
@@ -130,7 +142,8 @@ class WarcReader(DataSourceReader):
 
         system, folder = store(self.url)
         found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
-        return [Part(i.path, at, at + self.split) for i in sorted(found, key=lambda i: i.path) if i.is_file and i.base_name.endswith(".warc.gz") for at in range(0, i.size, self.split)] or [Part("", 0, 0)]
+        files = [i for i in sorted(found, key=lambda i: i.path) if i.is_file and i.base_name.endswith((".warc.gz", ".warc")) and i.size]
+        return [Part(i.path, at, at + self.split) for i in files for at in range(0, i.size if i.path.endswith(".gz") else 1, self.split)] or [Part("", 0, 0)]
 
     def read(self, part):
         system, _ = store(self.url)
@@ -138,52 +151,162 @@ class WarcReader(DataSourceReader):
             return
         rows, size = [], 0
         with system.open_input_file(part.path) as f:
-            at = first_member(f, part.start)
-            end = min(part.end, f.size())
-            while at is not None and at < end:
-                row, at = self._record(f, at)
-                if row is not None:
-                    rows.append(row)
-                    size += len(row[-1] or b"")
+            for row in self._gzip(f, part) if part.path.endswith(".gz") else self._records(Plain(f), part.path):
+                rows.append(row)
+                size += len(row[-1] or b"")
                 if len(rows) >= 5000 or size > 16 << 20:
                     yield _rows(rows)
                     rows, size = [], 0
         if rows:
             yield _rows(rows)
 
-    def _record(self, f, at):
+    def _gzip(self, f, part):
+        at = first_member(f, part.start)
+        if at is None and not part.start or (part.start == 0 and at):
+            raise ValueError(f"{part.path}: no WARC record at its start")
+        while at is not None and at < min(part.end, f.size()):
+            member = Member(f, at)
+            yield from self._records(member, part.path)
+            at = member.next()
+
+    def _records(self, stream, path):
+        """Rows of the wanted records of a stream. Goes on to the end unless the stream says that one record is all."""
+        while (head := stream.header()) is not None:
+            if not head.startswith(b"WARC/"):
+                raise ValueError(f"{path}: no WARC record where one should begin")
+            fields = dict(parsed(head))
+            length = int(fields["content-length"])
+            row = [fields.get(h) for h in HEADERS.values()]
+            if row[4] is not None:
+                row[4] = row[4].removeprefix("sha1:")
+            if all(v in self.wanted.get(c, (v,)) for c, v in zip(HEADERS, row, strict=True)):
+                yield self._row(stream, fields, row, length)
+            elif not stream.single:
+                stream.skip(length)
+            if stream.single:
+                return
+
+    def _row(self, stream, fields, row, length):
+        http = fields.get("content-type", "").startswith("application/http")
+        whole = (self.payload or self.verify) and row[0] != "revisit"
+        block = stream.take(length) if whole else stream.start(length, b"\r\n\r\n") if http else b""
+        head, _, payload = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
+        if row[0] == "revisit":
+            size = int(dict(parsed(head)).get("content-length", 0))
+        else:
+            size = length - (len(head) + 4 if http else 0)
+        if not whole and not stream.single:
+            stream.skip(length - len(block))
+        if self.verify and whole and row[4] is not None and digest_of(payload) != row[4]:
+            raise ValueError(f"payload of {row[1]} differs from its digest")
+        return (*row, max(0, size), payload if self.payload and whole else None)
+
+
+class Stream:
+    """Records in turn: a header, then `length` bytes of block that are taken, started or skipped."""
+
+    single = False  # whether a reader knows where the next record is without reading on
+
+    def __init__(self):
+        self.held = b""
+
+    def more(self) -> bytes:
+        """Next bytes; none at the end."""
+        raise NotImplementedError
+
+    def header(self) -> bytes | None:
+        """Up to the blank line, which is passed; None at the end."""
+        while True:
+            self.held = self.held.lstrip(b"\r\n")
+            head, mark, rest = self.held.partition(b"\r\n\r\n")
+            if mark:
+                self.held = rest
+                return head
+            if not (data := self.more()):
+                if self.held:
+                    raise ValueError("the archive ends within a record's headers")
+                return None
+            self.held += data
+
+    def take(self, length: int) -> bytes:
+        parts, n = [self.held], len(self.held)
+        while n < length and (data := self.more()):
+            parts.append(data)
+            n += len(data)
+        if n < length:
+            raise ValueError("the archive ends within a record")
+        block = b"".join(parts)
+        self.held = block[length:]
+        return block[:length]
+
+    def start(self, length: int, mark: bytes) -> bytes:
+        """The block's bytes up to a mark, the mark included, or all of it."""
+        while mark not in self.held[:length] and len(self.held) < length and (data := self.more()):
+            self.held += data
+        at = self.held[:length].find(mark)
+        return self.take(length if at < 0 else at + len(mark))
+
+    def skip(self, length: int) -> None:
+        while len(self.held) < length:
+            length -= len(self.held)
+            self.held = self.more()
+            if not self.held:
+                raise ValueError("the archive ends within a record")
+        self.held = self.held[length:]
+
+
+class Plain(Stream):
+    """An uncompressed file."""
+
+    def __init__(self, f):
+        super().__init__()
+        self.f = f
+
+    def more(self):
+        return self.f.read(1 << 16)
+
+    def skip(self, length):
+        if length <= len(self.held):
+            self.held = self.held[length:]
+            return
+        to = self.f.tell() + length - len(self.held)
+        if to > self.f.size():
+            raise ValueError("the archive ends within a record")
+        self.f.seek(to)
+        self.held = b""
+
+
+class Member(Stream):
+    """A gzip member. With skip-lengths it holds one record, and the next member's place is known."""
+
+    def __init__(self, f, at: int):
+        super().__init__()
+        self.f, self.at = f, at
         f.seek(at)
-        head = f.read(min(4096, f.size() - at))
-        if not head.startswith(HEAD):
-            raise ValueError(f"no skip-lengths member at {at}")
-        size, plain = struct.unpack_from("<II", head, len(HEAD))
-        z = zlib.decompressobj(-15)
-        data = z.decompress(head[len(HEAD) + 8 : size - 8])
-        read = len(head)
-        while b"\r\n\r\n" not in data and read < size:
-            more = f.read(min(65_536, size - read))
-            read += len(more)
-            data += z.decompress(more)
-        warc, _, block = data.partition(b"\r\n\r\n")
-        fields = dict(parsed(warc))
-        row = [fields.get(h) for h in HEADERS.values()]
-        if row[4] is not None:
-            row[4] = row[4].removeprefix("sha1:")
-        if any(v not in self.wanted.get(c, (v,)) for c, v in zip(HEADERS, row, strict=True)):
-            return None, at + size
-        whole = self.payload or self.verify
-        while (whole or b"\r\n\r\n" not in block) and read < size and len(block) < int(fields["content-length"]):
-            more = f.read(size - read if whole else min(65_536, size - read))
-            read += len(more)
-            block += z.decompress(more)
-        http, _, payload = block[: int(fields["content-length"])].partition(b"\r\n\r\n")
-        length = int(dict(parsed(http)).get("content-length", 0))
-        body = None
-        if whole and row[0] == "response":
-            body = payload
-            if self.verify and (digest_of(body) != row[4] or len(body) != length):
-                raise ValueError(f"payload of {row[1]} differs from its digest")
-        return (*row, length, body if self.payload else None), at + size
+        first = f.read(4096)
+        self.single = first.startswith(HEAD)
+        self.size = struct.unpack_from("<I", first, len(HEAD))[0] if self.single else None
+        self.z, self.raw, self.fed = zlib.decompressobj(31), first[: self.size], 0
+
+    def more(self):
+        while not self.z.eof:
+            raw = self.raw or self.f.read(1 << 16 if self.size is None else min(1 << 16, self.size - self.fed))
+            if not raw:
+                if self.size is None or self.fed < self.size:
+                    raise ValueError(f"the member at {self.at} has no end")
+                return b""
+            self.raw = b""
+            self.fed += len(raw)
+            if data := self.z.decompress(raw):
+                return data
+        return b""
+
+    def next(self) -> int | None:
+        """Where the next member begins, once all of this one's records are read; None at the end of the file."""
+        if self.single:
+            return self.at + self.size
+        after = self.at + self.fed - len(self.z.unused_data)
+        return after if after < self.f.size() else None
 
 
 def parsed(head: bytes):
@@ -192,19 +315,31 @@ def parsed(head: bytes):
         yield k.strip().lower(), v.strip()
 
 
-def first_member(f, start: int):
-    """Where the first member at or after start begins."""
+def first_member(f, start: int) -> int | None:
+    """Where the first gzip member at or after start begins that holds a WARC record at its start."""
     f.seek(start)
     kept, at = b"", start
     while more := f.read(1 << 16):
         kept += more
-        if (i := kept.find(HEAD)) >= 0:
-            return at + i
-        at += max(0, len(kept) - len(HEAD) + 1)
-        kept = kept[-len(HEAD) + 1 :]
+        i = kept.find(MAGIC)
+        while i >= 0:
+            if begins(f, at + i):
+                return at + i
+            i = kept.find(MAGIC, i + 1)
+        f.seek(at + len(kept))
+        at += max(0, len(kept) - len(MAGIC) + 1)
+        kept = kept[-len(MAGIC) + 1 :]
     return None
 
 
+def begins(f, at: int) -> bool:
+    f.seek(at)
+    try:
+        return zlib.decompressobj(31).decompress(f.read(4096), 16).lstrip(b"\r\n").startswith(b"WARC/")
+    except zlib.error:
+        return False
+
+
 def _rows(rows):
     kinds = [pa.string()] * 5 + [pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in READ.split(", ")])
