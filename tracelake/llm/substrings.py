@@ -42,9 +42,10 @@ LENGTH, GRAM = 200, 32
 #: Bytes handled at once; places in a piece take PLACE bits.
 PIECE, PLACE = 1 << 20, 24
 #: Different segments of an anchor that one shard takes, bytes of a shard, and the widths of narrower runs.
-MANY, SHARD, WIDTHS = 256, 4 << 20, (48, 12, 3, 1)
-#: Tuples that the sorter's queues hold in memory, and the longest text of names that it sorts there; a shard has millions.
-TUPLES, NAMES = 1 << 19, 1 << 20
+MANY, SHARD, WIDTHS = 256, 1 << 20, (48, 12, 3, 1)
+#: Tuples that the sorter's queues hold in memory, and the longest text of names that it sorts there. A shard has some
+#: 500,000 suffixes a scan and 340,000 names, so both go to disk, and the names one level deeper.
+TUPLES, NAMES = 1 << 18, 1 << 18
 
 _P = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _TABLE = np.random.default_rng(11).integers(1, 2**63, (2, 256), dtype=np.uint64)

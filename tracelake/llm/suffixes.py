@@ -44,19 +44,28 @@ class Room:
         return os.path.join(self.folder, str(self.files))
 
     def array(self, n: int, kind) -> np.ndarray:
-        """A new array on disk."""
-        return np.memmap(self.name(), kind, "w+", shape=(n,)) if n else np.empty(0, kind)
+        """A new array on disk, whose file goes with it."""
+        if not n:
+            return np.empty(0, kind)
+        name = self.name()
+        made = np.memmap(name, kind, "w+", shape=(n,))
+        os.unlink(name)
+        return made
 
     def held(self, n: int) -> None:
         self.most = max(self.most, n)
 
 
+#: Tuples of scans, whose texts have less than 2 ** 30 characters, and of sorting by keys of 63 bits.
+TUPLE = np.dtype([("char", "<i4"), ("place", "<i4"), ("common", "<i2")])
+KEYED = np.dtype([("char", "<i8"), ("place", "<i4")])
+
+
 class Run:
     """Tuples in order of coming; what the queue does not hold in memory lies in a file."""
 
-    KIND = np.dtype([("char", "<i8"), ("place", "<i8"), ("common", "<i4")])
-
-    def __init__(self):
+    def __init__(self, kind: np.dtype):
+        self.kind = kind
         self.parts, self.held, self.stored, self.path = [], 0, 0, None
 
     def __len__(self):
@@ -68,7 +77,7 @@ class Run:
 
     def _memory(self) -> np.ndarray:
         if len(self.parts) != 1:
-            self.parts = [np.concatenate(self.parts)] if self.parts else [np.empty(0, self.KIND)]
+            self.parts = [np.concatenate(self.parts)] if self.parts else [np.empty(0, self.kind)]
         return self.parts[0]
 
     def spill(self, room: Room) -> None:
@@ -84,11 +93,11 @@ class Run:
         out = []
         if at < self.stored:
             m = min(n, self.stored - at)
-            out.append(np.fromfile(self.path, self.KIND, m, offset=at * self.KIND.itemsize))
+            out.append(np.fromfile(self.path, self.kind, m, offset=at * self.kind.itemsize))
             at, n = at + m, n - m
         if n > 0 and self.held:
             out.append(self._memory()[at - self.stored : at - self.stored + n])
-        return out[0] if len(out) == 1 else np.concatenate(out) if out else np.empty(0, self.KIND)
+        return out[0] if len(out) == 1 else np.concatenate(out) if out else np.empty(0, self.kind)
 
     def drop(self) -> None:
         if self.path:
@@ -99,9 +108,9 @@ class Run:
 class Queue:
     """A priority queue by character; of one character, first in, first out. edges: the last character of each range, ascending."""
 
-    def __init__(self, room: Room, edges: np.ndarray):
+    def __init__(self, room: Room, edges: np.ndarray, kind: np.dtype = TUPLE):
         self.room, self.edges, self.held = room, edges, 0
-        self.runs = [Run() for _ in edges]
+        self.runs = [Run(kind) for _ in edges]
 
     def add(self, tuples: np.ndarray) -> None:
         if len(self.edges) == 1:
@@ -127,9 +136,12 @@ class Queue:
         self.runs[i].drop()
 
 
-def tuples(char, place, common) -> np.ndarray:
-    out = np.empty(len(place), Run.KIND)
-    out["char"], out["place"], out["common"] = char, place, common
+def tuples(char, place, common=None) -> np.ndarray:
+    """Tuples of scans, or, without common prefixes, of sorting by keys."""
+    out = np.empty(len(place), KEYED if common is None else TUPLE)
+    out["char"], out["place"] = char, place
+    if common is not None:
+        out["common"] = common
     return out
 
 
@@ -172,7 +184,7 @@ class Sink(Run):
     """A run that is written out as it grows."""
 
     def __init__(self, room: Room):
-        super().__init__()
+        super().__init__(TUPLE)
         self.room = room
 
     def add(self, t: np.ndarray) -> None:
@@ -319,7 +331,7 @@ class Scan:
         """
         kind = np.zeros(len(t), np.int64)
         kind[own:] = 1
-        rank = 2 * t["char"] + kind
+        rank = 2 * t["char"].astype(np.int64) + kind
         order = np.argsort(rank, kind="stable")
         t, rank, at, window = t[order], rank[order], 0, 1024
         front, front_rank, waiting = t[:0], rank[:0], []
@@ -330,7 +342,7 @@ class Scan:
                 front, front_rank, at = np.concatenate([front, t[at:to]]), np.concatenate([front_rank, rank[at:to]]), to
                 if waiting:
                     w = np.concatenate(waiting)
-                    now = 2 * w["char"] < rank[at] if at < len(t) else np.ones(len(w), bool)
+                    now = w["char"] < rank[at] / 2 if at < len(t) else np.ones(len(w), bool)
                     waiting = [w[~now]] if not now.all() else []
                     front, front_rank = self._placed(front, front_rank, w[now])
             m, new = self.feed(*self._fields(front[:window]), (front_rank[:window] & 1).astype(bool), False)
@@ -339,7 +351,7 @@ class Scan:
                 inside = new["char"] <= self.queue.edges[i]
                 if inside.any():
                     mine = new[inside]
-                    now = 2 * mine["char"] < rank[at] if at < len(t) else np.ones(len(mine), bool)
+                    now = mine["char"] < rank[at] / 2 if at < len(t) else np.ones(len(mine), bool)
                     front, front_rank = self._placed(front, front_rank, mine[now])
                     if not now.all():
                         waiting.append(mine[~now])
@@ -352,11 +364,12 @@ class Scan:
         if not len(new):
             return t, rank
         new = new[np.argsort(new["char"], kind="stable")]
-        to = np.searchsorted(rank, 2 * new["char"], side="right") + np.arange(len(new))
+        own = 2 * new["char"].astype(np.int64)
+        to = np.searchsorted(rank, own, side="right") + np.arange(len(new))
         old = np.ones(len(t) + len(new), bool)
         old[to] = False
         both, ranks = np.empty(len(old), t.dtype), np.empty(len(old), np.int64)
-        both[to], ranks[to] = new, 2 * new["char"]
+        both[to], ranks[to] = new, own
         both[old], ranks[old] = t, rank
         return both, ranks
 
@@ -364,7 +377,7 @@ class Scan:
 def seeds_of(text: np.ndarray, room: Room) -> np.ndarray:
     """Places of the leftmost S suffixes in ascending order, the final 0 among them."""
     n = len(text)
-    out, end, right = room.array(n // 2 + 1, np.int64), n // 2 + 1, True
+    out, end, right = room.array(n // 2 + 1, np.int32), n // 2 + 1, True
     for b in range(n - 1, 0, -room.tuples):
         a = max(0, b - room.tuples)
         step = np.sign(np.diff(np.asarray(text[a : b + 1], np.int64)))
@@ -396,10 +409,10 @@ def blocks(text: np.ndarray, seeds: np.ndarray, alphabet: int, room: Room):
         p = np.asarray(seeds[i : i + step + 1])
         count += int((-(-(np.diff(p) + 1) // size)).sum())
     count += 1
-    keys, starts, firsts = room.array(count, np.int64), room.array(count, np.int64), room.array(count, np.bool_)
+    keys, starts, firsts = room.array(count, np.int64), room.array(count, np.int32), room.array(count, np.bool_)
     at = 0
     for i in range(0, len(seeds), step):
-        p = np.asarray(seeds[i : i + step + 1])
+        p = np.asarray(seeds[i : i + step + 1], np.int64)
         width = np.diff(p) + 1 if len(p) > 1 else np.empty(0, np.int64)
         if i + step >= len(seeds):
             width = np.r_[width, 1]  # the final 0
@@ -426,10 +439,10 @@ def named(keys: np.ndarray, room: Room) -> tuple[np.ndarray, int]:
     parts = max(1, 4 * n // room.tuples)
     at = some[np.linspace(0, len(some) - 1, parts + 1).astype(int)[1:-1]]
     edges = np.unique(np.r_[at - 1, at, np.iinfo(np.int64).max]) if parts > 1 else np.array([np.iinfo(np.int64).max])
-    queue, piece = Queue(room, edges), max(1, room.tuples // 4)
+    queue, piece = Queue(room, edges, KEYED), max(1, room.tuples // 4)
     for i in range(0, n, piece):
         k = np.asarray(keys[i : i + piece])
-        queue.add(tuples(k, np.arange(i, i + len(k)), 0))
+        queue.add(tuples(k, np.arange(i, i + len(k))))
     rank, last = -1, None
     for i, run in enumerate(queue.runs):
         one = i and int(edges[i]) - int(edges[i - 1]) == 1
@@ -447,7 +460,7 @@ def named(keys: np.ndarray, room: Room) -> tuple[np.ndarray, int]:
 
 def ordered(names: np.ndarray, room: Room) -> Run:
     """The order of a text without repeated characters, from the largest suffix on; its 0 is left out."""
-    place = room.array(len(names), np.int64)
+    place = room.array(len(names), np.int32)
     for i in range(0, len(names), room.tuples):
         place[np.asarray(names[i : i + room.tuples])] = np.arange(i, min(len(names), i + room.tuples))
     out = Sink(room)
@@ -484,7 +497,9 @@ def sort(text: np.ndarray, alphabet: int, room: Room, horizon: int, out, depth:
     room.depth = max(room.depth, depth)
     places = seeds_of(text, room)
     keys, starts, firsts = blocks(text, places, alphabet, room)
+    del places
     names, different = named(keys, room)
+    del keys
     if different == len(names):
         deeper = ordered(names, room)
     elif len(names) <= room.small:
@@ -492,6 +507,7 @@ def sort(text: np.ndarray, alphabet: int, room: Room, horizon: int, out, depth:
     else:
         deeper = Sink(room)
         sort(names, different, room, horizon, lambda c, p, s, _: deeper.add(tuples(c, p, s)), depth + 1)
+    del names
     seeds, up = Sink(room), Backwards(deeper)
     seeds.add(tuples(0, np.array([len(text) - 1]), 0))
     last, least, piece = len(text) - 1, 0, max(1, room.tuples // 4)
@@ -506,11 +522,12 @@ def sort(text: np.ndarray, alphabet: int, room: Room, horizon: int, out, depth:
         share[0] = min(share[0], least)
         least = int(t["common"][at[-1] + 1 :].min(initial=horizon))
         b = t["place"][at].astype(np.int64)
-        p = np.asarray(starts[b])
+        p = np.asarray(starts[b], np.int64)
         known = np.asarray(starts[b + share]) - p
         seeds.add(tuples(text[p], p, common(text, np.r_[last, p[:-1]], p, known, horizon)))
         last = int(p[-1])
     deeper.drop()
+    del starts, firsts
     edges, found = ranges(text, alphabet, room), Sink(room)
 
     def keep(c, p, s, seed):
@@ -532,11 +549,10 @@ def repeats(text: np.ndarray, horizon: int, folder: str | None = None, room: Roo
         marked = room.array(n, np.bool_)
         if n < 2:
             return np.zeros(n, bool)
-        whole, alphabet = room.array(n + 1, np.int32), 0
+        alphabet = max(int(text[i : i + room.tuples].max()) for i in range(0, n, room.tuples)) + 2
+        whole = room.array(n + 1, np.int16 if alphabet < 1 << 15 else np.int32)
         for i in range(0, n, room.tuples):
-            part = np.asarray(text[i : i + room.tuples], np.int32)
-            whole[i : i + len(part)] = part + 1
-            alphabet = max(alphabet, int(part.max()) + 2)
+            whole[i : min(n, i + room.tuples)] = text[i : i + room.tuples] + 1
         whole[n] = 0
         last = -1
 
