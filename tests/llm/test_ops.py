@@ -489,3 +489,57 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, model).count() == 0
     long = "milk " * 600_000 + "grobnik fool"
     assert toxicity.score(spark.createDataFrame([(1, long)], "doc_id long, text string"), model).first()["score"] > 0.7
+
+
+def test_toxicity_features_do_not_depend_on_pieces(monkeypatch):
+    r = random.Random(9)
+    texts = ["", None, "ab", " A\tB  c\n", *("".join(r.choice("ab é\n") for _ in range(n)) for n in (3, 9, 10, 11, 57, 400))]
+    want = [sorted(map(tuple, np.stack(toxicity.present(texts), 1).tolist()))]
+    for size in (9, 10, 11, 64):
+        monkeypatch.setattr(toxicity, "PIECE", size)
+        assert [sorted(map(tuple, np.stack(toxicity.present(texts), 1).tolist()))] == want
+
+
+def test_toxicity_ratios_against_plain_counts():
+    """Log-count ratios, the choice of buckets and the fit's optimum, each worked out the plain way."""
+    r = random.Random(2)
+    texts = [" ".join(r.choice(["sun", "oak", "sea", "elm"]) for _ in range(12)) + (" vile" if i % 3 == 0 else " kind") for i in range(60)]
+    toxic = np.array([int(i % 3 == 0) for i in range(60)])
+    has = [set(toxicity.present([t])[1].tolist()) for t in texts]
+    n = [sum(toxic == c) for c in (0, 1)]
+    count = {b: [sum(b in h for h, y in zip(has, toxic, strict=True) if y == c) for c in (0, 1)] for b in set().union(*has)}
+
+    def chi(p):
+        a, b, both = p[0] / n[0], p[1] / n[1], sum(p) / 60
+        return (b - a) ** 2 / (both * (1 - both)) * n[0] * n[1] / 60 if 0 < both < 1 else 0
+
+    keep = sorted(b for b, p in count.items() if sum(p) >= 3 and chi(p) >= toxicity.TELLING)
+    total = [sum(count[b][c] + 1 for b in keep) for c in (0, 1)]
+    ratio = {b: np.log((count[b][1] + 1) / total[1]) - np.log((count[b][0] + 1) / total[0]) for b in keep}
+    buckets, weights, bias = toxicity.fit(texts, toxic, np.ones(60))
+    assert buckets.tolist() == keep
+    x = np.array([[ratio[b] if b in h else 0.0 for b in keep] for h in has])
+    w = weights / np.array([ratio[b] for b in keep])
+    p = 1 / (1 + np.exp(-(x @ w + bias)))
+    assert np.abs(x.T @ (p - toxic) / 60 + toxicity.PENALTY * w).max() < 1e-3 and ((p >= 0.5) == toxic).all()
+
+
+def test_quality_scores_against_plain_counts(spark, docs):
+    """Score, threshold and verdict from counts over all documents and over the trusted ones."""
+    trusted = {5, 6, 20, 21, 40}
+    labels = spark.createDataFrame([(i, 1) for i in trusted] + [(22, 0)], "doc_id long, quality int")
+    rows = docs.select("doc_id", quality.features(F.col("text")).alias("f")).collect()
+    raw, good = Counter(), Counter()
+    for r in rows:
+        raw.update(r["f"])
+        good.update(r["f"] if r["doc_id"] in trusted else ())
+    n = quality.BUCKETS
+    ratio = {b: np.log((good[b] + 1) / (good.total() + n)) - np.log((raw[b] + 1) / (raw.total() + n)) for b in raw}
+    score = lambda f: float(np.mean([ratio[b] for b in f])) if f else 0.0
+    sure = [score(r["f"]) for r in rows if r["doc_id"] in trusted]
+    for deviations in (quality.DEVIATIONS, 0.5):
+        least = round(np.mean(sure) - deviations * np.std(sure), 6)
+        got = quality.judge(docs, labels, deviations=deviations).collect()
+        want = Counter((str(r["doc_id"]), round(score(r["f"]), 9)) for r in rows)
+        assert Counter((str(r["doc_id"]), round(r["score"], 9)) for r in got) == want
+        assert all(r["kept"] == (not r["base_failed"] and r["score"] >= least) for r in got)

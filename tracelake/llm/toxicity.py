@@ -4,7 +4,8 @@ Texts are lower-cased and runs of white space become one blank. A text's feature
 buckets of its character n-grams of several lengths. On labelled documents each bucket's log-count
 ratio r = log(p / |p|) - log(q / |q|) is taken from how many toxic and other documents have it (p
 and q, smoothed by one); buckets that tell the classes apart significantly are kept, their presence
-is scaled by r, and a logistic regression with L2 penalty is fitted on that. It is fitted on a
+is scaled by r (only those with a chi-square of TELLING at least, in three documents or more, and of
+these the KEPT that tell most), and a logistic regression with L2 penalty is fitted on that. It is fitted on a
 bounded sample of labelled rows (`most` of each class, those with the smallest hashes, weighted back to
 the share of their class) in one task; every document is scored where it is read.
 
@@ -34,8 +35,8 @@ PIECE = 1 << 21
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, bucket) of every n-gram of the texts."""
-    clean = [" " + " ".join(t.lower().split()) + " " for t in texts]
+    """(text number, bucket) of every n-gram of the texts, which are cleaned."""
+    clean = texts
     length = np.array([len(t) for t in clean], np.int64)
     code = np.frombuffer("".join(clean).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     of = np.repeat(np.arange(len(texts)), length)
@@ -53,13 +54,18 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(whose), np.concatenate(out)
 
 
+def cleaned(text: str | None) -> str:
+    """Lower case, runs of white space as one blank, a blank at both ends."""
+    return " " + " ".join((text or "").lower().split()) + " "
+
+
 def pieces(texts: list[str | None]):
-    """Runs of texts of about PIECE characters, a long text cut into overlapping parts: (numbers, parts)."""
+    """Runs of cleaned texts of about PIECE characters: (numbers, parts). Parts of a long text overlap so that each n-gram lies in one, and hold none that it has not."""
     numbers, parts, size = [], [], 0
-    step = PIECE - max(LENGTHS)
+    step = PIECE - max(LENGTHS) + 1
     for i, t in enumerate(texts):
-        t = t or ""
-        for at in range(0, max(1, len(t)), step):
+        t = cleaned(t)
+        for at in range(0, max(1, len(t) - max(LENGTHS) + 1), step):
             part = t[at : at + PIECE]
             numbers.append(i)
             parts.append(part)
@@ -67,8 +73,6 @@ def pieces(texts: list[str | None]):
             if size >= PIECE:
                 yield np.array(numbers), parts
                 numbers, parts, size = [], [], 0
-            if at + PIECE >= len(t):
-                break
     if parts:
         yield np.array(numbers), parts
 
