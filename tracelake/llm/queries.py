@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, packing, quality, simhash, substrings, tokens, toxicity, urls, warc
+from . import exact, merkle, mixing, packing, periodic, pii, quality, simhash, substrings, tokens, toxicity, urls, warc
 from .common import shared_dir, table
 
 
@@ -67,6 +67,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(F.col("id").alias("doc_id"), simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.check(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_mixing": op2_mixing,
@@ -78,6 +90,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_suffix_array": op9_suffix_array,
     "op10_simhash": op10_simhash,
+    "op11_pii": op11_pii,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 #: Where SQL can say the same.
