@@ -102,3 +102,15 @@ def test_query_on_a_table(spark):
     sf = "/root/testdata/sf0.001"
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
     assert sorted((tuple(r) for r in op13_merkle_manifest(spark, sf).collect()), key=str) == plain(docs)
+
+
+def test_sql_says_the_same(spark):
+    import duckdb
+
+    from tracelake.llm.queries import SQL
+
+    con = duckdb.connect()
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        con.sql(f"create or replace view documents as from '{sf}/documents.parquet'")
+        docs = [tuple(r) for r in con.sql("select doc_id, text, lang, source, n_chars from documents").fetchall()]
+        assert sorted(con.sql(SQL["op13_merkle_manifest"]).fetchall(), key=str) == plain(docs)

@@ -204,3 +204,33 @@ def check(docs: DataFrame) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of each row, with the rows of tampered() changed after the manifest was made."""
     v = verify(manifest(docs, other=tampered()).proofs())
     return v.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2(siblings(F.col("path")).cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def sql(rows: int = 5, groups: int = 4) -> str:
+    """check() in DuckDB's SQL, for groups of at most FAN**rows rows and FAN**groups groups; levels are written out."""
+    fields = lambda text: " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in (*COLUMNS[:-1], text))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [f"""
+crc AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) AS r(n)),
+keyed AS (SELECT *, xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS c FROM documents, crc),
+hashed AS (SELECT doc_id, source, sha256({fields("text")}) AS h, CASE WHEN c % 5 = 0 THEN sha256({fields(lower)}) END AS other FROM keyed),
+a0 AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS lo, count(*) OVER (PARTITION BY source) AS cnt FROM hashed)"""]
+
+    def grown(a: str, n: int) -> str:
+        """Levels a1.. over a0, with what stands before (l) and behind (r) each node in its run; gives a{n}."""
+        for k in range(n):
+            w = "OVER (PARTITION BY tree, lo // 16 ORDER BY lo ROWS BETWEEN {})"
+            before, behind = w.format("UNBOUNDED PRECEDING AND 1 PRECEDING"), w.format("1 FOLLOWING AND UNBOUNDED FOLLOWING")
+            parts.append(f"{a}s{k} AS (SELECT tree, lo, cnt, coalesce(string_agg(h, '') {before}, '') AS l, coalesce(string_agg(h, '') {behind}, '') AS r FROM {a}{k})")
+            parts.append(f"{a}{k + 1} AS (SELECT tree, lo // 16 AS lo, (any_value(cnt) + 15) // 16 AS cnt, CASE WHEN any_value(cnt) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY lo)) END AS h FROM {a}{k} GROUP BY tree, lo // 16)")
+        return f"{a}{n}"
+
+    subroots = grown("a", rows)
+    parts.append(f"b0 AS (SELECT 0 AS tree, tree AS lo, count(*) OVER () AS cnt, h FROM {subroots})")
+    root = grown("b", groups)
+    found = f"SELECT doc_id, a0.h AS leaf, s.h AS subroot, t.h AS root, a0.tree AS top, a0.lo AS lo, coalesce(other, a0.h) AS f, '' AS proof FROM a0 JOIN {subroots} s USING (tree) CROSS JOIN {root} t"
+    parts.append(f"f0 AS ({found})")
+    for k in range(rows + groups):
+        s, on = (f"as{k}", f"s.tree = top AND s.lo = f.lo // {FAN**k}") if k < rows else (f"bs{k - rows}", f"s.lo = top // {FAN ** (k - rows)}")
+        parts.append(f"f{k + 1} AS (SELECT f.* REPLACE (CASE WHEN s.cnt = 1 THEN f ELSE sha256(l || f || r) END AS f, proof || l || r AS proof) FROM f{k} f JOIN {s} s ON {on})")
+    return f"WITH {','.join(parts)}\nSELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified FROM f{rows + groups}"

@@ -99,6 +99,7 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op2_mixing": mixing.SQL,
     "op5_urls": urls.SQL,
+    "op13_merkle_manifest": merkle.sql(),
     "op8_exact_dedup": r"""
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
