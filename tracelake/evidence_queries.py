@@ -267,7 +267,7 @@ def table_reader(spark, sf_dir):
 
 @query(f"{_E} SELECT h AS host, t AS action, count(*) AS facts, count(DISTINCT i) AS places FROM e GROUP BY ALL")
 def store_round_trip(spark, sf_dir):
-    """Facts saved, the rest appended with places of their own, all loaded"""
+    """Facts saved, the rest appended with places of their own, all loaded"""
     f = demo.events(spark, sf_dir)
     path = f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
     early = F.col("action").isin("click", "view")

@@ -6,6 +6,8 @@ entity key of a fact.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,13 +82,21 @@ def exploded(facts: DataFrame) -> DataFrame:
 ROW = ("case_id", "host", "fact_ord", "fact_id", "time", "source", "action", "time_confidence")
 
 
-def fact_entities(facts: DataFrame) -> DataFrame:
-    """One row for each distinct entity key of a fact, with the first spelling in the fact.
+def naming(keys: Iterable[str]) -> Column:
+    """Whether a fact names one of the keys: a filter of facts that Spark pushes below unions and joins."""
+    wanted = sorted({k.lower() for k in keys})
+    return F.exists("entity_refs", lambda r: entity_key(r["type"], r["value"]).isin(wanted))
+
+
+def fact_entities(facts: DataFrame, keys: Iterable[str] | None = None) -> DataFrame:
+    """One row for each distinct entity key of a fact, with the first spelling in the fact; of facts that name one of `keys`, if given.
 
     Repeats are dropped within the fact's own array, so nothing is shuffled and two facts are never taken
     for one. entity_refs and ref_keys stay, so what a fact also names needs no join; Spark drops them where
     nobody asks for them.
     """
+    if keys is not None:
+        facts = facts.where(naming(keys))
     keys = F.transform("entity_refs", lambda r: entity_key(r["type"], r["value"])).alias("ref_keys")
     f = facts.withColumn("host", host_of(F.col("host"))).select(*ROW, "entity_refs", keys)
     e = exploded(f).withColumn("value_norm", F.lower("value_display"))

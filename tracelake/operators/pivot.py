@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..model import ROW, exploded
+from ..model import ROW, exploded, fact_entities
 
 LIMIT = 250
 #: Entity types that are pivoted by default.
@@ -52,6 +54,20 @@ def search(entities: DataFrame, key: str, most: int | None = None) -> DataFrame:
     return out.limit(most) if most else out
 
 
+#: Keys that are looked for within the facts' own arrays; more are left to joins behind the explode.
+KEYS = 2_000
+
+
+def rows_of(facts: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A lookup without an index: from seeds (entity_key) to the entity rows of facts that name one, filtered before references are exploded."""
+
+    def of(seeds: DataFrame) -> DataFrame:
+        keys = [r[0] for r in seeds.select("entity_key").distinct().limit(KEYS + 1).collect()]
+        return fact_entities(facts, keys if len(keys) <= KEYS else None)
+
+    return of
+
+
 def search_many(entities: DataFrame, seeds: DataFrame) -> DataFrame:
     """J01 for a table of seeds (entity_key)."""
     return entities.join(seeds.select(F.lower("entity_key").alias("entity_key")).distinct(), "entity_key", "left_semi")

@@ -97,14 +97,14 @@ _RELATED = f"WITH {_ENTS}, f AS (SELECT DISTINCT host, ord, source FROM en WHERE
 QUALIFY row_number() OVER (ORDER BY count(DISTINCT host) DESC, count(*) DESC, split_part(key, ':', 1), split_part(key, ':', 2), key) <= 250""")
 def related_entities(spark, sf_dir):
     """J03, A03, T03"""
-    return _pivoted(pivot.related(model.fact_entities(demo.lines(spark, sf_dir)), "part:1"))
+    return _pivoted(pivot.related(model.fact_entities(demo.lines(spark, sf_dir), ["part:1"]), "part:1"))
 
 
 @query(f"""{_RELATED} SELECT 'part:1' AS seed, key AS entity_key, string_agg(DISTINCT action, ',' ORDER BY action) AS actions, count(DISTINCT host) AS hosts, count(*) AS facts FROM r GROUP BY key
 QUALIFY row_number() OVER (ORDER BY count(DISTINCT host) DESC, count(*) DESC, split_part(key, ':', 1), split_part(key, ':', 2), key) <= 40""")
 def graph_edges(spark, sf_dir):
     """A04, G01, W05"""
-    e = pivot.edges(model.fact_entities(demo.lines(spark, sf_dir)), spark.createDataFrame([("part:1",)], "entity_key string"), 40)
+    e = pivot.edges(model.fact_entities(demo.lines(spark, sf_dir), ["part:1"]), spark.createDataFrame([("part:1",)], "entity_key string"), 40)
     return e.select("seed", "entity_key", joined("actions").alias("actions"), F.col("hosts").cast("long"), "facts")
 
 
@@ -117,14 +117,14 @@ k2 AS (SELECT *, row_number() OVER (ORDER BY place, rank) AS o FROM r2 QUALIFY o
 SELECT entity_key, min(depth)::INT AS depth FROM (SELECT 'supplier:1' AS entity_key, 0 AS depth UNION ALL SELECT key, 1 FROM r1 UNION ALL SELECT key, 2 FROM k2) GROUP BY 1""")
 def graph_two_hops(spark, sf_dir):
     """G02"""
-    n, _ = graph.expand(model.fact_entities(demo.lines(spark, sf_dir)), "supplier:1", 2)
+    n, _ = graph.expand(pivot.rows_of(demo.lines(spark, sf_dir)), "supplier:1", 2)
     return n.select("entity_key", "depth")
 
 
 @query(f"WITH {_ENTS} SELECT host, ord AS fact_ord, source, action, strftime(time, '%Y-%m-%d %H:%M:%S') AS time FROM en WHERE key = 'customer:1'")
 def entity_search(spark, sf_dir):
     """J01, J02"""
-    return pivot.search(entities(spark, sf_dir), "customer:1").select("host", "fact_ord", "source", "action", stamp("time").alias("time"))
+    return pivot.search(model.fact_entities(demo.facts(spark, sf_dir), ["customer:1"]), "customer:1").select("host", "fact_ord", "source", "action", stamp("time").alias("time"))
 
 
 @query(f"WITH {_ENTS} SELECT key AS entity_key, count(*) AS facts FROM en WHERE key IN (SELECT 'supplier:' || s_suppkey FROM supplier WHERE s_acctbal > 5000) GROUP BY 1")
@@ -512,7 +512,7 @@ def stream_shared(spark, sf_dir):
 
 
 # Kept apart for their number.
-from . import evidence_queries  # noqa: E402
+from . import evidence_queries, store_queries  # noqa: E402
 
-QUERIES |= evidence_queries.QUERIES
-SQL |= evidence_queries.SQL
+QUERIES |= evidence_queries.QUERIES | store_queries.QUERIES
+SQL |= evidence_queries.SQL | store_queries.SQL

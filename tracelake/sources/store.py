@@ -1,4 +1,4 @@
-"""Saving and loading facts, and the export documents."""
+"""Facts as JSON lines, refilling a store, and the export documents; snapshots.py keeps the store itself."""
 
 from __future__ import annotations
 
@@ -10,41 +10,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import expr as X
-from ..model import FACTS, OLDEST_VERSION, SCHEMA_VERSION, conform, entity_key
+from ..model import FACTS, conform
+from . import snapshots
+from .snapshots import StoreError, append, load, refuse, save
 
-
-class StoreError(ValueError):
-    """A store that cannot be loaded."""
-
-
-def _keyed(facts: DataFrame) -> DataFrame:
-    first = F.get("entity_refs", F.lit(0))
-    return facts.withColumns({"primary_key": entity_key(first["type"], first["value"]), "schema_version": F.coalesce("schema_version", F.lit(SCHEMA_VERSION))})
-
-
-def save(facts: DataFrame, path: str) -> None:
-    """Replaces the store, a folder for each host, with each fact's first entity key."""
-    _keyed(facts).write.mode("overwrite").partitionBy("host").parquet(path)
+__all__ = ["StoreError", "append", "load", "save"]  # S12, S13, S19: the versioned store
 
 
 def after(facts: DataFrame, store: DataFrame) -> DataFrame:
     """facts with places behind those that a store already uses for their case, in the same order."""
-    used = store.groupBy(F.col("case_id").alias("_case")).agg((F.max("fact_ord") + 1).alias("_next"))
-    moved = facts.join(used, F.col("case_id").eqNullSafe(F.col("_case")), "left").withColumn("fact_ord", F.col("fact_ord") + F.coalesce("_next", F.lit(0)))
-    return moved.select(facts.columns)
-
-
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """The facts of a store. Raises if one has an unsupported version or there is none."""
-    return checked(conform(spark.read.parquet(path)))
+    return snapshots.after(facts, store.groupBy("case_id").agg(F.max("fact_ord").alias("last")))
 
 
 def checked(facts: DataFrame) -> DataFrame:
-    seen = facts.agg(F.count("*").alias("n"), F.min("schema_version").alias("lo"), F.max("schema_version").alias("hi")).first()
-    if not seen["n"]:
-        raise StoreError("no readable fact")
-    if seen["lo"] < OLDEST_VERSION or seen["hi"] > SCHEMA_VERSION:
-        raise StoreError(f"unsupported schema version {seen['lo']} to {seen['hi']}")
+    """facts; raises if one has an unsupported version or there is none."""
+    refuse(facts.agg(F.count("*").alias("n"), F.min("schema_version").alias("lo"), F.max("schema_version").alias("hi")).first())
     return facts
 
 
@@ -57,12 +37,6 @@ def load_json(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     return checked(conform(good)), skipped
 
 
-def append(facts: DataFrame, path: str) -> None:
-    """Adds facts to a store, behind those of their case; readers see whole files only. One writer at a time."""
-    have = facts.sparkSession.read.parquet(path)
-    _keyed(after(facts, have)).write.mode("append").partitionBy("host").parquet(path)
-
-
 def refill(store: DataFrame, fresh: DataFrame) -> DataFrame:
     """The store with facts of those rebuilt sources that it has none of, behind what it has."""
     return store.unionByName(after(missing_sources(store, fresh), store))

@@ -15,21 +15,21 @@ from ..sources import store
 
 
 def append_facts(spark: SparkSession, folder: str, schema: StructType, to_facts: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, **options: str) -> StreamingQuery:
-    """Files that arrive are normalised and appended; a batch that runs again replaces what it had written, so each fact is stored once.
+    """Files that arrive are normalised and appended to a versioned store, a commit for each batch.
 
-    Places within a case are unique over all batches: each batch has a range of its own, 2 ** 40 places from its number on.
+    The version remembers the stream's last batch, so one that runs again adds nothing; readers see whole batches only,
+    and other writers may append meanwhile. Facts get places behind those of their case.
     """
     arriving = spark.readStream.schema(schema).options(**options).format(options.pop("format", "parquet")).load(folder)
 
     def add(batch: DataFrame, number: int) -> None:
-        facts = to_facts(batch)
-        facts.withColumn("fact_ord", F.col("fact_ord") + F.lit(number << 40)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        store.append(to_facts(batch), path, (checkpoint, number))
 
     return arriving.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame:
-    return store.checked(spark.read.parquet(path).drop("batch"))
+    return store.load(spark, path)
 
 
 def live_shared(entities: DataFrame, minutes: int, late: str = "1 hour", least: int = 2) -> DataFrame:
