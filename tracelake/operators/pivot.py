@@ -121,14 +121,31 @@ def shared(entities: DataFrame, types=TYPES, least: int = 2, most: int | None =
     """Entities on several hosts, all types in one grouping, the limit taken for each type."""
     e = entities.where(F.lower("entity_type").isin(*(t.lower() for t in types)))
     g = _typed(grouped(e, "entity_key").where(F.col("hosts") >= least).select("entity_key", *SEEN, "display"))
+    return first_shared(g, most)
+
+
+def first_shared(g: DataFrame, most: int | None = LIMIT) -> DataFrame:
+    """The first of shared(most=None), for each type."""
     return _top(g, [F.desc("hosts"), F.desc("facts"), F.lower("display"), F.col("entity_key")], most)
 
 
+def readiness(facts: DataFrame, cases: DataFrame | None = None) -> dict[str, DataFrame]:
+    """ready_hosts, cases with an entity to pivot on, and skipped_hosts, the others of all cases taken in; each a one-row frame."""
+    named = facts.where(F.exists("entity_refs", lambda r: ~X.blank(r["value"]))).select("case_id").distinct()
+    every = (facts if cases is None else cases).select("case_id").distinct()
+    skipped = every.join(named, "case_id", "left_anti")
+    return {"ready_hosts": named.agg(F.count("*").alias("n")), "skipped_hosts": skipped.agg(F.count("*").alias("n"))}
+
+
 def temporal(entities: DataFrame, minutes: int, types=TYPES, least: int = 2, most: int | None = LIMIT) -> DataFrame:
     """As shared(), within each time bucket; usable times only."""
     e = entities.where(F.lower("entity_type").isin(*(t.lower() for t in types)) & X.usable(F.col("time"))).withColumn("bucket", X.bucket_start(F.col("time"), minutes))
     g = _typed(grouped(e, "entity_key", "bucket").where(F.col("hosts") >= least).select("entity_key", "bucket", *SEEN, "display"))
-    g = g.withColumn("bucket_end", X.bucket_end(F.col("bucket"), minutes))
+    return first_temporal(g.withColumn("bucket_end", X.bucket_end(F.col("bucket"), minutes)), most)
+
+
+def first_temporal(g: DataFrame, most: int | None = LIMIT) -> DataFrame:
+    """The first of temporal(most=None), for each type."""
     return _top(g, [F.desc("hosts"), F.desc("facts"), F.desc("bucket"), F.lower("display"), F.col("entity_key")], most)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import __version__, model
 from ..functions import expr as X
 from ..operators import enrich, graph, hunt, normalize, pivot, quality
-from ..sources import store, tables
+from ..sources import intake, store, tables
 
 # Where each artifact lies below a host's folder.
 FILES = {
@@ -19,43 +19,56 @@ FILES = {
 }
 
 
-#: Names that are looked for below a host's folder besides FILES.
-OTHERS = ("usn_journal.csv", "mft_preview.csv", "scheduled_tasks.xml", "kerberos_tickets.txt", "stored_credentials.txt", "memory_acquisition.json", "memory_analysis.json", "collection_coverage.json")
+#: Names that are looked for below a case's folder besides FILES.
+OTHERS = ("usn_journal.csv", "mft_preview.csv", "scheduled_tasks.xml", "kerberos_tickets.txt", "stored_credentials.txt", "memory_acquisition.json", "memory_analysis.json", "prefetch.csv")
+
+
+#: What a reader of the full log should know of facts of a source.
+NOTES = {
+    "ScheduledTask": "tasks say what is set to run, not that it ran", "Service": "services are as configured when collected", "StoredCredential": "stored credentials come from listed text; servers are guessed from it",
+    "KerberosTicketCache": "tickets are dated by their start where it can be read, else by when they were seen", "Autorun": "autoruns are entries as found; a value may be a bare command", "MFT": "file-system times are not times of running",
+    "USN": "journal rows may have a file's name without its path", "Amcache": "program inventory differs between system builds", "ShimCache": "cached entries are candidates for having run", "SRUMNetwork": "usage covers the core tables only", "SRUMApp": "usage covers the core tables only",
+}
+
+
+def evidence(spark: SparkSession, root: str) -> intake.Intake:
+    """What lies below root, <root>/<case>/..., judged file by file."""
+    return intake.take(spark, root, (*FILES, *OTHERS), graph.saved)
 
 
 def facts_of_folder(spark: SparkSession, root: str, zones: DataFrame | None = None) -> DataFrame:
-    """The enriched facts of every host folder below root. zones: (host, zone), the hosts' time zones where they are not UTC."""
-    there = {n: p for n in (*FILES, *OTHERS, "*_filtered.csv") if (p := _existing(spark, [f"{root}/*/{n}", f"{root}/*/*/{n}"]))}
+    """The enriched facts of every case below root. zones: (host, zone), the time zones of hosts, by name or folder, where they are not UTC."""
+    return facts_of(evidence(spark, root), zones)
+
+
+def facts_of(taken: intake.Intake, zones: DataFrame | None = None) -> DataFrame:
+    """The enriched facts of an intake: case_id is the case's folder, host its name."""
+    spark, there, hosts = taken.spark, taken.paths, taken.hosts()
+    clocks = None
+    if zones is not None:
+        z = zones.select(F.col("host").alias("z"), "zone")
+        clocks = hosts.join(z, (F.col("host") == F.col("z")) | (F.col("case_id") == F.col("z"))).groupBy(F.col("case_id").alias("host")).agg(F.first("zone").alias("zone"))
 
     def local(rows: DataFrame) -> DataFrame:
-        return rows if zones is None else rows.join(zones.select("host", "zone"), "host", "left")
+        rows = taken.at_home(rows)
+        return rows if clocks is None else rows.join(clocks, "host", "left")
 
     makers = {n: (lambda p: tables.table(spark, p), make) for n, make in FILES.items()} | {
         "*_filtered.csv": (lambda p: tables.event_logs(spark, p), normalize.event_log),
         "usn_journal.csv": (lambda p: tables.table_after_preamble(spark, p), normalize.usn),
         "mft_preview.csv": (lambda p: tables.mft(spark, p), normalize.mft),
-        "scheduled_tasks.xml": (lambda p: tables.task_actions(tables.tasks(spark, ",".join(p))), normalize.scheduled_task),
+        "scheduled_tasks.xml": (lambda p: tables.task_actions(tables.tasks(spark, p)), normalize.scheduled_task),
         "kerberos_tickets.txt": (lambda p: tables.kerberos(spark, p), normalize.kerberos_ticket),
         "stored_credentials.txt": (lambda p: tables.credentials(spark, p), normalize.stored_credential),
         "memory_acquisition.json": (lambda p: tables.sidecar(spark, p, tables.ACQUISITION), normalize.memory),
+        "prefetch.csv": (lambda p: intake.prefetch(spark, p), normalize.prefetch),
         "memory_analysis.json": (lambda p: tables.sidecar(spark, p, tables.ANALYSIS), lambda r: normalize.memory(r, True)),
     }
     parts = [make(local(read(there[n]))) for n, (read, make) in makers.items() if n in there]
     if not parts:
         raise store.StoreError("no readable artifact")
-    name = "collection_coverage.json"
-    cover = tables.sidecar(spark, there[name], tables.COVERAGE) if name in there else None
-    return enrich.with_provenance(enrich.with_time_defaults(normalize.union(parts)), cover)
-
-
-def _existing(spark: SparkSession, globs: list[str]) -> list[str]:
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    out = []
-    for g in globs:
-        p = path(g)
-        if p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p):
-            out.append(g)
-    return out
+    facts = enrich.with_provenance(enrich.with_time_defaults(normalize.union(parts)), taken.coverage())
+    return facts.drop("host").join(hosts, "case_id", "left").select(facts.columns)
 
 
 def heading(spark: SparkSession, schema: str, **values) -> DataFrame:
@@ -104,8 +117,12 @@ def _hunts(facts: DataFrame) -> DataFrame:
     return rules.join(templates, "case_id").select("case_id", F.struct("rule_matches", "hypothesis_templates").alias("guided_hunt"))
 
 
-def summaries(facts: DataFrame, unknown: str = "(unknown)", most: int = 100, coverage: DataFrame | None = None, evidence: DataFrame | None = None) -> DataFrame:
-    """A summary_v3 row for each case. Samples are the first `most` facts built. evidence: (host, rel, size, sha256) of quality.manifest; coverage: sidecars of tables.COVERAGE."""
+def summaries(facts: DataFrame, unknown: str = "(unknown)", most: int = 100, coverage: DataFrame | None = None, evidence: DataFrame | None = None, cases: DataFrame | None = None) -> DataFrame:
+    """A summary_v3 row for each case. Samples are the first `most` facts built.
+
+    evidence: (host, rel, size, sha256) of quality.manifest; coverage: sidecars of tables.COVERAGE, by host; with a column
+    case_id either goes by case. cases: of Intake.cases, from which load warnings and the recorded profile come.
+    """
     source = F.when(X.blank(F.col("source")), unknown).otherwise(F.col("source"))
     n = facts.groupBy("case_id", "host").agg(F.count("*").alias("fact_count"))
     src = _counted(facts.select("case_id", source.alias("k")), ["case_id"], "fact_source_counts")
@@ -117,16 +134,22 @@ def summaries(facts: DataFrame, unknown: str = "(unknown)", most: int = 100, cov
     out = n.join(src, "case_id").join(samples, "case_id")
     for more in (_counted(typ, ["case_id"], "entity_type_counts"), notes, _hunts(facts)):
         out = out.join(more, "case_id", "left")
-    mode = F.lit("")
     if coverage is not None:
-        c = coverage.select("host", F.struct("overall_status", "steps").alias("collection_coverage")).dropDuplicates(["host"])
-        out = out.join(c, "host", "left")
+        by = "case_id" if "case_id" in coverage.columns else "host"
+        c = coverage.select(by, F.struct("overall_status", "steps").alias("collection_coverage")).dropDuplicates([by])
+        out = out.join(c, by, "left")
     if evidence is not None:
+        by = "case_id" if "case_id" in evidence.columns else "host"
+        evidence = evidence.withColumn("host", F.col(by))
         files = evidence.groupBy("host").agg(F.array_sort(F.collect_list(F.struct(F.col("rel").alias("relpath"), F.col("size").alias("size_bytes"), "sha256"))).alias("evidence"))
-        out = out.join(files, "host", "left").join(quality.digest(evidence).select("host", F.col("digest").alias("evidence_digest")), "host", "left")
-    head = heading(facts.sparkSession, "summary_v3", analysis_mode="facts_only", collection_mode_profile=mode)
+        out = out.join(files.withColumnRenamed("host", by), by, "left").join(quality.digest(evidence).select(F.col("host").alias(by), F.col("digest").alias("evidence_digest")), by, "left")
+    head = heading(facts.sparkSession, "summary_v3", analysis_mode="facts_only")
     texts = F.array().cast("array<string>")
-    out = out.withColumns({"parser_notes": F.coalesce("parser_notes", texts), "load_warnings": texts, "artifacts_count": F.size("fact_source_counts"), "mft_count": F.coalesce(F.try_element_at("fact_source_counts", F.lit("MFT")), F.lit(0))})
+    if cases is None:
+        out = out.withColumns({"load_warnings": texts, "collection_mode_profile": F.lit("")})
+    else:
+        out = out.join(cases.select("case_id", "load_warnings", "collection_mode_profile"), "case_id", "left")
+    out = out.withColumns({"parser_notes": F.coalesce("parser_notes", texts), "load_warnings": F.coalesce("load_warnings", texts), "collection_mode_profile": F.coalesce("collection_mode_profile", F.lit("")), "artifacts_count": F.size("fact_source_counts"), "mft_count": F.coalesce(F.try_element_at("fact_source_counts", F.lit("MFT")), F.lit(0))})
     return head.crossJoin(out)
 
 
@@ -140,12 +163,20 @@ def _shown(row: DataFrame, **more) -> DataFrame:
     return row.select(*(c.alias(k) for k, c in (value | more).items()))
 
 
-def correlate(facts: DataFrame, path: str, types=pivot.TYPES, minutes: int = 30) -> None:
-    """Writes correlation_v1. Shared entities are sorted over all types, temporal ones are not sorted again."""
+def correlate(facts: DataFrame, path: str, types=pivot.TYPES, minutes: int = 30, cases: DataFrame | None = None) -> None:
+    """Writes correlation_v1. Shared entities are sorted over all types, temporal ones are not sorted again.
+
+    Totals are counted before the limits, over the written rows of one pass. cases: all cases that were taken in, of
+    which those without facts count as skipped.
+    """
     e, hosts = model.fact_entities(facts), hosts_of(facts)
-    s = pivot.shared(e, types).orderBy(F.desc("hosts"), F.desc("facts"), F.lower("display"), "entity_key")
-    t = pivot.temporal(e, minutes, types).orderBy("entity_type", "rank")
-    head = heading(facts.sparkSession, "correlation_v1", host_count=hosts.agg(F.count("*")), ready_hosts=hosts.where("fact_count > 0").agg(F.count("*")), bucket_minutes=minutes, entity_types=F.array(*map(F.lit, types)))
+    whole = [graph.saved(pivot.shared(e, types, most=None)), graph.saved(pivot.temporal(e, minutes, types, most=None))]
+    s = pivot.first_shared(whole[0]).orderBy(F.desc("hosts"), F.desc("facts"), F.lower("display"), "entity_key")
+    t = pivot.first_temporal(whole[1]).orderBy("entity_type", "rank")
+    head = heading(
+        facts.sparkSession, "correlation_v1", host_count=hosts.agg(F.count("*")), **pivot.readiness(facts, cases),
+        total_shared_entities=whole[0].agg(F.count("*")), total_temporal_correlations=whole[1].agg(F.count("*")), bucket_minutes=minutes, entity_types=F.array(*map(F.lit, types)),
+    )
     spans = {"first_seen": X.iso(F.col("first_seen")), "last_seen": X.iso(F.col("last_seen"))}
     store.document(head, {"hosts": hosts, "shared_entities": _shown(s, **spans), "temporal_correlations": _shown(t, bucket_start=X.iso(F.col("bucket")), bucket_end=X.iso(F.col("bucket_end")))}, path)
 
@@ -177,7 +208,8 @@ def full_log(facts: DataFrame, cases: DataFrame, path: str, unknown: str = "Unkn
         fact_source_counts=_counted(facts.select(source.alias("k")), [], "m"), entity_type_counts=_counted(types, [], "m"),
     )
     warnings = quality.warnings(cases.select("host", F.posexplode("load_warnings").alias("place", "warning"))).orderBy("host", "place").select("warning")
-    notes = quality.fallback_notes(facts).orderBy("note")
+    of_sources = quality.notes_by_source(facts, NOTES).select("host", F.explode("notes").alias("note"))
+    notes = quality.fallback_notes(facts).unionByName(of_sources.select(F.concat_ws(": ", "host", "note").alias("note")).distinct()).orderBy("note")
     hosts = pivot.host_summaries(facts, cases).orderBy("host").select("host", "case_id", F.col("facts").alias("fact_count"), F.col("by_source").alias("fact_source_counts"), "load_warnings")
     own = facts.orderBy("case_id", "fact_ord").select(fact_document().alias("f")).select("f.*")
     store.document(head, {"load_warnings": warnings, "parser_notes": notes, "hosts": hosts, "facts": own}, path)

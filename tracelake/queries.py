@@ -512,7 +512,7 @@ def stream_shared(spark, sf_dir):
 
 
 # Kept apart for their number.
-from . import evidence_queries, store_queries  # noqa: E402
+from . import evidence_queries, folder_queries, store_queries  # noqa: E402
 
-QUERIES |= evidence_queries.QUERIES | store_queries.QUERIES
-SQL |= evidence_queries.SQL | store_queries.SQL
+QUERIES |= evidence_queries.QUERIES | store_queries.QUERIES | folder_queries.QUERIES
+SQL |= evidence_queries.SQL | store_queries.SQL | folder_queries.SQL

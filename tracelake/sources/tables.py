@@ -112,10 +112,10 @@ def task_table(t: DataFrame) -> DataFrame:
 
 def sidecar(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One row for each JSON file."""
-    return spark.read.schema(schema).json(path, multiLine=True).withColumn("host", host_folder(F.col("_metadata.file_path")))
+    return spark.read.schema(schema).json(path, multiLine=True).withColumns({"host": host_folder(F.col("_metadata.file_path")), "file": F.col("_metadata.file_path")})
 
 
-COVERAGE = "host_name string, evidence_id string, overall_status string, is_administrator boolean, collector_privilege_state string, steps array<struct<step:string,status:string,detail:string,artifact_count:int,artifacts_present:array<string>,artifacts_missing:array<string>>>"
+COVERAGE = "host_name string, evidence_id string, overall_status string, is_administrator boolean, collector_privilege_state string, collection_mode_profile string, steps array<struct<step:string,status:string,detail:string,artifact_count:int,artifacts_present:array<string>,artifacts_missing:array<string>>>"
 ACQUISITION = "Status string, StartedAt string, EndedAt string, CollectorUser string, ToolPath string, DiagnosticCategory string, ValidationStatus string, OutputRelativePath string, OutputSha256 string, OutputSizeBytes long"
 ANALYSIS = "Status string, StartedAt string, EndedAt string, CollectorUser string, ToolPath string, InputRelativePath string, DiagnosticCategory string, ValidationStatus string, OutputDirectoryRelativePath string, OutputFiles array<string>"
 
@@ -146,20 +146,21 @@ def columns_of_text(spark: SparkSession, path: str, names: tuple[str, ...]) -> D
     return t.select("file", "host", "line", *(F.get("v", F.lit(i)).alias(n) for i, n in enumerate(names)))
 
 
-def host_name(spark: SparkSession, path: str) -> DataFrame:
-    """(folder, host): the name on a `Hostname:` line, else the folder's."""
-    t = lines(spark, path).withColumn("n", F.regexp_extract("value", r"(?i)^\s*Hostname:\s*(.*\S)", 1))
-    named = t.groupBy(F.col("host").alias("folder")).agg(F.min_by("n", F.when(F.col("n") != "", F.col("line"))).alias("n"))
+def host_name(spark: SparkSession, path, folder: Column | None = None) -> DataFrame:
+    """(folder, host): the name on the last `Hostname:` line, else the folder's. folder: a file's folder, if not the one that holds it."""
+    t = lines(spark, path)
+    t = (t if folder is None else t.withColumn("host", folder)).withColumn("n", F.regexp_extract("value", r"(?i)^\s*Hostname:\s*(.*\S)", 1))
+    named = t.groupBy(F.col("host").alias("folder")).agg(F.max_by("n", F.when(F.col("n") != "", F.col("line"))).alias("n"))
     return named.select("folder", F.coalesce(F.nullif("n", F.lit("")), "folder").alias("host"))
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """Files below root: (file, host, rel, name, size, modified), contents unread."""
+    """Files below root: (file, host, rel, name, size, modified, file_in_case), contents unread. file_in_case: not one that lies in root itself."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
     top = F.regexp_replace(F.lit(root.rstrip("/")), "^file:/*", "/")
     below = F.expr("substring(regexp_replace(path, '^file:/*', '/'), length(t) + 2)")
     f = f.withColumn("t", top).withColumn("b", below)
-    return f.select(F.col("path").alias("file"), F.substring_index("b", "/", 1).alias("host"), F.regexp_replace("b", "^[^/]*/", "").alias("rel"), F.element_at(F.split("b", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    return f.select(F.col("path").alias("file"), F.substring_index("b", "/", 1).alias("host"), F.regexp_replace("b", "^[^/]*/", "").alias("rel"), F.element_at(F.split("b", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.col("b").contains("/").alias("file_in_case"))
 
 
 def cases(files: DataFrame, ready: tuple[str, ...] = ("process_list.csv", "services.csv", "autoruns_registry.csv")) -> DataFrame:
