@@ -11,12 +11,16 @@ one at most in the first five, two in seven. So the first two segments and two o
 are equal, which gives 8 starts with 3 choices each, 24 keys of 32 bits. Fingerprints that share a
 key are held against the whole chain of budgets, and those that remain against the full distance.
 
-A key's fingerprints lie within a small ball around the shared bits, so their number is bounded by
-the distance and not by the number of documents. Within a key only links that join what is not yet
-joined there are given, at most one fewer than its fingerprints, and no link between different
-groups is lost.
-
-Cases: null, empty and blank texts have fingerprint zero and are linked like any other; fewer than
+A key leaves 32 bits free, so many short or templated texts can share one. A run of more than LONG
+fingerprints under one key is not searched by the task that meets it but dealt anew: the bits that are
+still free fall into four parts, of which two linked fingerprints have at least one in common, and each part with its
+value is a key below the first one. A run that is still long is dealt again; with nine bits free it is
+at most LONG. So no task has a run of more, however hot a key is. Within a run only links that join
+what is not yet joined there are given, at most one fewer than its fingerprints, and no link between
+different groups is lost.
+
+Cases: a very long text is fingerprinted whole, a block of shingles at a time; extra columns of `dedup` pass
+through, whatever their names; null, empty and blank texts have fingerprint zero and are linked like any other; fewer than
 three words form one shingle; repeated rows and equal fingerprints share a component; a null doc_id
 is never the component's id unless all its rows have none; an empty table gives an empty result.
 """
@@ -37,8 +41,10 @@ BITS, SEGMENTS, DISTANCE = 64, 8, 3
 BUDGET = np.array([(n + 1) * DISTANCE // SEGMENTS for n in range(SEGMENTS)])
 #: Which two of a chain's third to fifth segments a key takes.
 CHOICES = ((2, 3), (2, 4), (3, 4))
-#: Runs of equal keys up to this length are compared pair by pair, longer ones by search.
+#: Runs of equal keys up to this length are compared pair by pair with the chain's budgets, longer ones by a search at full distance.
 SHORT = 12
+#: Runs beyond this are dealt anew by further bits.
+LONG = 512
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
@@ -115,18 +121,57 @@ def spanning(fp: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _links(batches):
-    k, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
+def free_bits(table: int) -> int:
+    """The bits that a chain key leaves free, as a mask."""
+    start, choice = divmod(table, len(CHOICES))
+    taken = 0
+    for s in (0, 1, *CHOICES[choice]):
+        low = BITS - BITS // SEGMENTS * ((start + s) % SEGMENTS + 1)
+        taken |= ((1 << BITS // SEGMENTS) - 1) << low
+    return taken ^ ((1 << BITS) - 1)
+
+
+def parts(free: int) -> list[int]:
+    """A mask's bits in DISTANCE + 1 parts, as masks."""
+    bits = [b for b in range(BITS) if free >> b & 1]
+    n = DISTANCE + 1
+    return [sum(1 << b for b in bits[len(bits) * i // n : len(bits) * (i + 1) // n]) for i in range(n)]
+
+
+def _dealt_anew(batches):
+    """(k, free, fp) of long runs -> the same by each part of the free bits, which the new key fixes."""
+    for b in batches:
+        k, free, fp = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(3))
+        for mask in np.unique(free):
+            own = free == mask
+            for i, part in enumerate(parts(int(mask))):
+                named = np.stack([k[own], np.full(own.sum(), i, np.uint64), fp[own] & np.uint64(part)], 1)
+                key = np.fromiter((xxhash.xxh64_intdigest(r.tobytes()) for r in named), np.uint64)
+                left = np.full(own.sum(), mask & ~np.uint64(part), np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key, left, fp[own])], ["k", "free", "fp"])
+
+
+def _links(batches, first_round: bool = True):
+    """Rows (k, free, fp) in order of k -> links (a, b), and the rows of long runs with their k and free, their b null."""
+    k, free, fp = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    names = ["a", "b", "k", "free"]
 
     def out(a, b):
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.uint64).view(np.int64)) for x in (a, b)], ["a", "b"])
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([*(pa.array(np.asarray(x, np.uint64).view(np.int64)) for x in (a, b)), none, none], names)
 
-    def of(k, fp):
+    def of(k, free, fp):
         first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.empty(0, np.int64)
         length = np.diff(np.r_[first, len(k)])
-        for i in np.flatnonzero(length > SHORT):
-            if pairs := spanning(fp[first[i] : first[i] + length[i]]):
+        for i in np.flatnonzero(length > (SHORT if first_round else 1)):
+            run = slice(first[i], first[i] + length[i])
+            if length[i] > LONG and np.bitwise_count(free[run].view(np.uint64)).max() > 9:
+                left = free[run] if not first_round else np.full(length[i], np.array([free_bits(int(k[first[i]]) >> 32)], np.uint64).view(np.int64)[0])
+                yield pa.RecordBatch.from_arrays([pa.array(fp[run].view(np.int64)), pa.nulls(length[i], pa.int64()), pa.array(k[run]), pa.array(left)], names)
+            elif pairs := spanning(fp[run]):
                 yield out(*zip(*pairs, strict=True))
+        if not first_round:
+            return
         short = np.repeat(length <= SHORT, length)
         k, fp = k[short], fp[short]
         for d in range(1, SHORT):
@@ -142,17 +187,28 @@ def _links(batches):
 
     for b in batches:
         k = np.r_[k, b.column(0).to_numpy(zero_copy_only=False)]
-        fp = np.r_[fp, b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)]
+        free = np.r_[free, b.column(1).to_numpy(zero_copy_only=False)]
+        fp = np.r_[fp, b.column(2).to_numpy(zero_copy_only=False).view(np.uint64)]
         whole = np.searchsorted(k, k[-1]) if len(k) else 0
-        yield from of(k[:whole], fp[:whole])
-        k, fp = k[whole:], fp[whole:]
-    yield from of(k, fp)
+        yield from of(k[:whole], free[:whole], fp[:whole])
+        k, free, fp = k[whole:], free[whole:], fp[whole:]
+    yield from of(k, free, fp)
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Distinct fps (fp) -> links (a, b) with the same connected components as all pairs within DISTANCE bits."""
-    dealt = keys(fps).repartition(partitions(fps.sparkSession), "k").sortWithinPartitions("k", "fp")
-    return dealt.mapInArrow(_links, "a long, b long")
+    n, out = partitions(fps.sparkSession), None
+    todo = keys(fps).select("k", F.lit(-1).cast("long").alias("free"), "fp")
+    while True:
+        first = out is None
+        dealt = todo.repartition(n, "k").sortWithinPartitions("k", "fp")
+        found = cut(dealt.mapInArrow(lambda b, first=first: _links(b, first), "a long, b long, k long, free long"), "links")
+        own = found.where("b IS NOT NULL").select("a", "b")
+        out = own if first else out.unionByName(own)
+        long = found.where("b IS NULL").select("k", "free", F.col("a").alias("fp"))
+        if long.isEmpty():
+            return out
+        todo = long.mapInArrow(_dealt_anew, "k long, free long, fp long")
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:

@@ -99,14 +99,15 @@ def reputation(outcomes: DataFrame, limit: float = LIMIT, deviations: float = DE
 
 
 def judge(pages: DataFrame, labels: DataFrame, key: str = "page_id", label_key: str = "doc_id", url: str = "url", rules=RULES, **how) -> DataFrame:
-    """key, host, path, rule, verdict of every page. labels: label_key and quality; pages and labels share their ids, and a quality of 0 is a bad outcome."""
+    """key, host, path, rule, verdict of every page, and its host's n (labelled pages), rate and bound, to nine digits. labels: label_key and quality; pages and labels share their ids, and a quality of 0 is a bad outcome."""
     p = parsed(pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"))).select("page_id", "host", "path")
     marks = labels.where("quality IS NOT NULL").select(F.col(label_key).alias("k"), (F.col("quality") == 0).cast("long").alias("bad"))
     known = p.join(marks, F.col("page_id") == F.col("k"), "left").select("host", "bad")
-    hosts = reputation(known, **how).select("host", "blocked")
+    nine = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 9).alias(c)
+    hosts = reputation(known, **how).select("host", "blocked", F.col("n").cast("long").alias("n"), nine("rate"), nine("bound"))
     rule, verdict = ruled(rules)
     own = F.when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow")
-    return p.join(hosts, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"))
+    return p.join(hosts, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "n", "rate", "bound")
 
 
 def _sql() -> str:
@@ -135,9 +136,10 @@ d2 AS (SELECT d1.*, s3.rate AS prior FROM d1 JOIN s3 USING (suffix)),
 {level('d3', 'd2')},
 h4 AS (SELECT h3.*, d3.rate AS prior FROM h3 JOIN d3 USING (domain)),
 {level('h5', 'h4')},
-v AS (SELECT host, rate - {DEVIATIONS} * sqrt(rate * (1 - rate) / (n + m + 1)) > {LIMIT} AS blocked FROM h5)
+v AS (SELECT host, n, rate, rate - {DEVIATIONS} * sqrt(rate * (1 - rate) / (n + m + 1)) AS bound FROM h5)
 SELECT p.page_id, p.host, p.path, {case(lambda h, q, v: h + q)} AS rule,
-  coalesce({case(lambda h, q, v: v)}, CASE WHEN coalesce(v.blocked, false) THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce({case(lambda h, q, v: v)}, CASE WHEN coalesce(v.bound > {LIMIT}, false) THEN 'block' ELSE 'allow' END) AS verdict,
+  v.n::BIGINT AS n, round(v.rate, 9) AS rate, round(v.bound, 9) AS bound
 FROM p LEFT JOIN v ON p.host = v.host
 """
 
