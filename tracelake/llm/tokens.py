@@ -59,7 +59,8 @@ class Encoder:
     """
 
     PLAIN = ((0x0, 0x52F), (0x590, 0x86F), (0x900, 0xAFF), (0x1E00, 0x206F), (0x20A0, 0x2E7F), (0x3000, 0x9FFF), (0xAC00, 0xD7A3), (0xF900, 0xFFFF), (0x1F300, 0x1FAFF))
-    ODD, LONG = re.compile(r" (?:\s|\Z)|[^" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in PLAIN) + "]"), 64
+    BLANKS, LONG = re.compile(r" (?:\s|\Z)"), 64
+    OTHER = re.compile("[^" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in PLAIN) + "]")
     _own: dict[str, Encoder] = {}
 
     def __init__(self, path: str, most: int = 500_000):
@@ -86,6 +87,16 @@ class Encoder:
             cls._own[path] = cls(path)
         return cls._own[path]
 
+    def odd(self, text: str) -> bool:
+        """Whether a text must be encoded as a whole. Texts of one byte a character, which is most, need no look at each."""
+        if self.BLANKS.search(text) or any(t in text for t in self.added):
+            return True
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.OTHER.search(text) is not None
+        return False
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -108,7 +119,7 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.cuts or self.ODD.search(text) or any(t in text for t in self.added):
+        if not self.cuts or self.odd(text):
             return self.whole(text)
         if len(self.known) + len(self.inner) > self.most:
             self.known.clear()
