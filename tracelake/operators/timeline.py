@@ -55,13 +55,14 @@ def focused(events: DataFrame, key: str) -> DataFrame:
     return events.where(exact | F.lower(F.concat_ws(" ", "entities", "details")).contains(value.strip().lower()))
 
 
-def facts_view(facts: DataFrame, key: str | None = None, raw_ref: str | None = None, most: int = 50_000) -> DataFrame:
-    """P10: optional entity, the preferred row first, then newest, then source."""
+def facts_view(facts: DataFrame, key: str | None = None, raw_ref: str | None = None, most: int | None = 50_000) -> DataFrame:
+    """P10: optional entity, the preferred row first, then newest, then source; all rows where most is None."""
     if key:
         kind, _, value = key.partition(":")
         facts = facts.where(F.exists("entity_refs", lambda r: (F.lower(r["type"]) == kind.lower()) & (F.lower(F.trim(r["value"])) == value.strip().lower())))
     wanted = F.coalesce(F.col("raw_ref") == F.lit(raw_ref), F.lit(False))
-    return facts.orderBy(wanted.desc(), F.desc_nulls_last("time"), "source", "case_id", "fact_ord").limit(most)
+    out = facts.orderBy(wanted.desc(), F.desc_nulls_last("time"), "source", "case_id", "fact_ord")
+    return out if most is None else out.limit(most)
 
 
 def keywords(df: DataFrame, steps: list[tuple[bool, str]], columns: list[str] | None = None) -> DataFrame:

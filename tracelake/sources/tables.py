@@ -188,6 +188,7 @@ def mft(spark: SparkSession, path: str) -> DataFrame:
     return t.withColumn("size", F.expr("try_cast(size AS long)")).withColumn("created", F.when(X.usable(F.col("std_created")), F.col("std_created")).otherwise(F.col("fn_created")))
 
 
-def visits(rows: DataFrame, most: int = 5000) -> DataFrame:
-    """Browser visits (url, title, raw time) newest first."""
-    return rows.withColumn("visited", X.epoch(F.col("raw"))).where("visited IS NOT NULL").orderBy(F.desc("visited"), "url").limit(most)
+def visits(rows: DataFrame, most: int | None = 5000) -> DataFrame:
+    """Browser visits (url, title, raw time) newest first; all of them where most is None."""
+    out = rows.withColumn("visited", X.epoch(F.col("raw"))).where("visited IS NOT NULL").orderBy(F.desc("visited"), "url")
+    return out if most is None else out.limit(most)
