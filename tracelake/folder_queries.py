@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import model
 from .evidence_queries import _E, events, said
 from .operators import pivot
-from .plans import reports
+from .plans import refill, reports
 from .session import checkpoint_dir
 
 QUERIES: dict = {}
@@ -106,3 +106,25 @@ def folder_digests(spark, sf_dir):
     """Digests of files, hashed in chunks"""
     f = reports.evidence(spark, evidence(spark, sf_dir)).files
     return f.where("name = 'system_info.txt'").select(F.col("host").alias("case_id"), "name", "size", "sha256")
+
+
+def changed(spark: SparkSession, root: str) -> None:
+    """Case Z2 loses its journal, and the event log of Z3 moves to another folder of Z4."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(path(f"{root}/Z2/IR_Output_1/usn_journal.csv"), False)
+    fs.mkdirs(path(f"{root}/Z4/IR_Output_2"))
+    fs.rename(path(f"{root}/Z3/IR_Output_1/Security_filtered.csv"), path(f"{root}/Z4/IR_Output_2/Security_filtered.csv"))
+
+
+@query(f"""{_E}, m AS (SELECT i, k, t, CASE WHEN t = 'error' AND h = 'H3' THEN 'H4' ELSE h END AS h FROM e WHERE t <> 'view' OR h <> 'H2')
+SELECT 'Z' || h[2:] AS case_id, 'DESK-' || h AS host, {_SOURCES} AS source, count(*) AS facts, count(*) AS places, h IN ('H2', 'H3', 'H4') AS again FROM m GROUP BY ALL""")
+def folder_refill(spark, sf_dir):
+    """A store filled from a folder, then brought up to date with what changed there; again: cases that were read a second time"""
+    root, path = evidence(spark, sf_dir), f"{checkpoint_dir(spark)}/refilled-{uuid.uuid4().hex}"
+    refill.refill(spark, root, path)
+    changed(spark, root)
+    done = refill.refill(spark, root, path)
+    n = done.snapshot.facts().groupBy("case_id", "host", "source").agg(F.count("*").alias("facts"), F.count_distinct("fact_ord").alias("places"))
+    read = done.cases.select("case_id", F.lit(True).alias("again"))
+    return n.join(read, "case_id", "left").withColumn("again", F.coalesce("again", F.lit(False)))

@@ -31,9 +31,9 @@ NOTES = {
 }
 
 
-def evidence(spark: SparkSession, root: str) -> intake.Intake:
-    """What lies below root, <root>/<case>/..., judged file by file."""
-    return intake.take(spark, root, (*FILES, *OTHERS), graph.saved)
+def evidence(spark: SparkSession, root: str, cases: DataFrame | None = None) -> intake.Intake:
+    """What lies below root, <root>/<case>/..., judged file by file; of these cases (case_id) only, if given."""
+    return intake.take(spark, root, (*FILES, *OTHERS), graph.saved, cases)
 
 
 def facts_of_folder(spark: SparkSession, root: str, zones: DataFrame | None = None) -> DataFrame:

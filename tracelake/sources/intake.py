@@ -181,13 +181,16 @@ class Intake:
         return out.join(p, "case_id", "left").withColumn("collection_mode_profile", F.coalesce("collection_mode_profile", F.lit("")))
 
 
-def take(spark: SparkSession, root: str, names: tuple[str, ...], keep=lambda df: df) -> Intake:
+def take(spark: SparkSession, root: str, names: tuple[str, ...], keep=lambda df: df, cases: DataFrame | None = None) -> Intake:
     """Lists and judges the files below root, and chooses the artifacts `names` (and all `*_filtered.csv`) of each case.
 
-    keep: cuts the lineage of the judged listing, which is used several times. Paths of chosen files reach the driver, as
+    keep: cuts the lineage of the judged listing, which is used several times. cases: (case_id), the only folders whose files
+    are opened, if given. Paths of chosen files reach the driver, as
     those of any files that Spark reads do.
     """
     listed = tables.listing(spark, root).where("file_in_case")
+    if cases is not None:
+        listed = listed.join(cases.select(F.col("case_id").alias("host")).distinct(), "host", "left_semi")
     files = keep(probed(listed.drop("file_in_case")))
     good = files.where("reason IS NULL")
     wanted = spark.createDataFrame([(n,) for n in sorted({*names, HOST_FILE, COVERAGE_FILE})], "rel string")

@@ -6,6 +6,8 @@
     <path>/parts/<id>/zones      a row for each of these files: least and greatest key, time, source and host, schema versions
     <path>/parts/<id>/ends       each case's last place
     <path>/parts/<id>/sketch     a mergeable sketch of how often keys occur
+    <path>/parts/<id>/ledger     the source files that the part's cases were built from, if they came from a folder
+    <path>/parts/<id>/hidden     cases of earlier parts that this part replaces, if it does
     <path>/versions/<n>.json     the parts of version n
 
 A part is written once and never changed. What a commit adds is invisible until its version file has its name; a
@@ -42,6 +44,7 @@ ENTITY_ROWS = T.StructType([
     *(T.StructField(c, T.StringType()) for c in ("entity_type", "value_display", "value_norm", "entity_key")),
     T.StructField("entity_refs", T.ArrayType(REF)), T.StructField("ref_keys", T.ArrayType(T.StringType())),
 ])
+LEDGER, HIDDEN = "case_id string, rel string, size long, modified timestamp, tool string", "part string, case_id string"
 ZONES = "part string, kind string, file string, rows long, bytes long, key_lo string, key_hi string, time_lo timestamp, time_hi timestamp, source_lo string, source_hi string, host_lo string, host_hi string, version_lo int, version_hi int"
 
 
@@ -62,10 +65,34 @@ class Snapshot:
     version: int
     parts: tuple[str, ...]
     streams: dict = field(default_factory=dict, compare=False)
+    #: Which parts have a ledger, and which hide cases of earlier parts.
+    more: dict = field(default_factory=dict, compare=False)
+
+    def having(self, kind: str) -> tuple[str, ...]:
+        """The parts that have a table of this kind, ledger or hidden."""
+        return tuple(p for p in self.more.get(kind, ()) if p in self.parts)
 
     def _read(self, kind: str, schema) -> DataFrame:
         reader = self.spark.read.schema(schema)
-        return reader.parquet(*(f"{self.path}/parts/{p}/{kind}" for p in self.parts)) if self.parts else self.spark.createDataFrame([], schema)
+        parts = self.having(kind) if kind in ("ledger", "hidden") else self.parts
+        return reader.parquet(*(f"{self.path}/parts/{p}/{kind}" for p in parts)) if parts else self.spark.createDataFrame([], schema)
+
+    def _shown(self, rows: DataFrame) -> DataFrame:
+        """Rows read from files of parts, without the cases that a later part replaces, and _at, their part."""
+        rows = rows.withColumn("_at", F.regexp_extract("_metadata.file_path", "/parts/([0-9a-f]{32})/[a-z]+/[^/]*$", 1))
+        if not self.having("hidden"):
+            return rows
+        h = self._read("hidden", HIDDEN).select(F.col("part").alias("_part"), F.col("case_id").alias("_case"))
+        return rows.join(h, (F.col("_at") == F.col("_part")) & F.col("case_id").eqNullSafe(F.col("_case")), "left_anti")
+
+    def _rows(self, rows: DataFrame) -> DataFrame:
+        return self._shown(rows).drop("_at") if self.having("hidden") else rows
+
+    def ledger(self) -> DataFrame:
+        """(case_id, rel, size, modified, tool, part): the source files that the store's cases were built from."""
+        if not self.having("ledger"):
+            return self.spark.createDataFrame([], LEDGER + ", part string")
+        return self._shown(self._read("ledger", LEDGER)).withColumnRenamed("_at", "part")
 
     def zones(self) -> DataFrame:
         return self._read("zones", ZONES)
@@ -81,12 +108,12 @@ class Snapshot:
 
     def _some(self, kind: str, schema, where: Column) -> DataFrame:
         files = self.files(kind, where)
-        return self.spark.read.schema(schema).parquet(*files) if files else self.spark.createDataFrame([], schema)
+        return self._rows(self.spark.read.schema(schema).parquet(*files)) if files else self.spark.createDataFrame([], schema)
 
     def facts(self, start=None, end=None, source: str | None = None) -> DataFrame:
         """All facts, or those with a time in [start, end] and of a source; files outside are not opened."""
         if start is None and end is None and source is None:
-            return conform(self._read("facts", FACT_ROWS))
+            return conform(self._rows(self._read("facts", FACT_ROWS)))
         zone, row = F.lit(True), F.lit(True)
         for bound, z, holds in ((start, F.col("time_hi"), Column.__ge__), (end, F.col("time_lo"), Column.__le__)):
             if bound is not None:
@@ -98,7 +125,7 @@ class Snapshot:
 
     def entities(self, keys: list[str] | DataFrame | None = None) -> DataFrame:
         """The index, as model.fact_entities gives it: whole, or the rows of some keys (a list, or a frame of entity_key)."""
-        whole = self._read("entities", ENTITY_ROWS)
+        whole = self._rows(self._read("entities", ENTITY_ROWS))
         if keys is None:
             return whole
         if isinstance(keys, DataFrame):
@@ -115,7 +142,7 @@ class Snapshot:
     def frequent(self, least: int, most: int = 1_000) -> DataFrame:
         """(entity_key, facts): keys that at least `least` facts name, by the parts' merged sketches, at most `most` of them, most frequent first.
 
-        Counts are off by at most 3.5 / TRACKED of all references.
+        Counts are off by at most 3.5 / TRACKED of all references, and hold those of replaced cases until their parts are compacted.
         """
         s = self.spark.read.parquet(*(f"{self.path}/parts/{p}/sketch" for p in self.parts)) if self.parts else None
         if s is None:
@@ -151,19 +178,20 @@ def snapshot(spark: SparkSession, path: str, version: int | None = None) -> Snap
     if at not in known:
         raise StoreError(f"no version {at} in {path}")
     told = json.loads(spark.read.text(_name(path, at), wholetext=True).first()[0])
-    return Snapshot(spark, path, at, tuple(told["parts"]), told["streams"])
+    return Snapshot(spark, path, at, tuple(told["parts"]), told["streams"], told.get("more", {}))
 
 
-def publish(base: Snapshot, parts: tuple[str, ...], streams: dict | None = None) -> Snapshot:
+def publish(base: Snapshot, parts: tuple[str, ...], streams: dict | None = None, more: dict | None = None) -> Snapshot:
     """Makes `parts` the version after base, by renaming a finished file to a name that nobody may have taken."""
     spark, number = base.spark, base.version + 1
     streams = base.streams if streams is None else streams
+    more = {kind: [p for p in held if p in parts] for kind, held in (base.more if more is None else more).items()}
     fs, to = _fs(spark, _name(base.path, number))
     jvm = spark._jvm
     fs.mkdirs(to.getParent())
     temporary = jvm.org.apache.hadoop.fs.Path(to.getParent(), f".{uuid.uuid4().hex}")
     out = fs.create(temporary, False)
-    out.write(json.dumps({"version": number, "parts": list(parts), "streams": streams}).encode())
+    out.write(json.dumps({"version": number, "parts": list(parts), "streams": streams, "more": more}).encode())
     out.close()
     kept = spark._sc._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
     kept[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").NONE
@@ -174,7 +202,7 @@ def publish(base: Snapshot, parts: tuple[str, ...], streams: dict | None = None)
         if "FileAlreadyExistsException" in str(e.java_exception):
             raise Conflict(f"version {number} of {base.path} was published by another writer") from None
         raise
-    return Snapshot(spark, base.path, number, tuple(parts), streams)
+    return Snapshot(spark, base.path, number, tuple(parts), streams, more)
 
 
 def _ranged(df: DataFrame, rows: int, per_file: int, *by: str) -> DataFrame:
@@ -246,20 +274,64 @@ def append(facts: DataFrame, path: str, stream: tuple[str, int] | None = None, t
     raise AssertionError
 
 
+def _noted(base: Snapshot, part: str, **tables: DataFrame | None) -> dict:
+    """base.more with these tables (ledger, hidden) of a part that is not published yet, written; tables without a row are left out."""
+    more = {kind: list(held) for kind, held in base.more.items()}
+    for kind, rows in tables.items():
+        if rows is not None and not rows.isEmpty():
+            rows.write.mode("overwrite").parquet(f"{base.path}/parts/{part}/{kind}")
+            more.setdefault(kind, []).append(part)
+    return more
+
+
+def replace_cases(facts: DataFrame, ledger: DataFrame, path: str, tries: int = 5, **how) -> Snapshot:
+    """Facts take the place of what the cases in `ledger` had from their folders, in one commit; what those cases have from elsewhere stays.
+
+    ledger: LEDGER rows of every case that is replaced, those without a fact included. Places are never used again.
+    """
+    spark = facts.sparkSession
+    cases = ledger.select("case_id").distinct()
+    for left in reversed(range(tries)):
+        base = snapshot(spark, path)
+        part = write_part(after(facts, base.ends()), base.path, **how)
+        old = base.ledger().select("part", "case_id").distinct().join(cases, "case_id", "left_semi").select("part", "case_id")
+        try:
+            return publish(base, (*base.parts, part), more=_noted(base, part, ledger=ledger, hidden=old))
+        except Conflict:
+            if not left:
+                raise
+    raise AssertionError
+
+
 def compact(spark: SparkSession, path: str, small: int = FACTS_PER_FILE // 2, tries: int = 5, **how) -> Snapshot:
-    """Merges parts of at most `small` facts into one, cut anew by time and key. Appends meanwhile are kept; a save meanwhile is a Conflict."""
+    """Merges parts of at most `small` facts into one, cut anew by time and key, without what later parts replaced.
+
+    Parts from folders, which have a ledger, are merged among themselves, and so are the others. Appends meanwhile
+    are kept; a save meanwhile is a Conflict.
+    """
     base = snapshot(spark, path)
     sizes = base.zones().where("kind = 'facts'").groupBy("part").agg(F.sum("rows").alias("n"))
     large = {r["part"] for r in sizes.where(F.col("n") > small).select("part").collect()}
-    merged = [p for p in base.parts if p not in large]
-    if len(merged) < 2:
-        return base
-    part = write_part(Snapshot(spark, base.path, base.version, tuple(merged)).facts(), base.path, **how)
+    from_folders = set(base.having("ledger"))
+    for merged in ([p for p in base.parts if p not in large and (p in from_folders) is ledgered] for ledgered in (False, True)):
+        if len(merged) > 1:
+            base = _merged(base, merged, tries, **how)
+    return base
+
+
+def _merged(base: Snapshot, merged: list[str], tries: int, **how) -> Snapshot:
+    spark, path = base.spark, base.path
+    own = Snapshot(spark, path, base.version, tuple(merged), {}, base.more)
+    known = base.having("hidden")
+    live = lambda kind, schema: base._shown(own._read(kind, schema)).drop("_at")
+    part = write_part(conform(live("facts", FACT_ROWS)), path, **how)
+    ledger = live("ledger", LEDGER) if own.having("ledger") else None
+    hidden = own._read("hidden", HIDDEN).where(~F.col("part").isin(merged)) if own.having("hidden") else None
     for left in reversed(range(tries)):
-        if not set(merged) <= set(base.parts):
+        if not set(merged) <= set(base.parts) or base.having("hidden") != known:
             break
         try:
-            return publish(base, (*(p for p in base.parts if p not in merged), part))
+            return publish(base, (*(p for p in base.parts if p not in merged), part), more=_noted(base, part, ledger=ledger, hidden=hidden))
         except Conflict:
             if not left:
                 raise
