@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import demo
+from . import demo, model
 from .evidence_queries import _E
 from .operators import graph, pivot
 from .queries import _ENTS
@@ -110,3 +110,27 @@ def stream_store(spark, sf_dir):
     f.repartition(3).write.parquet(f"{folder}/in")
     live.append_facts(spark, f"{folder}/in", f.schema, lambda d: d, f"{folder}/store", f"{folder}/checkpoint", maxFilesPerTrigger="1").awaitTermination()
     return snapshots.load(spark, f"{folder}/store").groupBy("host", "action").agg(F.count("*").alias("facts"), F.count_distinct("fact_id").alias("places"))
+
+
+def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The events as facts on a stream of six batches in random order, every fact twice."""
+    folder = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    f = demo.events(spark, sf_dir)
+    f.unionByName(f).repartition(6, F.rand(7)).write.parquet(folder)
+    return spark.readStream.schema(f.schema).option("maxFilesPerTrigger", "1").parquet(folder)
+
+
+@query(f"{_E} SELECT h AS host, t AS action, count(*) AS facts, count(DISTINCT i) AS places FROM e GROUP BY ALL")
+def stream_once(spark, sf_dir):
+    """Facts that arrive twice, in any order and batch, are taken once"""
+    with live.keeping(spark):
+        f = live.completed(live.once(arriving(spark, sf_dir, "twice"), "case_id", "fact_id"), "stream_once")
+    return f.groupBy("host", "action").agg(F.count("*").alias("facts"), F.count_distinct("fact_ord").alias("places"))
+
+
+@query(f"""WITH {_ENTS} SELECT key AS entity_key, 1 AS told, 2 AS hosts FROM en WHERE source = 'Events' GROUP BY key HAVING count(DISTINCT host) > 1""")
+def stream_second_hosts(spark, sf_dir):
+    """Each entity is told once, when its second host arrives, across batches in any order"""
+    with live.keeping(spark):
+        s = live.completed(live.second_hosts(model.fact_entities(arriving(spark, sf_dir, "shuffled"))), "stream_second_hosts")
+    return s.groupBy("entity_key").agg(F.count("*").alias("told"), F.max(F.size(F.array_distinct("hosts"))).cast("long").alias("hosts"))
