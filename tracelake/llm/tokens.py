@@ -59,7 +59,7 @@ class Encoder:
     """
 
     PLAIN = ((0x0, 0x52F), (0x590, 0x86F), (0x900, 0xAFF), (0x1E00, 0x206F), (0x20A0, 0x2E7F), (0x3000, 0x9FFF), (0xAC00, 0xD7A3), (0xF900, 0xFFFF), (0x1F300, 0x1FAFF))
-    BLANKS, LONG = re.compile(r" (?:\s|\Z)"), 64
+    BLANKS, LONG, STOPS = re.compile(r" (?:\s|\Z)"), 64, ".,;:!?"
     OTHER = re.compile("[^" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in PLAIN) + "]")
     _own: dict[str, Encoder] = {}
 
@@ -76,6 +76,7 @@ class Encoder:
         self.cut = regex.compile(CUT).findall
         self.letters = byte_letters()
         self.merge = self.tok.model.tokenize
+        self.stops = {c: self.word(c) for c in self.STOPS} if self.cuts else {}
         self.most = most
         self.known: dict[str, bytes] = {}  # by what follows a blank
         self.inner: dict[str, bytes] = {}  # by words without a blank
@@ -103,6 +104,20 @@ class Encoder:
     def word(self, word: str) -> bytes:
         return array("I", [t.id for t in self.merge(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
+    def part(self, p: str) -> bytes:
+        """Ids of what stands between two blanks, with the first of them; words, and words before one sign of STOPS, are told at once."""
+        if p.isalpha():
+            return self.word(" " + p)
+        stem = p[:-1]
+        if p[-1] in self.STOPS and stem.isalpha():
+            ids = self.known.get(stem)
+            if ids is None:
+                ids = self.word(" " + stem)
+                if len(stem) <= self.LONG:
+                    self.known[stem] = ids
+            return ids + self.stops[p[-1]]
+        return self._words(" " + p)
+
     def _words(self, text: str) -> bytes:
         out = []
         for w in self.cut(text):
@@ -128,7 +143,7 @@ class Encoder:
         known, own = self.known, {}
         for p in set(rest).difference(known):
             memo = known if len(p) <= self.LONG else own
-            memo[p] = self.word(" " + p) if p.isalpha() else self._words(" " + p)
+            memo[p] = self.part(p)
         if own:
             known = known | own if len(known) < len(rest) else ChainMap(own, known)
         return self._words(first) + b"".join([known[p] for p in rest])
