@@ -209,7 +209,9 @@ def path_in(c: Column) -> Column:
 
 
 def account_in(c: Column) -> Column:
-    return F.regexp_extract(text(c), r"([A-Za-z0-9.\-_]+\\[A-Za-z0-9.\-_$]+)", 1)
+    """The first account named in a text, else ''."""
+    part = lambda n: F.regexp_extract(text(c), r"([A-Za-z0-9.\-_]+)\\([A-Za-z0-9.\-_$]+)", n)
+    return account(part(1), part(2))
 
 
 def account(domain: Column, user: Column) -> Column:

@@ -353,7 +353,7 @@ def event_log(r: DataFrame) -> DataFrame:
     rdp_user = X.first_set(own_user, v("Param2", "Param1"))
     from_params = F.when(X.blank(param1) | (F.lower(param1) == F.lower(rdp_user)), F.col("param3")).otherwise(param1)
     rdp_domain = F.when(X.blank(own_user), from_params).otherwise(v("Domain", "DomainName"))
-    rdp = X.first_set(X.account(rdp_domain, rdp_user), X.account_in(F.col("message")))
+    rdp = X.account(rdp_domain, rdp_user)
     general = [
         ("Provider", X.placeholder(get("ProviderName"))), ("EventId", X.placeholder(eid)), ("Level", X.placeholder(get("LevelDisplayName"))), ("Computer", X.placeholder(get("Computer"))),
         ("UserSid", X.placeholder(get("UserId"))), ("TaskDisplay", X.placeholder(get("TaskDisplayName"))),
@@ -371,7 +371,8 @@ def event_log(r: DataFrame) -> DataFrame:
         ("ProcessId", at(("4648",), v("ProcessId"))), ("ServiceName", at(("4768", "4769", "4697", "7045"), v("ServiceName"))), ("User", at(("4776",), v("AccountName", "UserName"))),
         ("Workstation", at(("4776",), v("Workstation"))), ("ShareName", at(("5140", "5145"), v("ShareName"))), ("ShareLocalPath", at(("5140", "5145"), v("ShareLocalPath"))),
         ("Path", at(("5145",), v("RelativeTargetName"))), ("Path", at(("5145",), F.when(~X.blank(local) & ~X.blank(rel), F.concat(local, F.lit("\\"), rel)))), ("RemotePort", at(("5145",), v("IpPort", "Port"))),
-        ("TargetUser", at(("1149",), rdp)), ("RemoteIP", at(("1149",), v("ClientAddress", "ClientIP", "IpAddress", "NASIdentifier", "SourceIp"))), ("Path", at(("4697",), v("ServiceFileName"))),
+        ("TargetUser", at(("1149",), rdp)), ("RemoteIP", at(("1149",), v("ClientAddress", "ClientIP", "IpAddress", "NASIdentifier", "SourceIp"))),
+        ("TargetUser", at(("1149",), F.when(X.blank(rdp), X.account_in(F.col("message"))))), ("Path", at(("4697",), v("ServiceFileName"))),
         ("User", at(("4697",), v("ServiceStartName", "AccountName"))), ("Path", at(("7045",), v("ImagePath", "ServiceFileName"))), ("User", at(("7045",), v("AccountName", "StartName"))), ("TaskName", at(("4698", "4702"), v("TaskName", "Name"))),
     ]
     t = clock(get("TimeCreated"))

@@ -229,14 +229,25 @@ def paging(spark, sf_dir):
     return timeline.page(demo.read(spark, sf_dir, "orders"), [F.desc("o_totalprice"), F.col("o_orderkey")], 3, 50).select("o_orderkey", "o_totalprice")
 
 
+def _credentials(spark, sf_dir) -> DataFrame:
+    """Sign-ups as leads of credentials and purchases as remote access."""
+    e = demo.events(spark, sf_dir).where("action IN ('signup', 'purchase')")
+    refs = F.array(F.struct(F.lit("User").alias("type"), F.get("entity_refs", F.lit(0))["value"].alias("value")), F.struct(F.lit("TargetServer").alias("type"), F.get("entity_refs", F.lit(1))["value"].alias("value")))
+    return e.withColumns({"source": F.when(F.col("action") == "purchase", "NetworkResource").otherwise("Events"), "action": F.when(F.col("action") == "signup", "ExplicitCredentialUsed").otherwise("x"), "entity_refs": refs})
+
+
 @query(f"""WITH ev AS ({_EVENTS}), c AS (SELECT DISTINCT host, ord, unnest(['principal=' || user_id, 'target=' || k]) AS v FROM ev WHERE action = 'signup'), r AS (SELECT DISTINCT host, ord, unnest(['principal=' || user_id, 'target=' || k]) AS v FROM ev WHERE action = 'purchase')
 SELECT c.host AS case_id, c.ord AS credential, r.ord AS remote, string_agg(c.v, ',' ORDER BY c.v) AS shared FROM c JOIN r USING (host, v) GROUP BY 1, 2, 3""")
 def credential_pairs(spark, sf_dir):
     """J05, U05"""
-    e = demo.events(spark, sf_dir).where("action IN ('signup', 'purchase')")
-    refs = F.array(F.struct(F.lit("User").alias("type"), F.get("entity_refs", F.lit(0))["value"].alias("value")), F.struct(F.lit("TargetServer").alias("type"), F.get("entity_refs", F.lit(1))["value"].alias("value")))
-    e = e.withColumns({"source": F.when(F.col("action") == "purchase", "NetworkResource").otherwise("Events"), "action": F.when(F.col("action") == "signup", "ExplicitCredentialUsed").otherwise("x"), "entity_refs": refs})
-    return hunt.credential_pairs(e).select("case_id", "credential", "remote", joined("shared").alias("shared"))
+    return hunt.credential_pairs(_credentials(spark, sf_dir)).select("case_id", "credential", "remote", joined("shared").alias("shared"))
+
+
+@query(f"""WITH ev AS ({_EVENTS}), v AS (SELECT host, action, unnest([('principal', user_id::VARCHAR), ('target', k)]) AS p FROM ev WHERE action IN ('signup', 'purchase')), n AS (SELECT host AS case_id, p[1] AS kind, p[2] AS value, count(*) FILTER (action = 'signup') AS credentials, count(*) FILTER (action = 'purchase') AS remotes FROM v GROUP BY ALL)
+SELECT *, credentials * remotes AS pairs FROM n WHERE credentials > 0 AND remotes > 0""")
+def credential_links(spark, sf_dir):
+    """What both sides share, with the counts of either, without pairs"""
+    return hunt.credential_links(_credentials(spark, sf_dir))
 
 
 @query("""SELECT strftime(max(greatest(CASE WHEN o_orderdate < TIMESTAMP '2001-01-02' THEN o_orderdate END, CASE WHEN l_shipdate < TIMESTAMP '2001-01-02' THEN l_shipdate END)), '%Y-%m-%d %H:%M:%S') AS latest FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
@@ -512,7 +523,7 @@ def stream_shared(spark, sf_dir):
 
 
 # Kept apart for their number.
-from . import evidence_queries, folder_queries, store_queries  # noqa: E402
+from . import evidence_queries, folder_queries, record_queries, store_queries  # noqa: E402
 
-QUERIES |= evidence_queries.QUERIES | store_queries.QUERIES | folder_queries.QUERIES
-SQL |= evidence_queries.SQL | store_queries.SQL | folder_queries.SQL
+QUERIES |= evidence_queries.QUERIES | record_queries.QUERIES | store_queries.QUERIES | folder_queries.QUERIES
+SQL |= evidence_queries.SQL | record_queries.SQL | store_queries.SQL | folder_queries.SQL
