@@ -86,6 +86,17 @@ def test_encoder_cuts_where_the_tokenizer_does():
     assert all(len(w) <= e.LONG for w in (*e.known, *e.inner)) and len(e.known) <= 50 + 25
 
 
+def test_words_before_a_sign():
+    e, r = tokens.Encoder(vocabulary(), most=500), random.Random(5)
+    pieces = ["a", "the", "é", "ß", "日本", "ʰ", "Ǆ", "ª", "x1", "'s", "n't", "-", "²", "\n", "\u0300", "ا", "w" * 80]
+    signs = [*e.STOPS, "..", ".,", "!?", "...", "'", '"', ")", "。", "1"]
+    for _ in range(4000):
+        part = lambda: "".join(r.choice(pieces) for _ in range(r.randrange(0, 4))) + (r.choice(signs) if r.random() < 0.7 else "")
+        text = " ".join(part() for _ in range(r.randrange(1, 8)))
+        assert e.ids(text) == e.whole(text)
+    assert all(e.ids(f"word{c} word{c}") == e.whole(f"word{c} word{c}") for c in e.STOPS) and all(len(w) <= e.LONG for w in e.known)
+
+
 def test_token_width(spark, docs):
     url = shared_dir(spark, "tokens")
     (one, *_) = tokens.write(docs, url, vocabulary(), 70_000)

@@ -17,6 +17,9 @@ def components(links: DataFrame) -> DataFrame:
     link by one between what its ends point at, until only loops are left. With ids in no order
     (hashes), the links left fall by a factor each round. Neighbours are only ever aggregated, so a
     node with very many links is no hot spot; nothing is collected.
+
+    Cases: links of a node with itself or with a null end are left out; repeated links, either way round, count once;
+    other columns are ignored; no links give an empty result.
     """
     e = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
     parents = []

@@ -14,7 +14,8 @@ over thousands of blocks.
 
 Cases: a null text has size 0 and may be taken like any other; a source without a word has target
 0 and takes nothing; a null source is a source of its own, last in order; repeated rows are sampled
-one by one; null doc_ids sort first; an empty table gives an empty result; the added columns win over columns of
+one by one; null doc_ids sort first; of a very long text all words count, and it is still at most twice its
+size; an empty table gives an empty result; the added columns win over columns of
 the same name.
 """
 
