@@ -39,3 +39,15 @@ def test_an_events_data_are_parsed_once(spark):
     row = spark.range(1).select(F.lit("1").alias("i"), F.lit("m").alias("m"), F.concat(F.lit("A="), F.col("id").cast("string")).alias("d"))
     for c in (timeline.event_indicator(F.col("i"), F.lit("p"), F.col("m"), F.col("d")), timeline.sample_text(F.col("i"), F.col("m"), F.col("d"))):
         assert row.select(c).columns and str(c).count("split(") == 1
+
+
+def test_bucket_ends_with_its_last_second(spark, tmp_path):
+    at = dt.datetime(2024, 1, 10, 12, 30, 0, 400_000)
+    got = same(spark, tmp_path, "bucket_drill_down", events=events([(1, at, "click", 7), (2, at.replace(second=1), "click", 7), (3, at.replace(minute=0), "click", 7)]))
+    assert sorted(got["fact_ord"]) == [1, 3]
+
+
+@pytest.mark.parametrize("query", ["time_range", "pruned_time_range"])
+def test_range_ends_with_its_last_second(spark, tmp_path, query):
+    at = dt.datetime(2024, 1, 4, 0, 0, 0, 400_000)
+    assert len(same(spark, tmp_path, query, events=events([(1, at, "view", 7), (2, at.replace(second=1), "view", 7)]))) == 1
