@@ -51,3 +51,9 @@ def test_bucket_ends_with_its_last_second(spark, tmp_path):
 def test_range_ends_with_its_last_second(spark, tmp_path, query):
     at = dt.datetime(2024, 1, 4, 0, 0, 0, 400_000)
     assert len(same(spark, tmp_path, query, events=events([(1, at, "view", 7), (2, at.replace(second=1), "view", 7)]))) == 1
+
+
+def test_view_takes_facts_of_one_second_by_place(spark, tmp_path):
+    at = dt.datetime(2024, 1, 10, 12)
+    got = same(spark, tmp_path, "facts_view", events=events([(i, at.replace(microsecond=1000 * i), "view", 7) for i in range(1, 60)]))
+    assert len(got) == 40
