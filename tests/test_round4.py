@@ -31,16 +31,6 @@ def events(rows):
     })
 
 
-def test_an_events_data_are_parsed_once(spark):
-    from pyspark.sql import functions as F
-
-    from tracelake.operators import timeline
-
-    row = spark.range(1).select(F.lit("1").alias("i"), F.lit("m").alias("m"), F.concat(F.lit("A="), F.col("id").cast("string")).alias("d"))
-    for c in (timeline.event_indicator(F.col("i"), F.lit("p"), F.col("m"), F.col("d")), timeline.sample_text(F.col("i"), F.col("m"), F.col("d"))):
-        assert row.select(c).columns and str(c).count("split(") == 1
-
-
 def test_bucket_ends_with_its_last_second(spark, tmp_path):
     at = dt.datetime(2024, 1, 10, 12, 30, 0, 400_000)
     got = same(spark, tmp_path, "bucket_drill_down", events=events([(1, at, "click", 7), (2, at.replace(second=1), "click", 7), (3, at.replace(minute=0), "click", 7)]))
@@ -57,3 +47,19 @@ def test_view_takes_facts_of_one_second_by_place(spark, tmp_path):
     at = dt.datetime(2024, 1, 10, 12)
     got = same(spark, tmp_path, "facts_view", events=events([(i, at.replace(microsecond=1000 * i), "view", 7) for i in range(1, 60)]))
     assert len(got) == 40
+
+
+def test_sign_of_a_balance_of_minus_zero(spark, tmp_path):
+    names = [f"Customer#{i:09d}" for i in range(4)]
+    c = pa.table({"c_custkey": pa.array(range(4), pa.int64()), "c_name": names, "c_nationkey": pa.array([0] * 4, pa.int32()), "c_acctbal": [-0.0, 0.0, -1.5, 2.0], "c_mktsegment": [""] * 4})
+    assert list(same(spark, tmp_path, "text_functions", customer=c).sort_values("c_custkey")["cell"]) == ["'x", "x", "'x", "x"]
+
+
+def test_an_events_data_are_parsed_once(spark):
+    from pyspark.sql import functions as F
+
+    from tracelake.operators import timeline
+
+    row = spark.range(1).select(F.lit("1").alias("i"), F.lit("m").alias("m"), F.concat(F.lit("A="), F.col("id").cast("string")).alias("d"))
+    for c in (timeline.event_indicator(F.col("i"), F.lit("p"), F.col("m"), F.col("d")), timeline.sample_text(F.col("i"), F.col("m"), F.col("d"))):
+        assert row.select(c).columns and str(c).count("split(") == 1
