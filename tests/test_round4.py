@@ -63,3 +63,14 @@ def test_an_events_data_are_parsed_once(spark):
     row = spark.range(1).select(F.lit("1").alias("i"), F.lit("m").alias("m"), F.concat(F.lit("A="), F.col("id").cast("string")).alias("d"))
     for c in (timeline.event_indicator(F.col("i"), F.lit("p"), F.col("m"), F.col("d")), timeline.sample_text(F.col("i"), F.col("m"), F.col("d"))):
         assert row.select(c).columns and str(c).count("split(") == 1
+
+
+def test_once_for_good_calls_no_python(spark, tmp_path):
+    from tracelake.streaming import live
+
+    spark.range(4).write.parquet(f"{tmp_path}/in")
+    rows = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
+    with live.keeping(spark):
+        once = live.once(rows, "id")
+        assert "InPandas" not in once._jdf.queryExecution().analyzed().toString()
+        assert live.completed(once, "once").count() == 4

@@ -45,18 +45,17 @@ def live_shared(entities: DataFrame, minutes: int, late: str = "1 hour", least:
 
 
 class _Once(StatefulProcessor):
-    """The first row of each key; the key is forgotten `hours` after it was last seen, if given."""
+    """The first row of each key; the key is forgotten `hours` after it was last seen."""
 
-    def __init__(self, hours: float | None):
+    def __init__(self, hours: float):
         self.hours = hours
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "seen boolean", None if self.hours is None else int(self.hours * 3_600_000))
+        self.seen = handle.getValueState("seen", "seen boolean", int(self.hours * 3_600_000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = not self.seen.exists()
-        if new or self.hours is not None:
-            self.seen.update((True,))
+        self.seen.update((True,))
         for part in rows:
             if new and len(part):
                 new = False
@@ -73,8 +72,12 @@ def once(rows: DataFrame, *key: str, hours: float | None = None) -> DataFrame:
     no row is lost for its time. A stream with a bound looks for keys to forget in batches without rows, so it runs until it is stopped;
     one that should end when all is read (completed()) has none. Keys should be those of single
     facts; a key's state is one flag. The stream must be started within keeping().
+
+    For good, Spark drops the rows itself, a state row for each key and no call of Python; a bound on arrival calls it for each key of a batch.
     """
-    return rows.groupBy(*key).transformWithStateInPandas(_Once(hours), rows.schema, "append", "none" if hours is None else "processingTime")
+    if hours is None:
+        return rows.dropDuplicates(list(key))
+    return rows.groupBy(*key).transformWithStateInPandas(_Once(hours), rows.schema, "append", "processingTime")
 
 
 class _SecondHost(StatefulProcessor):
@@ -125,14 +128,26 @@ def second_hosts(entities: DataFrame) -> DataFrame:
 
 @contextmanager
 def keeping(spark: SparkSession):
-    """While a stream with state of its own is started: the state store that such streams need. A running stream keeps it."""
-    name, wanted = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, wanted)
+    """While a stream with state of its own is started: the state store that such streams need. A running stream keeps it.
+
+    Every batch commits each partition's state, however little it holds, so a new stream has two partitions for each core
+    and not those of a large shuffle, and commits what changed.
+    """
+    parts, store = "spark.sql.shuffle.partitions", "spark.sql.streaming.stateStore"
+    few = min(int(spark.conf.get(parts)), 2 * spark.sparkContext.defaultParallelism)
+    wanted = {
+        f"{store}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        f"{store}.rocksdb.changelogCheckpointing.enabled": "true",
+        parts: str(few),
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
 
 
 def completed(rows: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
