@@ -74,3 +74,21 @@ def test_once_for_good_calls_no_python(spark, tmp_path):
         once = live.once(rows, "id")
         assert "InPandas" not in once._jdf.queryExecution().analyzed().toString()
         assert live.completed(once, "once").count() == 4
+
+
+def test_blocks_of_a_file_that_is_read_in_splits(spark, tmp_path):
+    from tracelake.sources import tables
+
+    with open(f"{tmp_path}/kerberos_tickets.txt", "w") as f:
+        f.write("observedatutc: 2024-01-01 00:00:00\n" + "".join(f"#{i}>     Client: u{i} @ CORP\r\n        Server: cifs/s{i}\r\n\r\n" for i in range(300)))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in kept:
+            spark.conf.set(k, "1000")
+        b = tables.kerberos(spark, str(tmp_path))
+        assert "wholetext" not in b._jdf.queryExecution().toString().lower() and "Window" in b._jdf.queryExecution().optimizedPlan().toString()
+        got = sorted((r["block"], r["observed"], r["f"]["client"], r["f"]["server"]) for r in b.collect())
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == [(i, "2024-01-01 00:00:00", f"u{i} @ CORP", f"cifs/s{i}") for i in range(300)]
