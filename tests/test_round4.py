@@ -92,3 +92,15 @@ def test_blocks_of_a_file_that_is_read_in_splits(spark, tmp_path):
         for k, v in kept.items():
             spark.conf.set(k, v)
     assert got == [(i, "2024-01-01 00:00:00", f"u{i} @ CORP", f"cifs/s{i}") for i in range(300)]
+
+
+def test_index_holds_no_column_that_follows_from_others(spark, tmp_path):
+    from tracelake import demo, model
+    from tracelake.sources import snapshots
+
+    f = demo.events(spark, "/root/testdata/sf0.001")
+    s = snapshots.save(f, f"{tmp_path}/store")
+    assert spark.read.parquet(*s.files("entities")).columns == snapshots.INDEX_ROWS.names
+    assert not {"ref_keys", "value_norm", "value_display", "entity_type"} & set(snapshots.INDEX_ROWS.names)
+    rows = lambda e: sorted(map(str, e.select(*snapshots.ENTITY_ROWS.names).collect()))
+    assert rows(s.entities(["key:7"])) == rows(model.fact_entities(f).where("entity_key = 'key:7'"))
