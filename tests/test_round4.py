@@ -104,3 +104,14 @@ def test_index_holds_no_column_that_follows_from_others(spark, tmp_path):
     assert not {"ref_keys", "value_norm", "value_display", "entity_type"} & set(snapshots.INDEX_ROWS.names)
     rows = lambda e: sorted(map(str, e.select(*snapshots.ENTITY_ROWS.names).collect()))
     assert rows(s.entities(["key:7"])) == rows(model.fact_entities(f).where("entity_key = 'key:7'"))
+
+
+def test_credential_pairs_are_not_grouped_again(spark, tmp_path):
+    from tracelake.operators import hunt
+
+    at = dt.datetime(2024, 1, 10)
+    got = same(spark, tmp_path, "credential_pairs", events=events([(i, at, "signup" if i % 2 else "purchase", i % 3) for i in range(210)]))
+    assert got["shared"].str.contains(",").any() and not got.duplicated(["case_id", "credential", "remote"]).any()
+    f = queries._credentials(spark, str(tmp_path))
+    plan = hunt.credential_pairs(f)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
