@@ -13,7 +13,8 @@ is deleted, its successor is looked up among the live rows.
 
 Copies are counted up within each batch before they are dealt, so a group of copies with a third of
 all rows sends one row a batch. To find copies only digests are shuffled, to verify them the texts of
-rows that have one.
+rows that have one, once. Which rows these are, and which stay, is looked up where the texts are read, in
+a folder of the shared store for each scan partition, so docs must read the same way twice.
 
 Cases: a null text counts as empty, and all empty texts form one group; of rows with equal text and
 equal largest doc_id exactly one stays; null doc_ids count as smaller than any other; very long texts
@@ -26,11 +27,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, partitions
+from .common import cut, fresh, partitions, shared_dir
+from .tokens import store
 
 #: Digests that one index partition holds at most, on average.
 PER_PARTITION = 400_000
@@ -224,8 +228,8 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", row: str |
     return docs.select(F.col(key).cast("long").alias("id"), r.alias("row"), F.col(text).alias("text")).mapInArrow(of, "id long, row long, digest binary")
 
 
-#: Buckets that the rows of one digest are dealt to, to be compared.
-SALT = 64
+#: Rows of a digest that one task compares, about; a digest with more is dealt to as many buckets as it needs.
+SHARE = 1_000
 
 
 def _unlike(columns: int):
@@ -241,22 +245,76 @@ def _unlike(columns: int):
                     last, content = key, data
                     heads.append(i)
                 elif data != content:
-                    raise ValueError(f"two texts share the digest {key[0].hex()}")
+                    raise ValueError(f"two texts share the digest {key[0][:32].hex()}")
             yield b.take(pa.array(heads, pa.int64()))
 
     return of
 
 
+def _by_scan(rows: DataFrame, row: str, name: str) -> str:
+    """rows, with a column `row` of monotonically_increasing_id(), in a folder for each scan partition."""
+    url = shared_dir(rows.sparkSession, name)
+    pid = F.shiftright(row, 33).cast("int")
+    rows.withColumn("pid", pid).repartition(partitions(rows.sparkSession), "pid").write.partitionBy("pid").parquet(url)
+    return url
+
+
+def _noted(url: str, row: str, value: str | None = None):
+    """A function of the row numbers of a scan: what rows of `_by_scan` note of them, null for the others; without a value, whether they are among them.
+
+    A task reads the notes of its own scan partitions, so what is looked up is never joined with, and texts stay where they are.
+    """
+
+    def of(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        system, folder = store(url)
+        known: dict[int, pd.Series] = {}
+
+        def notes(pid: int) -> pd.Series:
+            if pid not in known:
+                found = system.get_file_info(fs.FileSelector(f"{folder}/pid={pid}", allow_not_found=True))
+                parts = []
+                for f in found:
+                    if f.base_name.endswith(".parquet"):
+                        with system.open_input_file(f.path) as stream:
+                            parts.append(pq.ParquetFile(stream).read(columns=[row, *([value] if value else [])]))
+                known.clear()  # a task has one partition, or a few one after the other
+                t = pa.concat_tables(parts).to_pandas() if parts else pd.DataFrame({row: pd.Series(dtype="int64"), "v": pd.Series(dtype=object)})
+                known[pid] = pd.Series(t.iloc[:, 1].to_numpy() if value else True, index=t[row].to_numpy(), dtype=object)
+            return known[pid]
+
+        for s in series:
+            at, out = s.to_numpy(), np.empty(len(s), object)
+            for p in pd.unique(at >> 33):
+                here = at >> 33 == p
+                out[here] = notes(int(p)).reindex(at[here]).to_numpy()
+            out = pd.Series(out)
+            yield out.notna() if value is None else out.where(out.notna(), None)
+
+    return F.pandas_udf(of, "boolean" if value is None else "binary")
+
+
 def verified(docs: DataFrame, rows: DataFrame, text: str, row: str) -> int:
     """Compares the contents of rows (digest, row) of docs that share a digest; gives the number of digests compared, fails if two contents share one.
 
-    A digest's rows are dealt to SALT buckets and compared in order, each with the one before; then the
-    buckets' first rows are. Memory is two texts, and no bucket of a hot group holds more than its share.
+    row: a column of docs made by monotonically_increasing_id() where docs are read. Texts without a copy stay in their
+    scan, the others are shuffled once. A digest's rows are dealt to buckets of about SHARE rows and compared in order, each with the one
+    before; then the buckets' first rows are, where a digest has several. Memory is two texts, and no bucket of a hot group
+    holds more than its share.
     """
     n = partitions(docs.sparkSession)
-    d = docs.select(F.col(row).alias("row"), F.col(text).alias("text")).join(rows.select("digest", "row"), "row")
-    salted = d.select("digest", F.pmod(F.xxhash64("row"), F.lit(SALT)).alias("salt"), "text").repartition(n, "digest", "salt").sortWithinPartitions("digest", "salt")
-    heads = salted.mapInArrow(_unlike(2), "digest binary, salt long, text string").select("digest", "text")
+    hot = rows.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > SHARE).select("digest", F.ceil(F.col("n") / SHARE).alias("buckets"))
+    salt = F.coalesce(F.pmod(F.xxhash64("_row"), F.col("buckets")) + 1, F.lit(0)).cast("int")
+    noted = rows.select(F.col("row").alias("_row"), "digest").join(hot, "digest", "left")
+    # Which bucket a row goes to is a suffix of its digest.
+    url = _by_scan(noted.select("_row", F.concat("digest", F.unhex(F.lpad(F.hex(salt), 8, "0"))).alias("at")), "_row", "copies")
+    d = docs.select(F.col(row).alias("row"), F.col(text).alias("text")).withColumn("at", _noted(url, "_row", "at")("row")).where("at IS NOT NULL")
+    dealt = d.select("at", "text").repartition(n, "at").sortWithinPartitions("at")
+    heads = dealt.mapInArrow(_unlike(1), "at binary, text string")
+    digest, several = F.expr("substring(at, 1, length(at) - 4)"), F.expr("substring(at, -4, 4) <> X'00000000'")
+    heads = heads.select(digest.alias("digest"), F.when(several, F.col("text")).alias("text"))
     return heads.repartition(n, "digest").sortWithinPartitions("digest").mapInArrow(_unlike(1), "digest binary, text string").count()
 
 
@@ -277,5 +335,5 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """docs without rows whose text equals that of a row with a larger id. docs must give the same rows in the same order when read again, as a table does."""
     (row,) = fresh(docs, "_row")
     keyed = docs.withColumn(row, F.monotonically_increasing_id())
-    stay = groups(keyed, key, text, row).where("kept").select(F.col("row").alias(row))
-    return keyed.join(stay, row, "left_semi").drop(row).select(docs.columns)
+    stay = groups(keyed, key, text, row).where("kept").select("row")
+    return keyed.where(_noted(_by_scan(stay, "row", "kept"), "row")(row)).select(docs.columns)
