@@ -28,7 +28,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -221,7 +220,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", row: str |
     def of(batches):
         for batch in batches:
             i, row, texts = batch.columns
-            sha = [hashlib.sha256((t or "").encode().lower()).digest() for t in texts.to_pylist()]
+            sha = [hashlib.sha256((t.as_py() or "").encode().lower()).digest() for t in texts]
             yield pa.RecordBatch.from_arrays([i, row, pa.array(sha, pa.binary())], ["id", "row", "digest"])
 
     r = F.col(row) if row else F.monotonically_increasing_id()
@@ -265,35 +264,39 @@ def _noted(url: str, row: str, value: str | None = None):
     A task reads the notes of its own scan partitions, so what is looked up is never joined with, and texts stay where they are.
     """
 
-    def of(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def of(rows: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import pyarrow.parquet as pq
         from pyarrow import fs
 
         system, folder = store(url)
-        known: dict[int, pd.Series] = {}
+        known: dict[int, tuple[np.ndarray, pa.Array]] = {}
 
-        def notes(pid: int) -> pd.Series:
+        def notes(pid: int) -> tuple[np.ndarray, pa.Array]:
             if pid not in known:
                 found = system.get_file_info(fs.FileSelector(f"{folder}/pid={pid}", allow_not_found=True))
-                parts = []
+                parts = [pa.schema([(row, pa.int64()), *([(value, pa.binary())] if value else [])]).empty_table()]
                 for f in found:
                     if f.base_name.endswith(".parquet"):
                         with system.open_input_file(f.path) as stream:
-                            parts.append(pq.ParquetFile(stream).read(columns=[row, *([value] if value else [])]))
+                            parts.append(pq.ParquetFile(stream).read(columns=parts[0].column_names).cast(parts[0].schema))
                 known.clear()  # a task has one partition, or a few one after the other
-                t = pa.concat_tables(parts).to_pandas() if parts else pd.DataFrame({row: pd.Series(dtype="int64"), "v": pd.Series(dtype=object)})
-                known[pid] = pd.Series(t.iloc[:, 1].to_numpy() if value else True, index=t[row].to_numpy(), dtype=object)
+                t = pa.concat_tables(parts).sort_by(row)
+                known[pid] = t[row].to_numpy(), (t[value].combine_chunks() if value else pa.repeat(True, t.num_rows))
             return known[pid]
 
-        for s in series:
-            at, out = s.to_numpy(), np.empty(len(s), object)
-            for p in pd.unique(at >> 33):
-                here = at >> 33 == p
-                out[here] = notes(int(p)).reindex(at[here]).to_numpy()
-            out = pd.Series(out)
-            yield out.notna() if value is None else out.where(out.notna(), None)
-
-    return F.pandas_udf(of, "boolean" if value is None else "binary")
+        for r in rows:
+            at = r.to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(at >> 33)) + 1
+            out = []
+            for a, b in zip([0, *cuts], [*cuts, len(at)], strict=True):
+                if a < b:
+                    there, values = notes(int(at[a] >> 33))
+                    i = np.searchsorted(there, at[a:b])
+                    hit = np.r_[there, -1][i] == at[a:b]
+                    out.append(values.take(pa.array(i, mask=~hit)) if value else pa.array(hit))
+            yield pa.concat_arrays(out) if out else pa.array([], pa.binary() if value else pa.bool_())
+
+    return F.arrow_udf(of, "binary" if value else "boolean")
 
 
 def verified(docs: DataFrame, rows: DataFrame, text: str, row: str) -> int:

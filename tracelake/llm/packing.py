@@ -140,8 +140,8 @@ def pack(docs: DataFrame, path: str, end: int, context: int = CONTEXT, key: str
                 rows = []
 
         for b in batches:
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = enc.ids(t or "") + final
+            for doc, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                ids = enc.ids(t.as_py() or "") + final
                 total = len(ids) // 4
                 whole = total - total % context
                 for i in range(0, whole, context):

@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", row:
 
     def of(batches):
         for b in batches:
-            fp = np.array([fingerprint(t) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t.as_py()) for t in b.column(2)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["id", "row", "fp"])
 
     r = F.col(row) if row else F.lit(0).cast("long")
