@@ -7,7 +7,8 @@ most, and one row for each segment (anchor hash, segment hash, place) is all tha
 
 - A segment that occurs twice is repeated as a whole; two 64-bit hashes decide.
 - An anchor hash with several different segments is mixed. One of each of its segments, with its
-  bytes, goes to a shard chosen by the anchor hash. A shard's segments are joined to one text whose
+  bytes, goes to a shard chosen by the anchor hash. Windows that no other segment of their anchor can
+  have, told by the bytes that neighbouring windows share, are left out. The rest of a shard is joined to one text whose
   repeated windows are found by induced suffix sorting with common-prefix values (suffixes.py),
   which keeps its queues on disk.
 - A mixed anchor with very many different segments would make one shard large. Its segments are
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,8 @@ LENGTH, GRAM = 200, 32
 PIECE, PLACE = 1 << 20, 24
 #: Different segments of an anchor that one shard takes, bytes of a shard, and the widths of narrower runs.
 MANY, SHARD, WIDTHS = 256, 1 << 20, (48, 12, 3, 1)
+#: Distances from the anchor whose windows are told apart by one core before sorting.
+CLASS = 24
 #: Tuples that the sorter's queues hold in memory, and the longest text of names that it sorts there. A shard has some
 #: 500,000 suffixes a scan and 340,000 names, so both go to disk, and the names one level deeper.
 TUPLES, NAMES = 1 << 18, 1 << 18
@@ -220,23 +224,53 @@ SPAN = "pid int, row long, start long, end long"
 WHERE = np.dtype([("all", "<i8"), ("pid", "<i4"), ("row", "<i8"), ("start", "<i8"), ("n", "<i4")])
 
 
+def _alive(pieces: list[tuple]) -> list[tuple]:
+    """Of the pieces (m, pid, row, start, off, data) of one anchor, those that may share a window with another, cut to these windows, without off.
+
+    Windows at CLASS neighbouring distances from the anchor have bytes in common, their core, so equal windows have equal
+    cores. Where no other piece has a core, no window around it is repeated; where all that have it occur as a whole
+    elsewhere, they are settled. What is left is sorted.
+    """
+    cores: dict[tuple[int, bytes], list[int]] = {}
+    for i, (*_, off, data) in enumerate(pieces):
+        for j in range((off - len(data) + LENGTH) // CLASS, off // CLASS + 1):
+            at = off - j * CLASS
+            cores.setdefault((j, data[at : at - CLASS + 1 + LENGTH]), []).append(i)
+    ends: dict[int, tuple[int, int]] = {}
+    for (j, _), same in cores.items():
+        if len(same) > 1 and any(pieces[i][0] == 1 for i in same):
+            for i in same:
+                lo, hi = ends.get(i, (j, j))
+                ends[i] = min(lo, j), max(hi, j)
+    out = []
+    for i, (lo, hi) in ends.items():
+        m, pid, row, start, off, data = pieces[i]
+        first, last = max(0, off - hi * CLASS - CLASS + 1), min(len(data) - LENGTH, off - lo * CLASS)
+        out.append((m, pid, row, start + first, data[first : last + LENGTH]))
+    return out
+
+
 def _shard(batches):
     """Repeated windows among the pieces of a partition, as spans of those that stand for one place.
 
-    Pieces come in order of their anchors and go to a text on disk, which ends between two anchors, once it has SHARD bytes.
+    Pieces come in order of their anchors, of which few have one; those that may repeat go to a text on disk, which ends
+    between two anchors, once it has SHARD bytes.
     """
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
     with tempfile.TemporaryDirectory() as folder:
-        text, where, size, last = f"{folder}/text", f"{folder}/where", 0, None
-        for b in batches:
-            for h, m, pid, row, start, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size >= SHARD and h != last:
-                    yield from _sorted(text, where, folder)
-                    size = 0
-                with open(text, "ab" if size else "wb") as f, open(where, "ab" if size else "wb") as g:
+        text, where, size = f"{folder}/text", f"{folder}/where", 0
+        for _, same in groupby(rows, lambda r: r[0]):
+            pieces = _alive([r[1:] for r in same])
+            if not pieces:
+                continue
+            if size >= SHARD:
+                yield from _sorted(text, where, folder)
+                size = 0
+            with open(text, "ab" if size else "wb") as f, open(where, "ab" if size else "wb") as g:
+                for m, pid, row, start, data in pieces:
                     f.write(np.append(np.frombuffer(data, np.uint8).astype("<i2") + 1, 0).astype("<i2").tobytes())
                     g.write(np.array([(m, pid, row, start, len(data))], WHERE).tobytes())
-                size += len(data)
-                last = h
+                    size += len(data)
         if size:
             yield from _sorted(text, where, folder)
 
@@ -290,7 +324,7 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     shards = cut(shards, "shards")
     size = shards.agg(F.sum(F.length("data"))).first()[0] or 0
     n = max(partitions(spark), size // (32 * SHARD))
-    dealt = shards.repartition(int(n), "hash").sortWithinPartitions("hash").select("hash", "m", "pid", "row", "start", "data")
+    dealt = shards.repartition(int(n), "hash").sortWithinPartitions("hash").select("hash", "m", "pid", "row", "start", "off", "data")
     found.append(dealt.mapInArrow(_shard, SPAN))
     out = found[0]
     for f in found[1:]:
