@@ -49,6 +49,19 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """docs with a column `row`, a number that tells rows apart and is the same whenever docs, a table, are read.
+
+    It follows from how the table is cut for tasks, and Spark cuts it by the cores that it sees when a read begins. So that an executor that is lost or joins
+    between two reads numbers no row anew, the session's least number of file partitions is set to the cores seen first, unless it has one.
+    """
+    spark = docs.sparkSession
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        seen = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism
+        spark.conf.set("spark.sql.files.minPartitionNum", str(seen))
+    return docs.withColumn(row, F.monotonically_increasing_id())
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

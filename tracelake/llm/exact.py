@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, partitions, shared_dir
+from .common import cut, fresh, numbered, partitions, shared_dir
 from .tokens import store
 
 #: Digests that one index partition holds at most, on average.
@@ -325,7 +325,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", row: str |
     """For each row: id, row, digest, keep_id, group_size, kept."""
     if row is None:
         (row,) = fresh(docs, "_row")
-        docs = docs.withColumn(row, F.monotonically_increasing_id())
+        docs = numbered(docs, row)
     d = cut(digests(docs, key, text, row), "digests")
     n = max(partitions(docs.sparkSession), d.count() // PER_PARTITION)
     index = update(combined(d), n=n).select("digest", F.col("id").alias("keep_id"), F.col("row").alias("keep_row"), F.col("n").alias("group_size"))
@@ -337,6 +337,6 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", row: str |
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without rows whose text equals that of a row with a larger id. docs must give the same rows in the same order when read again, as a table does."""
     (row,) = fresh(docs, "_row")
-    keyed = docs.withColumn(row, F.monotonically_increasing_id())
+    keyed = numbered(docs, row)
     stay = groups(keyed, key, text, row).where("kept").select("row")
     return keyed.where(_noted(_by_scan(stay, "row", "kept"), "row")(row)).select(docs.columns)

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, words
+from .common import cut, fresh, numbered, words
 
 WEIGHTS, TOTAL, MOST, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 7
 BLOCKS, BLOCK_ROWS = 32, 1 << 22
@@ -86,7 +86,7 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """docs with each row as often as it is taken. docs must give the same rows in the same order when read again, as a table does."""
     row, n = fresh(docs, "_row", "_n")
-    keyed = docs.withColumn(row, F.monotonically_increasing_id())
+    keyed = numbered(docs, row)
     copies = plan(keyed, key, text, source, row, **how).where("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(n))
     often = keyed.join(copies, row).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
     return often.select(docs.columns)

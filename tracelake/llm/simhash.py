@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, partitions
+from .common import cut, fresh, numbered, partitions
 from .components import components
 
 BITS, SEGMENTS, DISTANCE = 64, 8, 3
@@ -230,7 +230,7 @@ def hexadecimal(fp):
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each component: that with the smallest id, of several such rows the first. docs must give the same rows in the same order when read again, as a table does."""
     (row,) = fresh(docs, "_row")
-    keyed = docs.withColumn(row, F.monotonically_increasing_id())
+    keyed = numbered(docs, row)
     g = groups(keyed, key, text, row).where(F.col("id").eqNullSafe(F.col("component_id")))
     stay = g.groupBy("root").agg(F.min("row").alias(row)).select(row)
     return keyed.join(stay, row, "left_semi").drop(row).select(docs.columns)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, shared_dir
+from .common import cut, numbered, partitions, shared_dir
 from .suffixes import Room, repeats
 from .tokens import store
 
@@ -150,7 +150,7 @@ def _rows(batches):
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"), F.col(key).cast("long").alias("doc_id"))
+    return numbered(docs.select(F.col(text).alias("text"), F.col(key).cast("long").alias("doc_id")), "row").select("row", "text", "doc_id")
 
 
 def _by_scan(df: DataFrame, name: str) -> str:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
-from .common import cut
+from .common import cut, numbered
 from .tokens import store
 
 #: A member's first 16 bytes (deflate, extra field, no time, any system, 12 bytes of extra, of which 8 in "sl").
@@ -371,7 +371,7 @@ def register(spark: SparkSession) -> None:
 def write(pages: DataFrame, url: str, key: str = "page_id", uri: str = "url", html: str = "html", least: int = 0) -> None:
     """Archives pages. pages must give the same rows in the same order when read again, as a table does."""
     register(pages.sparkSession)
-    p = pages.select(F.col(key).cast("long").alias("page_id"), F.col(uri).alias("url"), F.col(html).alias("html"), F.monotonically_increasing_id().alias("row"))
+    p = numbered(pages.select(F.col(key).cast("long").alias("page_id"), F.col(uri).alias("url"), F.col(html).alias("html")), "row")
     payload = F.coalesce("html", F.lit(""))
     k = cut(p.select("page_id", "row", F.sha1(payload.cast("binary")).alias("sha"), F.octet_length(payload).alias("n")), "payloads").where(F.col("n") >= least)
     top = k.groupBy("sha").agg(F.max(F.struct(F.col("page_id").isNotNull().alias("has"), "page_id", "row")).alias("top"), F.count("*").alias("copies")).where("copies > 1")
